@@ -55,9 +55,11 @@ def with_hits(df: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", text: s
         )
         .drop("_grams", "_found")
     )
-    counts = [
-        F.size(F.filter(present, lambda g, ps=ps: g.isin(ps))) if ps else F.lit(0) for ps in per_level
-    ]
+
+    def count_of(listed: list[str]) -> Column:
+        return F.size(F.filter(present, lambda g: g.isin(listed))) if listed else F.lit(0)
+
+    counts = [count_of(listed) for listed in per_level]
     return out.withColumn(
         "hits", F.when(F.size(present) > 0, F.array(*counts)).otherwise(F.lit([0] * len(LEVELS)))
     ).drop("_present")

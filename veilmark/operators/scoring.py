@@ -58,6 +58,8 @@ VECTOR = T.StructType(
 SCORE = T.StructType(
     [
         T.StructField("proba", T.ArrayType(T.DoubleType())),
+        T.StructField("pred", T.IntegerType()),
+        T.StructField("raw_confidence", T.DoubleType()),
         T.StructField(
             "signals",
             T.ArrayType(
@@ -72,6 +74,8 @@ SCORE = T.StructType(
 _SCORE_ARROW = pa.struct(
     [
         ("proba", pa.list_(pa.float64())),
+        ("pred", pa.int32()),
+        ("raw_confidence", pa.float64()),
         ("signals", pa.list_(pa.struct([("term", pa.string()), ("weight", pa.float64())]))),
     ]
 )
@@ -81,6 +85,12 @@ def _offsets(rows: np.ndarray, n: int) -> pa.Array:
     return pa.array(np.append(0, np.cumsum(np.bincount(rows, minlength=n))).astype(np.int32))
 
 
+def _as_lists(matrix: np.ndarray) -> pa.ListArray:
+    n, width = matrix.shape
+    ends = np.arange(0, n * width + 1, width, dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(matrix.ravel()))
+
+
 def _list_rows(lists: pa.ListArray) -> np.ndarray:
     return np.repeat(np.arange(len(lists)), pc.list_value_length(lists).fill_null(0).to_numpy())
 
@@ -127,7 +137,17 @@ def _strongest(rows, idx, val, salience, top):
     return best, weight
 
 
-def _score_rows(rows, idx, val, n, layers, activation, known, salience, top) -> pa.StructArray:
+def _calibrated(proba: np.ndarray, temperature: float):
+    """Class index and calibrated confidence of each row; the first class wins a tie."""
+    scaled = np.log(proba + pr.EPS) / temperature
+    lifted = np.exp(scaled - scaled.max(axis=1, keepdims=True))
+    scaled = lifted / lifted.sum(axis=1, keepdims=True)
+    return np.round(scaled, 9).argmax(axis=1), scaled.max(axis=1)
+
+
+def _score_rows(
+    rows, idx, val, n, layers, activation, temperature, known, salience, top
+) -> pa.StructArray:
     # A slab of rows at a time keeps the gathered weights small.
     bounds = np.searchsorted(rows, np.arange(0, n + 256, 256))
     parts = [
@@ -136,15 +156,21 @@ def _score_rows(rows, idx, val, n, layers, activation, known, salience, top) ->
         if 256 * k < n
     ]
     width = layers[-1][0].shape[1]
-    flat = np.concatenate(parts).ravel() if parts else np.zeros(0)
-    proba = pa.ListArray.from_arrays(pa.array(np.arange(0, n * width + 1, width, dtype=np.int32)), pa.array(flat))
+    table = np.concatenate(parts) if parts else np.zeros((0, width))
+    pred, confidence = _calibrated(table, temperature) if n else (np.zeros(0), np.zeros(0))
+    proba = _as_lists(table)
     best, weight = _strongest(rows, idx, val, salience, top)
     signals = pa.StructArray.from_arrays(
         [known.take(pa.array(idx[best])), pa.array(weight[best])], names=["term", "weight"]
     )
     return pa.StructArray.from_arrays(
-        [proba, pa.ListArray.from_arrays(_offsets(rows[best], n), signals)],
-        names=["proba", "signals"],
+        [
+            proba,
+            pa.array(pred.astype(np.int32)),
+            pa.array(confidence),
+            pa.ListArray.from_arrays(_offsets(rows[best], n), signals),
+        ],
+        names=_SCORE_ARROW.names,
     )
 
 
@@ -169,16 +195,18 @@ def vectoriser(spark: SparkSession, terms: list[str], idf: np.ndarray):
 
 
 def scorer(spark: SparkSession, model: Model, top: int = TOP_SIGNALS):
-    """Arrow UDF: term list to class probabilities and strongest terms."""
+    """Arrow UDF: term list to class probabilities, calibrated class and strongest terms."""
     shared = spark.sparkContext.broadcast(
-        (model.terms, model.idf, model.layers, model.activation, model.salience)
+        (model.terms, model.idf, model.layers, model.activation, model.temperature, model.salience)
     )
 
     def score_batch(tokens: pa.Array) -> pa.Array:
-        terms, idf, layers, activation, salience = shared.value
+        terms, idf, layers, activation, temperature, salience = shared.value
         known = pa.array(terms, pa.string())
         rows, idx, val = _weigh(tokens, known, idf)
-        return _score_rows(rows, idx, val, len(tokens), layers, activation, known, salience, top)
+        return _score_rows(
+            rows, idx, val, len(tokens), layers, activation, temperature, known, salience, top
+        )
 
     @F.arrow_udf(SCORE)
     def score(tokens: pa.Array) -> pa.Array:
@@ -207,10 +235,7 @@ def vector_scorer(spark: SparkSession, model: Model):
         proba = _forward(
             _list_rows(idx), idx.flatten().to_numpy(), val.flatten().to_numpy(), n, layers, activation
         )
-        width = proba.shape[1]
-        return pa.ListArray.from_arrays(
-            pa.array(np.arange(0, n * width + 1, width, dtype=np.int32)), pa.array(proba.ravel())
-        )
+        return _as_lists(proba)
 
     return score
 
@@ -223,21 +248,32 @@ def _with_terms(df: DataFrame, text: str) -> DataFrame:
     )
 
 
+def _unpacked(df: DataFrame) -> DataFrame:
+    """Replace the struct ``_s`` by its fields.
+
+    The generator keeps later filters on these fields above the Python stage.
+    Plain field access would let the optimizer copy the whole call into such a
+    filter, and so score every row twice. Filters on other columns still pass.
+    """
+    kept = [c for c in df.columns if c != "_s"]
+    return df.select(*kept, F.inline_outer(F.array("_s")))
+
+
 def vectorise_text(df: DataFrame, vocab: DataFrame, text: str = "text") -> DataFrame:
     """Replace the text by ``idx`` and ``val``; no shuffle, all other columns kept."""
     rows = vocab.orderBy("feature_idx").select("term", "idf").toPandas()
     vector = vectoriser(df.sparkSession, rows.term.tolist(), rows.idf.to_numpy())
-    out = _with_terms(df, text).withColumn("_v", vector("_terms")).drop("_terms", text)
-    kept = [c for c in out.columns if c != "_v"]
-    return out.select(*kept, "_v.idx", "_v.val")
+    return _unpacked(_with_terms(df, text).withColumn("_s", vector("_terms")).drop("_terms", text))
 
 
 def score_text(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Replace the text by ``proba`` and ``signals``; no shuffle, other columns kept."""
+    """Replace the text by ``proba``, ``pred``, ``raw_confidence`` and ``signals``.
+
+    ``pred`` and ``raw_confidence`` are calibrated with the model's temperature. No
+    shuffle; all other columns are kept.
+    """
     score = scorer(df.sparkSession, model)
-    out = _with_terms(df, text).withColumn("_score", score("_terms")).drop("_terms", text)
-    kept = [c for c in out.columns if c != "_score"]
-    return out.select(*kept, "_score.proba", "_score.signals")
+    return _unpacked(_with_terms(df, text).withColumn("_s", score("_terms")).drop("_terms", text))
 
 
 def _activated(x: Column, activation: str) -> Column:

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilmark.functions import text as tx
+from veilmark.session import broadcast_if_small, written
 
 MAX_FEATURES = 5000
-_SAFE_WORDS = 500_000
-
-VOCAB_SCHEMA = "term string, feature_idx int, ctf long, df long, idf double"
+# A vocabulary up to this size is held on the driver, a larger one in the work folder.
+_LOCAL_ROWS = 200_000
 
 
 def counted_terms(df: DataFrame, text: str = "text") -> DataFrame:
@@ -65,14 +65,22 @@ def top_terms(df: DataFrame, text: str = "text", max_features: int = MAX_FEATURE
     pairs = opened(tx.with_counts(paired, "pairs"))
     if floor > 1:
         frequent = words.filter(F.col("ctf") >= floor).select(F.col("term").alias("word"))
-        if frequent.count() <= _SAFE_WORDS:
-            frequent = F.broadcast(frequent)
+        frequent = broadcast_if_small(frequent)
         for part in (1, -1):
             pairs = pairs.join(
                 frequent, F.substring_index("term", " ", part) == F.col("word"), "left_semi"
             )
     totals = words.unionByName(_term_totals(pairs)).filter(F.col("ctf") >= floor)
-    return _ranked(totals, max_features)
+    best = _kept(_ranked(totals, max_features), max_features)
+    words.unpersist()
+    return best
+
+
+def _kept(table: DataFrame, rows: int) -> DataFrame:
+    """Materialise a table of at most ``rows`` rows: on the driver if that is few."""
+    if rows > _LOCAL_ROWS:
+        return written(table, "vocabulary")
+    return table.sparkSession.createDataFrame(table.toPandas(), table.schema)
 
 
 def smooth_idf(df: Column, n_docs: int | Column) -> Column:
@@ -86,20 +94,15 @@ def fit_vocabulary(
 ) -> DataFrame:
     """The vocabulary table: term, feature index (term order), counts, idf.
 
-    The table never has more than ``max_features`` rows, so it is held on the
-    driver and broadcast wherever it is used.
+    The table never has more than ``max_features`` rows, which also bounds what is
+    broadcast from it.
     """
     n_docs = df.count()
     best = top_terms(df, text, max_features)
     numbered = best.withColumn(
         "feature_idx", (F.row_number().over(Window.orderBy("term")) - 1).cast("int")
     ).withColumn("idf", smooth_idf(F.col("df"), n_docs))
-    rows = numbered.select("term", "feature_idx", "ctf", "df", "idf").toPandas()
-    return _local(df.sparkSession, rows)
-
-
-def _local(spark: SparkSession, rows) -> DataFrame:
-    return spark.createDataFrame(rows, VOCAB_SCHEMA)
+    return _kept(numbered.select("term", "feature_idx", "ctf", "df", "idf"), max_features)
 
 
 def vectors(df: DataFrame, vocab: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -117,7 +120,7 @@ def vectors(df: DataFrame, vocab: DataFrame, id_col: str = "doc_id", text: str =
         F.struct(F.col("feature_idx").alias("i"), weight.alias("w")),
     )
     grouped = (
-        pairs.join(F.broadcast(vocab.select("term", "feature_idx", "idf")), "term", "left")
+        pairs.join(broadcast_if_small(vocab.select("term", "feature_idx", "idf")), "term", "left")
         .groupBy(id_col)
         .agg(F.sort_array(F.collect_list(entry)).alias("e"))
     )
@@ -136,6 +139,6 @@ def long_vectors(vecs: DataFrame, vocab: DataFrame, id_col: str = "doc_id") -> D
     flat = vecs.select(id_col, F.inline_outer(F.arrays_zip("idx", "val"))).toDF(
         id_col, "feature_idx", "x"
     )
-    return flat.join(F.broadcast(vocab.select("feature_idx", "term")), "feature_idx").select(
+    return flat.join(broadcast_if_small(vocab.select("feature_idx", "term")), "feature_idx").select(
         id_col, "term", "feature_idx", "x"
     )

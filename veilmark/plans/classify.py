@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilmark.fixed_values import LOG_COLUMNS
-from veilmark.functions import probability as pr
 from veilmark.functions import reporting as rp
-from veilmark.levels import level_name
 from veilmark.operators import scoring
 
 
@@ -20,24 +18,22 @@ def run_stamp() -> str:
 
 
 def with_prediction(scored: DataFrame, model: scoring.Model) -> DataFrame:
-    """Turn ``proba`` and ``signals`` into the five prediction columns.
+    """Turn the scorer's columns into the five prediction columns.
 
-    Also adds ``raw_confidence``, the unrounded value that the flag is taken from.
+    Keeps ``pred`` and ``raw_confidence``, the unrounded value the flag is taken from.
     """
-    ok = F.col("proba").isNotNull()
-    when_ok = lambda c: F.when(ok, c)
     names = F.array(*[F.lit(c) for c in model.classes])
-    return (
-        scored.withColumn("_cal", pr.calibrated(F.col("proba"), model.temperature))
-        .withColumn("raw_confidence", F.array_max("_cal"))
-        .withColumn("pred", pr.argmax(F.col("_cal")))
-        .withColumn("classification", F.get(names, F.col("pred")))
-        .withColumn("confidence", rp.rounded(F.col("raw_confidence")))
-        .withColumn("review_flag", rp.review_flag(F.col("raw_confidence"), model.review_threshold))
-        .withColumn("reasoning", when_ok(scoring.reasoning(F.col("signals"))))
-        .withColumn("policy_version", F.lit(model.policy_version))
-        .drop("_cal", "proba", "signals")
-    )
+    return scored.withColumns(
+        {
+            "classification": F.get(names, F.col("pred")),
+            "confidence": rp.rounded(F.col("raw_confidence")),
+            "review_flag": rp.review_flag(F.col("raw_confidence"), model.review_threshold),
+            "reasoning": F.when(
+                F.col("pred").isNotNull(), scoring.reasoning(F.col("signals"))
+            ),
+            "policy_version": F.lit(model.policy_version),
+        }
+    ).drop("proba", "signals")
 
 
 def classify(

@@ -134,14 +134,20 @@ def _floor(level: str) -> str:
 
 
 _LONGEST = 6
+_AHEAD = ", ".join(f"lead(t0, {k}) OVER o AS t{k}" for k in range(1, _LONGEST))
+_NGRAMS = " UNION ALL ".join(
+    f"SELECT doc_id, concat_ws(' ', {', '.join(f't{k}' for k in range(n))}) AS g FROM ahead WHERE t{n - 1} IS NOT NULL"
+    for n in range(1, _LONGEST + 1)
+)
 HITS = f"""{MARKED},
 lex0 AS (SELECT DISTINCT label_idx, {_words('phrase')} AS w FROM {_values([(k, p) for k, ps in STARTER_PHRASES.items() for p in ps], 'label_idx, phrase')}),
 lex AS (SELECT label_idx, array_to_string(w, ' ') AS g FROM lex0),
 mt AS (SELECT doc_id, {_words('text')} AS u FROM marked),
-pos AS (SELECT doc_id, u, unnest(range(1, len(u) + 1)) AS i FROM mt),
-ng AS (SELECT doc_id, array_to_string(u[i:i + n - 1], ' ') AS g FROM pos CROSS JOIN (SELECT unnest(range(1, {_LONGEST + 1})) AS n) WHERE i + n - 1 <= len(u)),
+mw AS (SELECT doc_id, unnest(range(len(u))) AS i, unnest(u) AS t0 FROM mt),
+ahead AS (SELECT doc_id, t0, {_AHEAD} FROM mw WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+ng AS ({_NGRAMS}),
 raw AS (SELECT doc_id, label_idx, count(*) AS hits FROM ng JOIN lex USING (g) GROUP BY doc_id, label_idx),
-hits AS (SELECT doc_id, j AS label_idx, coalesce(hits, 0) AS hits FROM (SELECT doc_id, unnest(range(6)) AS j FROM documents) d
+hits AS (SELECT d.doc_id, d.j AS label_idx, coalesce(raw.hits, 0) AS hits FROM (SELECT doc_id, unnest(range(6)) AS j FROM documents) d
   LEFT JOIN raw ON raw.doc_id = d.doc_id AND raw.label_idx = d.j),
 content AS (SELECT doc_id, min(label_idx) FILTER (WHERE hits = m AND m > 0) AS content, max(m) AS top FROM
   (SELECT *, max(hits) OVER (PARTITION BY doc_id) AS m FROM hits) GROUP BY doc_id)"""

@@ -22,7 +22,7 @@ from veilmark.operators import policy_label as pl
 from veilmark.operators import scoring, selftrain, split, synth, tfidf, training
 from veilmark.plans import classify as run
 from veilmark.plans import inputs
-from veilmark.session import spread, written
+from veilmark.session import broadcast_if_small, spread, written
 from veilmark.sources import files, registry, sinks
 from veilmark.streaming import live
 
@@ -100,7 +100,7 @@ def oov_docs(spark, sf):
     turns = spread(inputs.table(spark, sf, "conversations").select("conv_id", "turn", "text"), "conv_id")
     rows = tfidf.counted_terms(turns).select("conv_id", "turn", F.inline_outer("counts"))
     return (
-        rows.join(F.broadcast(vocab), "term", "left")
+        rows.join(broadcast_if_small(vocab), "term", "left")
         .groupBy("conv_id", "turn")
         .agg(
             F.count("feature_idx").alias("known"),
@@ -572,7 +572,7 @@ def stream_classify(spark, sf):
 
 def _event_log(events):
     return events.select(
-        "ts", F.col("event_type").alias("classification"), (F.col("value") < 5.0).alias("review_flag")
+        F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("classification"), (F.col("value") < 5.0).alias("review_flag")
     )
 
 

@@ -48,6 +48,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """Hint a broadcast only for a table counted and found small; meant for stored,
+    local or cached tables, where counting costs nothing."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate of ``df`` (file sizes for a plain scan)."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
