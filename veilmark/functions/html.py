@@ -76,12 +76,17 @@ def _is_plain(html: Column, marked: Column) -> Column:
     bare = marked
     for entity, _ in ENTITIES:
         bare = F.replace(bare, F.lit(entity), F.lit(""))
+    # An opener without a block of its own: left open, in a comment, or in a string.
+    stray = F.lit(False)
+    for opener, block in zip((r"(?i)<script\b", r"(?i)<style\b", "<!--"), DROPPED):
+        stray = stray | (F.regexp_count(html, F.lit(opener)) != F.regexp_count(html, F.lit(block)))
     odd_markup = (
-        html.contains(_CUT)
+        stray
+        | html.contains(_CUT)
         | html.rlike(r"""=\s*("[^"]*[<>][^"]*"|'[^']*[<>][^']*')""")
         | html.rlike(r"(?i)<![^-d]|<!-[^-]|<[?]|<textarea\b|<plaintext\b|<xmp\b|<noembed\b|<iframe\b")
     )
-    return ~(odd_markup | bare.rlike(r"&[A-Za-z#]|<[A-Za-z/!?]"))
+    return ~(odd_markup | bare.rlike(r"&[A-Za-z#]|<"))
 
 
 def with_html_text(df: DataFrame, html: str, out: str = "text") -> DataFrame:
@@ -92,9 +97,9 @@ def with_html_text(df: DataFrame, html: str, out: str = "text") -> DataFrame:
     """
     page = F.coalesce(F.col(html), F.lit(""))
     return (
-        df.withColumn("_marked", _marked(page))
-        .withColumn("_plain", _is_plain(page, F.col("_marked")))
-        .withColumn("_parsed", _parse(F.when(~F.col("_plain"), page)))
-        .withColumn(out, F.when(F.col("_plain"), _lines(F.col("_marked"))).otherwise(F.col("_parsed")))
-        .drop("_marked", "_plain", "_parsed")
+        df.withColumn("_html_marked", _marked(page))
+        .withColumn("_html_plain", _is_plain(page, F.col("_html_marked")))
+        .withColumn("_html_parsed", _parse(F.when(~F.col("_html_plain"), page)))
+        .withColumn(out, F.when(F.col("_html_plain"), _lines(F.col("_html_marked"))).otherwise(F.col("_html_parsed")))
+        .drop("_html_marked", "_html_plain", "_html_parsed")
     )

@@ -131,15 +131,15 @@ def extract(
     parse = _parser(known)
     plain = decoded(F.col("content"))
     read = (
-        readable.withColumn("_plain", F.when(ext.isin(*TEXT, *HTML), plain))
+        readable.withColumn("_decoded", F.when(ext.isin(*TEXT, *HTML), plain))
         .withColumn("_parsed", parse(F.when(ext.isin(*known), F.col("content")), ext))
         .drop("content")
-        .withColumn("_html", F.when(ext.isin(*HTML), F.col("_plain")))
+        .withColumn("_html", F.when(ext.isin(*HTML), F.col("_decoded")))
     )
     read = with_html_text(read, "_html", "_html_text").withColumn(
         "text",
         F.when(ext.isin(*HTML), F.col("_html_text"))
-        .when(ext.isin(*TEXT), F.col("_plain"))
+        .when(ext.isin(*TEXT), F.col("_decoded"))
         .otherwise(F.col("_parsed.text")),
     )
     failed = F.col("_parsed.detail").isNotNull()
