@@ -35,7 +35,8 @@ def test_masks(spark):
         "Mail j.smith@org.co.uk or +44 7700 900123.", "EMP-00421 and CUS-77", "DOB 5 Feb 1988; born on 05/02/1988",
         "€342M, $1,234.50 and 420000 EUR; 62 percent", "€5", "no amounts", "",
     ]
-    assert apply(spark, texts, policy.anonymised) == [
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    assert [r["text"] for r in policy_label.anonymise(df).orderBy("i").collect()] == [
         "Mail name@organisation.com or +XX XXX XXX XXXX.", "EMP-XXXXX and CUS-XXXXX", "DOB XX XXX 1988; born on XX XXX 1988",
         "€300M, $1,000.00 and 400000 EUR; 62 percent", "€5", "no amounts", "",
     ]
@@ -46,6 +47,21 @@ def test_personal_data_found(spark):
     assert apply(spark, texts, policy.has_personal_data) == [True] * 7 + [False]
 
 
+def test_hints_lose_nothing(spark):
+    """The cheap test before each pattern never hides a match."""
+    texts = ["E@x.org", "+1 (555) 555-1234", "DATES OF BIRTH", "Born On 1", "EMP-7", "CUS-8", "BONUS", "Payroll", "Occupational Health",
+             "Health Record", "Named individual: Ada Byron", "Requestor: Ana Costa", "FOR OFFICIAL USE ONLY", "FOUO", "Internal Use Only",
+             "Approved For Public Distribution", "Cleared for public RELEASE", "Personal CONFIDENTIAL", "none of it", "İstanbul ſ K"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    t = F.col("text")
+    for name, pattern in policy.PERSONAL.items():
+        rows = df.select(t.rlike(pattern).alias("a"), policy._matches(t, pattern, policy.HINTS[name]).alias("b")).collect()
+        assert all(r["a"] == r["b"] for r in rows), name
+    for idx, pattern in policy.STAMPS:
+        rows = df.select(t.rlike(pattern).alias("a"), policy._matches(t, pattern, policy.STAMP_HINTS[idx]).alias("b")).collect()
+        assert all(r["a"] == r["b"] for r in rows), idx
+
+
 def test_lexicon_paths_agree(spark, monkeypatch):
     texts = ["Strictly confidential! Due diligence, due diligence.", "zero-day vulnerability", "", None, "plain words", "Under Embargo / press release"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -57,6 +73,13 @@ def test_lexicon_paths_agree(spark, monkeypatch):
     assert inside[0] == [0, 0, 2, 0, 2, 0] and inside[5] == [1, 0, 1, 0, 0, 0] and inside[3] == [0] * 6
 
 
+def test_overlapping_occurrences_are_all_counted(spark):
+    df = spark.createDataFrame([(1, "aa bb aa bb aa"), (2, "aa aa aa")], "doc_id long, text string")
+    words = spark.createDataFrame([(0, "aa bb aa"), (1, "aa aa"), (2, "bb")], "label_idx int, phrase string")
+    got = {r["doc_id"]: list(r["hits"][:3]) for r in lexicon.with_hits(df, words).collect()}
+    assert got == {1: [2, 0, 2], 2: [0, 2, 0]}
+
+
 def test_ties_go_to_the_lower_level(spark):
     df = spark.createDataFrame([([0, 0, 2, 0, 2, 0],), ([0] * 6,)], "h array<int>")
     assert [r[0] for r in df.select(lexicon.best_level(F.col("h"))).collect()] == [2, None]

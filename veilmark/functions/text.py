@@ -30,8 +30,8 @@ def _decomposed(char: str) -> str:
 
 
 @lru_cache(maxsize=1)
-def _fold_tables() -> tuple[str, str, str]:
-    """(characters to map, their images, regex class of the rest).
+def _fold_tables() -> tuple[str, str, str, str]:
+    """(characters to map, their images, regex class of these, regex class of the rest).
 
     ``translate`` drops the characters of the first string that have no partner
     in the second, so the combining marks go to its end. Characters that fold to
@@ -53,14 +53,20 @@ def _fold_tables() -> tuple[str, str, str]:
             image.append(folded)
         else:
             several.append(point)
+    mapped = _char_class(sorted(ord(c) for c in source + marks))
+    return "".join(source + marks), "".join(image), mapped, _char_class(several)
+
+
+def _char_class(points: list[int]) -> str:
     spans: list[list[int]] = []
-    for point in several:
+    for point in points:
         if spans and point - spans[-1][1] <= _GAP:
             spans[-1][1] = point
         else:
             spans.append([point, point])
-    wide = "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in spans) + "]"
-    return "".join(source + marks), "".join(image), wide
+    ranges = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in spans)
+    # ASCII is ruled out by one look at a bit set before the ranges are tried.
+    return f"[[^\\x{{0}}-\\x{{7F}}]&&[{ranges}]]"
 
 
 @F.arrow_udf(T.StringType())
@@ -73,11 +79,11 @@ def _fold_any(text: pa.Array) -> pa.Array:
 def with_folded(df: DataFrame, text: str, out: str = "folded") -> DataFrame:
     """Add ``out``: lower case first, then accents stripped (NFKD without marks).
 
-    ASCII text needs only ``lower``; other text goes through ``translate``. Rows
-    that may hold characters folding to several others go to a Python worker,
-    which receives nulls for all other rows.
+    Text without any character that folds needs only ``lower``; other text goes
+    through ``translate``. Rows that may hold characters folding to several others
+    go to a Python worker, which receives nulls for all other rows.
     """
-    source, image, wide = _fold_tables()
+    source, image, mapped, wide = _fold_tables()
     low, ascii_only = F.col(out), F.octet_length(out) == F.char_length(out)
     beyond = low.rlike(_BEYOND_LATIN1) & low.rlike(wide)
     return (
@@ -86,7 +92,7 @@ def with_folded(df: DataFrame, text: str, out: str = "folded") -> DataFrame:
         .withColumn(
             out,
             F.when(F.col("_wide").isNotNull(), F.col("_wide"))
-            .when(ascii_only, low)
+            .when(ascii_only | ~low.rlike(mapped), low)
             .otherwise(F.translate(low, source, image)),
         )
         .drop("_wide")

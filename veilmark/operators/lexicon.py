@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veilmark.fixed_values import LEVELS, STARTER_PHRASES
 from veilmark.functions import text as tx
 
-_IN_ROW_LIMIT = 2000
+_IN_ROW_LIMIT = 500
 
 
 def starter_lexicon(spark: SparkSession) -> DataFrame:
@@ -27,42 +27,50 @@ def normalised(lexicon: DataFrame) -> DataFrame:
     )
 
 
+def _repeats_itself(phrase: str) -> bool:
+    """Whether two occurrences can overlap, as in ``aa bb aa``."""
+    t = phrase.split(" ")
+    return any(t[:k] == t[-k:] for k in range(1, len(t)))
+
+
+def _occurrences(joined: Column, phrase: Column) -> Column:
+    """How often a padded phrase occurs in the padded tokens.
+
+    The test without the leading blank is quick to fail at most positions; only
+    phrases that pass it are counted.
+    """
+    rest = F.octet_length(F.replace(joined, phrase, F.lit("")))
+    count = (F.octet_length(joined) - rest) / F.octet_length(phrase)
+    return F.when(joined.contains(F.substr(phrase, F.lit(2))), count.cast("int")).otherwise(F.lit(0))
+
+
 def with_hits(df: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Add ``hits``: for each of the six levels, how often its phrases occur.
 
-    With a lexicon of ordinary size everything happens inside the row: one set
-    intersection finds the phrases present, and only their occurrences are
-    counted. A very large lexicon is joined instead.
+    With a lexicon of ordinary size everything happens inside the row: each token
+    is padded with a blank on either side, so phrases can be searched in one
+    string. A large lexicon, or one with a phrase that overlaps itself, is joined.
     """
     phrases = normalised(lexicon)
     rows = phrases.limit(_IN_ROW_LIMIT + 1).collect()
-    if len(rows) > _IN_ROW_LIMIT:
+    if len(rows) > _IN_ROW_LIMIT or any(_repeats_itself(r["phrase"]) for r in rows):
         return _with_hits_by_join(df, phrases, id_col, text)
-    longest = max((r["n"] for r in rows), default=1)
-    everything = F.lit(sorted({r["phrase"] for r in rows}) or [""])
-    per_level = [sorted(r["phrase"] for r in rows if r["label_idx"] == k) for k in range(len(LEVELS))]
-    found, present = F.col("_found"), F.col("_present")
-    out = (
-        tx.with_words(df, text, "_words")
-        .withColumn("_grams", tx.runs_of(F.col("_words"), longest))
-        .drop("_words")
-        .withColumn("_found", F.array_intersect("_grams", everything))
-        .withColumn(
-            "_present",
-            F.when(
-                F.size(found) > 0, F.filter("_grams", lambda g: F.array_contains(found, g))
-            ).otherwise(F.array().cast("array<string>")),
-        )
-        .drop("_grams", "_found")
-    )
-
-    def count_of(listed: list[str]) -> Column:
-        return F.size(F.filter(present, lambda g: g.isin(listed))) if listed else F.lit(0)
 
-    counts = [count_of(listed) for listed in per_level]
-    return out.withColumn(
-        "hits", F.when(F.size(present) > 0, F.array(*counts)).otherwise(F.lit([0] * len(LEVELS)))
-    ).drop("_present")
+    def padded(tokens: Column) -> Column:
+        return F.concat(F.lit(" "), F.array_join(tokens, "  "), F.lit(" "))
+
+    def level_hits(level: int) -> Column:
+        listed = sorted(" " + r["phrase"].replace(" ", "  ") + " " for r in rows if r["label_idx"] == level)
+        if not listed:
+            return F.lit(0)
+        joined = F.col("_joined")
+        return F.aggregate(F.lit(listed), F.lit(0), lambda acc, p: acc + _occurrences(joined, p))
+
+    out = tx.with_words(df, text, "_words").withColumn("_joined", padded(F.col("_words"))).drop("_words")
+    # The generator keeps filters on the counts from being evaluated below, inside
+    # the search.
+    counts = F.array(F.array(*[level_hits(k) for k in range(len(LEVELS))]))
+    return out.select(*df.columns, F.explode_outer(counts).alias("hits"))
 
 
 def _with_hits_by_join(df: DataFrame, phrases: DataFrame, id_col: str, text: str) -> DataFrame:

@@ -39,4 +39,4 @@ def policy_label(
 
 def anonymise(df: DataFrame, text: str = "text") -> DataFrame:
     """Mask the text; columns computed before keep the original's values."""
-    return df.withColumn(text, policy.anonymised(F.col(text)))
+    return policy.with_anonymised(df, text)
