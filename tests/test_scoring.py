@@ -62,6 +62,25 @@ def test_arrow_and_join_paths_agree_with_numpy(docs, vocab, model):
     assert (row["n"], row["one_sided"], row["different"]) == (len(TEXTS), 0, 0)
 
 
+def test_slabs_change_nothing(monkeypatch):
+    rng = np.random.default_rng(1)
+    counts = rng.integers(0, 6, 50)
+    rows = np.repeat(np.arange(50), counts)
+    idx, val = rng.integers(0, 9, len(rows)), rng.random(len(rows))
+    whole = scoring._forward(rows, idx, val, 50, formula_layers(9), "relu")
+    for limit in (1, 17, 40, 100):
+        monkeypatch.setattr(scoring, "_SLAB", limit)
+        assert np.allclose(scoring._forward(rows, idx, val, 50, formula_layers(9), "relu"), whole)
+    assert scoring._forward(rows[:0], idx[:0], val[:0], 0, formula_layers(9), "relu").shape == (0, 6)
+
+
+def test_sql_function(spark, docs, model):
+    run.register_sql(model, spark, "score_terms")
+    scoring._with_terms(docs, "text").createOrReplaceTempView("term_lists")
+    got = {r[0]: r[1] for r in spark.sql("SELECT doc_id, score_terms(_terms).pred FROM term_lists").collect()}
+    assert got == {r["doc_id"]: r["pred"] for r in run.classify(docs, model).collect()}
+
+
 def test_prediction_columns(docs, vocab, model):
     want = dense_scores(docs, vocab, model)
     for r in run.classify(docs, model).collect():

@@ -22,6 +22,9 @@ from veilmark.functions import text as tx
 from veilmark.operators import tfidf
 
 
+_SLAB = 8_000_000
+
+
 @dataclass(frozen=True)
 class Model:
     """Vocabulary, dense layers, temperature and policy parameters.
@@ -107,8 +110,24 @@ def _weigh(tokens: pa.ListArray, known: pa.Array, idf: np.ndarray):
     return rows, idx, val / norm[rows]
 
 
-def _forward(rows, idx, val, n, layers, activation):
-    """Class probabilities of ``n`` sparse rows."""
+def _forward(rows, idx, val, n, layers, activation) -> np.ndarray:
+    """Class probabilities of ``n`` sparse rows.
+
+    Works through slabs of rows, so that the gathered first-layer weights stay
+    near ``_SLAB`` numbers however long the documents are.
+    """
+    ends = np.cumsum(np.bincount(rows, minlength=n))
+    room = max(_SLAB // layers[0][0].shape[1], 1)
+    parts, a, at = [], 0, 0
+    while a < n:
+        b = min(max(int(np.searchsorted(ends, at + room, side="right")), a + 1), n)
+        to = int(ends[b - 1])
+        parts.append(_slab(rows[at:to] - a, idx[at:to], val[at:to], b - a, layers, activation))
+        a, at = b, to
+    return np.concatenate(parts) if parts else np.zeros((0, layers[-1][0].shape[1]))
+
+
+def _slab(rows, idx, val, n, layers, activation) -> np.ndarray:
     weight, bias = layers[0]
     hidden = np.zeros((n, weight.shape[1]))
     starts = np.flatnonzero(np.append(True, rows[1:] != rows[:-1])) if len(rows) else []
@@ -121,7 +140,7 @@ def _forward(rows, idx, val, n, layers, activation):
         else:
             hidden = 1.0 / (1.0 + np.exp(-hidden))
         hidden = hidden @ weight + bias
-    lifted = np.exp(hidden - hidden.max(axis=1, keepdims=True)) if n else hidden
+    lifted = np.exp(hidden - hidden.max(axis=1, keepdims=True))
     return lifted / lifted.sum(axis=1, keepdims=True)
 
 
@@ -148,15 +167,7 @@ def _calibrated(proba: np.ndarray, temperature: float):
 def _score_rows(
     rows, idx, val, n, layers, activation, temperature, known, salience, top
 ) -> pa.StructArray:
-    # A slab of rows at a time keeps the gathered weights small.
-    bounds = np.searchsorted(rows, np.arange(0, n + 256, 256))
-    parts = [
-        _forward(rows[a:b] - 256 * k, idx[a:b], val[a:b], min(256, n - 256 * k), layers, activation)
-        for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:]))
-        if 256 * k < n
-    ]
-    width = layers[-1][0].shape[1]
-    table = np.concatenate(parts) if parts else np.zeros((0, width))
+    table = _forward(rows, idx, val, n, layers, activation)
     pred, confidence = _calibrated(table, temperature) if n else (np.zeros(0), np.zeros(0))
     proba = _as_lists(table)
     best, weight = _strongest(rows, idx, val, salience, top)
