@@ -145,6 +145,7 @@ PAGES = [
     "1 < 2 &lt;b&gt; &amp;lt; &copy; 3", "<a title='x > y'>link</a>", "&eacute;t&#233; &nbsp; &hellip;", "<script>open",
     "<div\n class=x>multi\nline</div>", "", "<p>unclosed <b>bold", "text <!-- never closed", "<textarea><b>x</b></textarea>",
     "<?php echo 1 ?>after", "a<br/>b", "<!DOCTYPE html><p>  pad  </p>", "x &notanentity; y & z", "<SCRIPT>s</SCRIPT >k",
+    "cut off&amp", "<p>a&ampb &amp;amp; &copy 2</p>",
     "<!-- <script> --> text <script>x</script> end", "<!-- <script>y</script> -->z", "<style>a</style>b<style>",
     "<script><!-- x //--></script>shown", "<!---->a<!-->b-->c",
 ]

@@ -182,8 +182,12 @@ def _html(column: str) -> str:
     out = column
     for pattern in hx.DROPPED:
         out = f"regexp_replace({out}, {_q(pattern)}, chr(1), 'g')"
+    # HTML allows the older names without their semicolon; "&amp" goes last.
     for entity, char in hx.ENTITIES:
-        out = f"replace({out}, {_q(entity)}, {_q(char)})"
+        if entity in ("&#39;", "&apos;"):
+            out = f"replace({out}, {_q(entity)}, {_q(char)})"
+        else:
+            out = f"regexp_replace({out}, {_q(entity + '?')}, {_q(char)}, 'g')"
     trimmed = f"list_transform(string_split({out}, chr(1)), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g'))"
     return f"array_to_string(list_filter({trimmed}, lambda s: s <> ''), chr(10))"
 

@@ -564,8 +564,9 @@ def synthetic_corpus(spark, sf):
 
 def stream_classify(spark, sf):
     model = inputs.formula_model(spark, sf)
-    schema = inputs.table(spark, sf, "documents").schema
-    arriving = live.arriving(spark, sf, schema, "documents.parquet").select("doc_id", "text")
+    stored = inputs.table(spark, sf, "documents")
+    arriving = live.arriving(spark, sf, stored.schema, "documents.parquet").select("doc_id", "text")
+    arriving = spread(arriving, "doc_id", sized_by=stored)
     out = live.drained(live.classify_stream(arriving, model), "stream-classify")
     return out.select("doc_id", "classification", "confidence", "review_flag", "reasoning", "policy_version")
 

@@ -59,14 +59,15 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+def spread(df: DataFrame, key: str, sized_by: DataFrame | None = None) -> DataFrame:
     """Give a small input enough partitions to keep every core busy.
 
     A table that already fills the cluster with full-size splits is returned
     unchanged, so large runs pay for no shuffle. A small file with one row group
-    would otherwise be read and tokenised by a single task.
+    would otherwise be read and tokenised by a single task. A stream has no size of
+    its own; ``sized_by`` names the stored table to go by.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if estimated_bytes(df) >= cores * _SPLIT_BYTES:
+    if estimated_bytes(df if sized_by is None else sized_by) >= cores * _SPLIT_BYTES:
         return df
     return df.repartition(cores, F.col(key))
