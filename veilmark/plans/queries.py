@@ -476,7 +476,8 @@ def selftrain_schedule(spark, sf):
 
 def _training_parts(spark, sf):
     """Vocabulary, stored vectors of the labelled rows (with split) and of the pool."""
-    rows = split.stratified_split(inputs.labelled(spark, sf))
+    # The split is made once and stored; everything after it reads the stored rows.
+    rows = spread(written(split.stratified_split(inputs.labelled(spark, sf)), "split"), "doc_id")
     vocab = tfidf.fit_vocabulary(rows.filter("split = 'train'"))
     known = written(scoring.vectorise_text(rows, vocab), "labelled")
     return vocab, known
