@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilmark.llm import mixing, secrets, sharding, topk
+from veilmark.llm import bpe, mixing, secrets, sharding, topk
 from veilmark.llm.common import table, word_count
 
 #: Bytes a shard may hold; small, because the given tables are.
@@ -65,3 +66,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_topk": op8_topk,
     "op10_secrets": op10_secrets,
 }
+
+
+def op6_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    """Token ids of every document as digests, and the digest of what they decode to."""
+    return bpe.digests(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+QUERIES["op6_bpe"] = op6_bpe
