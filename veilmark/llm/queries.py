@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilmark.llm import bpe, mixing, secrets, sharding, topk
+from veilmark.llm import bpe, kneser_ney, mixing, secrets, sharding, topk
 from veilmark.llm.common import table, word_count
+from veilmark.session import written
 
 #: Bytes a shard may hold; small, because the given tables are.
 SHARD_BYTES = 1 << 20
@@ -74,3 +75,14 @@ def op6_bpe(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES["op6_bpe"] = op6_bpe
+
+
+def op7_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Base counts, perplexity and verdict of every document."""
+    docs = table(spark, sf, "documents")
+    model = kneser_ney.fit(kneser_ney.count_ngrams(docs))
+    rows = kneser_ney.judged(written(kneser_ney.measured(docs, model), "quality"))
+    return rows.drop("lang")
+
+
+QUERIES["op7_quality"] = op7_quality
