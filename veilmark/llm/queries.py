@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilmark.llm import bpe, kneser_ney, mixing, secrets, sharding, topk
-from veilmark.llm.common import table, word_count
+from veilmark.llm import bpe, kneser_ney, mixing, secrets, sharding, topk, toxicity
+from veilmark.llm.common import fold, table, word_count
 from veilmark.session import written
 
 #: Bytes a shard may hold; small, because the given tables are.
@@ -86,3 +86,18 @@ def op7_quality(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES["op7_quality"] = op7_quality
+
+
+def held_out_for_labels(column: str = "doc_id"):
+    return fold(column, 5) == 0
+
+
+def op4_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """Toxicity score of every document; labels are learnt outside fold 0."""
+    docs = table(spark, sf, "documents")
+    model = toxicity.train(*toxicity.learning_sample(docs, table(spark, sf, "labels"), held_out_for_labels()))
+    scored = toxicity.score(docs, model, ["doc_id"])
+    return scored.select("doc_id", held_out_for_labels().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES["op4_toxicity"] = op4_toxicity
