@@ -17,6 +17,8 @@ GRAMS = (4, 5, 6)
 BUCKETS = 1 << 16
 #: Words of a passage, and words from one passage to the next.
 PASSAGE, STEP = 24, 12
+#: A passage with fewer n-grams is averaged as if zero vectors filled it up to so many.
+LEAST_GRAMS = 64
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else (32 if b in b"\t\n\r\x0b\x0c" else b) for b in range(256))
 
@@ -56,6 +58,13 @@ def passages(parts: list[bytes]) -> Passages:
     order = np.argsort(at, kind="stable")
     at, bucket = at[order], bucket[order].astype(np.int32)
     word_doc = np.searchsorted(text_at, word_at, side="right") - 1
+    # A word that repeats the one before it adds nothing to a passage.
+    word = np.searchsorted(word_at, at, side="right") - 1
+    amount = np.bincount(word, minlength=len(word_at))
+    total = np.bincount(word, bucket, minlength=len(word_at))
+    again = np.zeros(len(word_at), dtype=bool)
+    again[1:] = (amount[1:] == amount[:-1]) & (total[1:] == total[:-1]) & (word_doc[1:] == word_doc[:-1])
+    at, bucket = at[~again[word]], bucket[~again[word]]
     gram_at = np.concatenate((np.searchsorted(at, word_at), [len(at)]))
     first = np.searchsorted(word_doc, np.arange(len(parts)))
     words = np.searchsorted(word_doc, np.arange(len(parts)), side="right") - first
@@ -85,7 +94,7 @@ class Model:
 
 def passage_logits(found: Passages, gram_scores: np.ndarray, bias: float) -> np.ndarray:
     run = np.concatenate(([0.0], np.cumsum(gram_scores[found.grams], dtype=np.float64)))
-    return (run[found.stop] - run[found.start]) / np.maximum(found.stop - found.start, 1) + bias
+    return (run[found.stop] - run[found.start]) / np.maximum(found.stop - found.start, LEAST_GRAMS) + bias
 
 
 def highest(found: Passages, logits: np.ndarray, n_docs: int, empty: float) -> np.ndarray:
@@ -103,7 +112,7 @@ def _flat(found: Passages, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     size = found.stop[chosen] - found.start[chosen]
     row = np.repeat(np.arange(len(chosen)), size)
     place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(found.start[chosen], size)
-    return found.grams[place], row, np.maximum(size, 1).astype(np.float32)
+    return found.grams[place], row, np.maximum(size, LEAST_GRAMS).astype(np.float32)
 
 
 def train(parts: list[bytes], labels: np.ndarray, dim: int = 8, rounds: int = 6, seed: int = 11, rate: float = 0.5) -> Model:
@@ -122,7 +131,7 @@ def train(parts: list[bytes], labels: np.ndarray, dim: int = 8, rounds: int = 6,
     weights = np.zeros((dim, 2), dtype=np.float32)
     weights[:, 1] = rng.normal(0, 0.5, dim)
     model = Model(vectors, weights, np.zeros(2, dtype=np.float32), 1.0, float(np.log(share / (1 - share))))
-    if not len(found.doc) or labels.min() == labels.max():
+    if not len(found.grams) or labels.min() == labels.max():
         model.weights[:] = 0
         model.slope = 0.0
         return model
