@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilmark.llm import bpe, kneser_ney, mixing, secrets, sharding, topk, toxicity
+from veilmark.llm import bpe, kneser_ney, mixing, pitman_yor, secrets, sharding, topk, toxicity
 from veilmark.llm.common import fold, table, word_count
 from veilmark.session import written
 
@@ -101,3 +101,12 @@ def op4_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES["op4_toxicity"] = op4_toxicity
+
+
+def op3_pitman_yor(spark: SparkSession, sf: str) -> DataFrame:
+    """Log probability of every document under the model learnt outside fold 2, and the add-one base."""
+    docs = table(spark, sf, "documents").withColumn("learn", fold("doc_id", 7) != 2)
+    return pitman_yor.score_texts(docs)
+
+
+QUERIES["op3_pitman_yor"] = op3_pitman_yor
