@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilmark.llm import bpe, kneser_ney, mixing, pitman_yor, secrets, sharding, topk, toxicity
+from veilmark.llm import bpe, group_join, kneser_ney, mixing, pitman_yor, secrets, sharding, topk, toxicity
 from veilmark.llm.common import fold, table, word_count
 from veilmark.session import written
 
@@ -110,3 +110,11 @@ def op3_pitman_yor(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES["op3_pitman_yor"] = op3_pitman_yor
+
+
+def op9_group_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Shingle count and near-duplicate component of every document."""
+    return group_join.jaccard_components(table(spark, sf, "documents"))
+
+
+QUERIES["op9_group_join"] = op9_group_join

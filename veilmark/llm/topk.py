@@ -32,30 +32,35 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return out
 
 
-def _best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, block: int = 64):
+def _best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, block: int = 64, tile: int = 1_024):
     """The k best of ``vectors`` (sorted by id) for each query, term at a time."""
     largest = int(np.abs(queries).max(initial=0)) * int(np.abs(vectors).max(initial=0)) * max(1, queries.shape[1])
     kind = np.float32 if largest < 1 << 24 else np.int64
-    # Postings: for each term the rows that hold it, with their weights.
-    postings = []
-    for term in range(vectors.shape[1]):
-        at = np.flatnonzero(vectors[:, term])
-        postings.append((None if len(at) == len(ids) else at, vectors[at, term].astype(kind)))
+    # Postings by tile: for each term the rows that hold it, with their weights.
+    tiles = []
+    for low in range(0, len(ids), tile):
+        rows = vectors[low : low + tile]
+        held = [np.flatnonzero(rows[:, t]) for t in range(rows.shape[1])]
+        tiles.append((low, len(rows), [(None if len(at) * 2 > len(rows) else at, rows[slice(None) if len(at) * 2 > len(rows) else at, t].astype(kind)) for t, at in enumerate(held)]))
+    scratch = np.empty((block, tile), dtype=kind)
     take = min(k, len(ids))
     for start in range(0, len(query_ids), block):
-        part = queries[start : start + block]
+        part = queries[start : start + block].astype(kind)
         scores = np.zeros((len(part), len(ids)), dtype=kind)
-        for term, (at, weights) in enumerate(postings):
-            with_term = np.flatnonzero(part[:, term])
-            if not len(with_term) or not len(weights):
-                continue
-            added = part[with_term, term].astype(kind)[:, None] * weights[None, :]
-            if at is None and len(with_term) == len(part):
-                scores += added
-            elif at is None:
-                scores[with_term] += added
-            else:
-                scores[np.ix_(with_term, at)] += added
+        used = [np.flatnonzero(part[:, t]) for t in range(part.shape[1])]
+        for low, n, postings in tiles:
+            into = np.zeros((len(part), n), dtype=kind)
+            for term, (at, weights) in enumerate(postings):
+                if not len(used[term]) or not len(weights):
+                    continue
+                if at is None:
+                    # Most rows hold the term: its postings are one dense column.
+                    added = np.multiply(part[:, term, None], weights, out=scratch[: len(part), :n])
+                    np.add(into, added, out=into)
+                else:
+                    with_term = used[term]
+                    into[np.ix_(with_term, at)] += part[with_term, term, None] * weights
+            scores[:, low : low + n] = into
         for i, row in enumerate(scores):
             mine = query_ids[start + i]
             lo, hi = np.searchsorted(ids, [mine, mine + 1])
