@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilmark.llm.common import parts_for, slices, texts
@@ -86,8 +86,8 @@ def _unpack(payload: bytes, kind) -> np.ndarray:
 
 # --- 1. sets --------------------------------------------------------------------------
 
-_CENSUS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.int64()), ("tokens", pa.list_(pa.int64()))])
-_CENSUS_DDL = "doc_id long, n_shingles long, cls long, tokens array<long>"
+_CENSUS = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+_CENSUS_DDL = "doc_id long, row_key long, n_shingles long, cls long, tokens array<long>"
 
 
 def _census(words: int):
@@ -101,7 +101,7 @@ def _census(words: int):
             often = np.repeat(tokens[n > 2], np.minimum(n[n > 2], 64)).view(np.int64)
             lists = [often.tolist() if i == 0 else None for i in range(len(sets))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(list(map(len, sets)), pa.int64()), pa.array(classes, pa.int64()),
+                [batch.column("doc_id").cast(pa.int64()), batch.column("row_key"), pa.array(list(map(len, sets)), pa.int64()), pa.array(classes, pa.int64()),
                  pa.array(lists, pa.list_(pa.int64()))], schema=_CENSUS)
 
     return census
@@ -390,17 +390,23 @@ def _residual(runs: DataFrame, comps: DataFrame, sets: DataFrame, percent: int)
 # --- the join -------------------------------------------------------------------------------
 
 
+def row_key() -> Column:
+    """Equal for rows of one id and text."""
+    return F.xxhash64("doc_id", "text")
+
+
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of each row of ``doc_id, text``.
+    """``doc_id, row_key, n_shingles, comp, component_id`` of each row of ``doc_id, text``.
 
-    Two texts link where 100 * intersection >= percent * union; ``component_id`` is the smallest doc_id reachable.
+    Two texts link where 100 * intersection >= percent * union; ``component_id`` is the smallest doc_id reachable,
+    ``comp`` another name of the component, null for empty sets.
     Null texts and texts without words have an empty set and their own id. Repeated rows are each
     returned; a null id takes part and never names a component unless it stands alone. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text", row_key().alias("row_key"))
     census = written(docs.mapInArrow(_census(words), _CENSUS_DDL), "census")
-    rows = census.select("doc_id", "n_shingles", "cls")
+    rows = census.select("doc_id", "row_key", "n_shingles", "cls")
     top = census.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "t").limit(_FREQUENT).toArrow()
     often, weight = np.asarray(top.column("t"), np.int64).view(np.uint64), np.asarray(top.column("n"), np.int64)
     order = np.argsort(often)
@@ -429,7 +435,18 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
     first = rows.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first"))
     named = first.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     lowest = named.groupBy("comp").agg(F.min("first").alias("component_id"))
-    of_class = written(named.join(lowest, "comp").select("cls", "component_id"), "class_components")
-    full = rows.filter("cls is not null").join(of_class, "cls").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    bare = rows.filter("cls is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return full.unionByName(bare)
+    of_class = written(named.join(lowest, "comp").select("cls", "comp", "component_id"), "class_components")
+    names = ["doc_id", "row_key", "n_shingles", "comp"]
+    full = rows.filter("cls is not null").join(of_class, "cls").select(*names, F.coalesce("component_id", "doc_id").alias("component_id"))
+    bare = rows.filter("cls is null").withColumn("comp", F.lit(None).cast("long"))
+    return full.unionByName(bare.select(*names, F.col("doc_id").alias("component_id")))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of ``docs`` of which one stays for each component: the one with the smallest id, a null id last.
+    Rows that repeat an id and its text are one document. Texts without words all stay."""
+    found = jaccard_components(docs, words, percent)
+    order = F.struct(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), F.col("row_key"))
+    kept = found.filter("comp is not null").groupBy("comp").agg(F.min_by("row_key", order).alias("kept_key")).select("kept_key")
+    kept = kept.union(found.filter("comp is null").select("row_key")).distinct()
+    return docs.withColumn("kept_key", row_key()).join(written(kept, "kept"), "kept_key", "left_semi").dropDuplicates(["kept_key"]).select(*docs.columns)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import parts_for
+from veilmark.llm.common import WORD, parts_for, word_count
 from veilmark.llm.sharding import HASH_BITS, hash_bits
 from veilmark.session import checkpointed
 
@@ -83,3 +83,15 @@ def mix(rows: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: float = 3.0, s
         .withColumn("taken", (epochs * F.col("size") + part).cast("long"))
         .drop("key", "bucket", "offset", "before", "range_source", "range_bucket")
     )
+
+
+def taken_texts(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` as the mix takes them: a row as often as it is taken whole, and one shortened row
+    where a budget ends inside a text: its first words, joined by blanks. Rows of which nothing is taken go."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size"), F.md5("text").alias("content"))
+    mixed = mix(rows, **options).filter("taken > 0")
+    turns = mixed.withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("taken") / F.col("size")))))
+    words = F.least(F.col("size"), F.col("taken") - (F.col("turn") - 1) * F.col("size"))
+    first = F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(WORD), 0), F.lit(1), words.cast("int")), " ")
+    text = F.when(words < F.col("size"), first).otherwise(F.col("row.text"))
+    return turns.select(*(text.alias("text") if c == "text" else F.col(f"row.{c}").alias(c) for c in docs.columns))

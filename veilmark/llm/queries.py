@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilmark.llm import bpe, group_join, kneser_ney, mixing, pitman_yor, secrets, sharding, topk, toxicity
+from veilmark.llm import bpe, group_join, kneser_ney, mixing, pitman_yor, secrets, sharding, substring_dedup, topk, toxicity
 from veilmark.llm.common import fold, table, word_count
 from veilmark.session import written
 
@@ -114,7 +114,25 @@ QUERIES["op3_pitman_yor"] = op3_pitman_yor
 
 def op9_group_join(spark: SparkSession, sf: str) -> DataFrame:
     """Shingle count and near-duplicate component of every document."""
-    return group_join.jaccard_components(table(spark, sf, "documents"))
+    return group_join.jaccard_components(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 QUERIES["op9_group_join"] = op9_group_join
+
+
+def op1_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Spans of every document that an earlier document holds as well."""
+    return substring_dedup.repeated_spans(table(spark, sf, "documents"))
+
+
+QUERIES["op1_substring_dedup"] = op1_substring_dedup
+
+
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    """All stages of the corpus pipeline over ``documents``."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf)
+
+
+QUERIES["pipeline"] = pipeline

@@ -112,20 +112,44 @@ def judged(scanned: DataFrame, owned: DataFrame, max_owners: int = 1, max_reposi
     )
 
 
+def row_key() -> Column:
+    """Equal for rows of one id and text."""
+    return F.xxhash64("doc_id", "text")
+
+
+def scan_and_judge(docs: DataFrame, repository: Column, owner: Column, keep: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The scanned rows (``keep`` and ``row_key``), and per row key the ``found`` spans that stay.
+
+    The scan is written once; what follows sees one row per value and holder, and texts never move.
+    """
+    named = docs.select(
+        *(F.col(c) for c in keep if c != "text"), row_key().alias("row_key"), repository.cast("string").alias("its_repository"),
+        owner.cast("string").alias("its_owner"), "text",
+    )
+    scanned = written(scan(named, [c for c in named.columns if c != "text"]), "secrets")
+    return scanned, judged(scanned, ownership(scanned, F.col("its_repository"), F.col("its_owner")))
+
+
 def find_secrets(docs: DataFrame, repository: Column, owner: Column, keep: list[str]) -> DataFrame:
     """Each row's columns ``keep`` and ``found``: its spans by start, then kind (``KINDS``).
 
     ``found`` is an array of (start, kind, end, live) in code points, end exclusive; empty for texts without
     findings, and for null and empty texts. Rows that repeat, also with a null id, are each returned.
-    The corpus-wide step sees one row per value and holder; texts never move.
     """
-    key = F.xxhash64("doc_id", "text")
-    extra = [c for c in ("source", "lang") if c in docs.columns]
-    named = docs.withColumn("row_key", key)
-    carry = list(dict.fromkeys([c for c in keep if c != "text"] + ["doc_id", "row_key", *extra]))
-    scanned = written(scan(named, carry), "secrets")
-    owned = ownership(scanned, repository, owner)
-    verdicts = judged(scanned, owned)
-    joined = scanned.drop("kinds", "starts", "ends", "hashes").join(verdicts, "row_key", "left")
+    scanned, verdicts = scan_and_judge(docs, repository, owner, keep)
     empty = F.array().cast("array<struct<start:int,kind:int,end:int,live:boolean>>")
-    return joined.withColumn("found", F.coalesce("found", empty)).select(*keep, "found")
+    joined = scanned.select(*keep, "row_key").join(verdicts, "row_key", "left")
+    return joined.select(*keep, F.coalesce("found", empty).alias("found"))
+
+
+def masked(docs: DataFrame, repository: Column, owner: Column, mask: str = "[SECRET]") -> DataFrame:
+    """``docs`` with every finding in ``text`` replaced by ``mask``; overlapping findings are one. Other columns stay."""
+    _, verdicts = scan_and_judge(docs, repository, owner, ["doc_id"])
+    verdicts = verdicts.select(F.col("row_key").alias("found_key"), "found")
+    cut = F.expr(
+        "aggregate(found, struct('' as t, 0 as at), (a, s) -> if(s.`end` <= a.at, a, struct("
+        "if(s.start >= a.at, concat(a.t, substr(text, a.at + 1, s.start - a.at), '" + mask + "'), a.t) as t, s.`end` as at)), "
+        "a -> concat(a.t, substr(text, a.at + 1)))"
+    )
+    joined = docs.join(verdicts, row_key() == F.col("found_key"), "left")
+    return joined.withColumn("text", F.when(F.col("found").isNull(), F.col("text")).otherwise(cut)).select(*docs.columns)
