@@ -9,7 +9,6 @@ an unknown word. All probabilities of known words and of "unknown" add up to one
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -243,43 +242,36 @@ def seat(n: np.ndarray, tables: np.ndarray, parent: np.ndarray, level: Restauran
 
     Given the other dishes' tables, the number of tables of a dish of c customers has probability proportional to
     S(c, t) (strength + discount * others)^(rising t steps of discount) parent^t; seatings of the same t are summed by
-    S. Up to the size of ``logs`` t is drawn from exactly this. A dish with more customers is reseated one
-    customer after another by the seating rule, jumping from new table to new table.
+    S. Up to the size of ``logs`` t is drawn from exactly this. The customers of a larger dish are all reseated
+    by the seating rule, given the tables of the other dishes.
     """
     out = tables.copy()
     most, d, theta = len(logs) - 1, level.discount, level.strength
     whole = tables.sum()
-    with np.errstate(divide="ignore"):
-        prior = np.log(np.maximum(parent, 1e-300))
-    for i in np.flatnonzero(n > 1):
+    prior = np.log(np.maximum(parent, 1e-300))
+    for i in np.flatnonzero((n > 1) & (n <= most)):
         others, c = whole - out[i], int(n[i])
-        if c <= most:
-            t = np.arange(1, c + 1)
-            w = logs[c, 1 : c + 1] + t * prior[i] + np.cumsum(np.log(theta + d * (others + t - 1)))
-            w = np.exp(w - w.max())
-            new = 1 + int(np.searchsorted(np.cumsum(w), rng.random() * w.sum()))
-            new = min(new, c)
-        else:
-            new = _reseat(c, others, parent[i], d, theta, rng)
+        w = logs[c, 1 : c + 1] + np.arange(1, c + 1) * prior[i] + np.cumsum(np.log(theta + d * (others + np.arange(c))))
+        run = np.cumsum(np.exp(w - w.max()))
+        new = min(c, 1 + int(np.searchsorted(run, rng.random() * run[-1])))
         whole += new - out[i]
         out[i] = new
+    large = np.flatnonzero(n > most)
+    if len(large):
+        out[large] = _reseat(n[large], whole - out[large], parent[large], d, theta, rng)
     return out
 
 
-def _reseat(c: int, others: float, p: float, d: float, theta: float, rng) -> int:
-    seated, t = 1, 1
-    while seated < c:
-        a = (theta + d * (others + t)) * p
-        # Chance that the customers seated+1 .. m all join a table: ratio of gamma functions.
-        goal, low, high = math.log(rng.random() + 1e-300), seated, c
-        base = math.lgamma(seated - d * t) - math.lgamma(seated - d * t + a)
-        joined = lambda m: math.lgamma(m - d * t + a) - math.lgamma(m - d * t) + base
-        if -joined(c) > goal:
-            break
-        while high - low > 1:
-            mid = (low + high) // 2
-            low, high = (mid, high) if -joined(mid) > goal else (low, mid)
-        seated, t = high, t + 1
+def _reseat(c: np.ndarray, others: np.ndarray, p: np.ndarray, d: float, theta: float, rng) -> np.ndarray:
+    """Tables of dishes whose customers sit down one after another; from the twentieth on, a
+    twentieth of those seated sits down at once and new tables among them are drawn together."""
+    seated, t = np.ones(len(c), dtype=np.int64), np.ones(len(c), dtype=np.int64)
+    while (seated < c).any():
+        step = np.minimum(np.maximum(1, seated // 20), c - seated)
+        new = (theta + d * (others + t)) * p
+        chance = new / (new + seated + (step - 1) / 2 - d * t)
+        t += rng.binomial(step, np.clip(chance, 0.0, 1.0))
+        seated += step
     return t
 
 
@@ -321,7 +313,7 @@ class Model:
         return np.log10(np.where(n > 0, n - self.rare.discount, unknown) / whole)
 
 
-def fit(docs: DataFrame, symbols: Symbols, sums: np.ndarray, burn_in: int = 3, samples: int = 3, seed: int = 5) -> Model:
+def fit(docs: DataFrame, symbols: Symbols, sums: np.ndarray, burn_in: int = 2, samples: int = 3, seed: int = 5) -> Model:
     """Seat the training tokens by Gibbs sweeps and average the predictive probabilities of the later ones.
 
     Context restaurants are rows of a table and are swept in parallel, given the parent's
@@ -333,14 +325,15 @@ def fit(docs: DataFrame, symbols: Symbols, sums: np.ndarray, burn_in: int = 3, s
         "context", F.col("x.symbol").alias("symbols"), F.col("x.n").alias("counts"),
         F.transform("x.n", lambda n: F.lit(1).cast("long")).alias("tables"),
     )
-    state = written(state.repartition(parts_for(size, 64), "context"), "restaurants")
+    workers = docs.sparkSession.sparkContext.defaultParallelism
+    state = written(state, "restaurants")
     low, high = Restaurant(0.75, 5.0), Restaurant(0.5, 5.0)
     logs, rng = stirling(high.discount, 40), np.random.default_rng(seed)
     base = np.full(size, 1.0 / size)
     total, parent_tables = np.zeros((size, size)), np.zeros(size, dtype=np.int64)
     parent = base
     for turn in range(burn_in + samples):
-        state = written(state.mapInArrow(_sweeper(parent, low, seed * 1000 + turn), _SWEEP_DDL), "restaurants")
+        state = written(state.repartition(workers, "context").mapInArrow(_sweeper(parent, low, seed * 1000 + turn), _SWEEP_DDL), "restaurants")
         sat = state.select(F.explode(F.arrays_zip("symbols", "tables")).alias("x")).groupBy("x.symbols").agg(F.sum("x.tables").alias("t"))
         customers = np.zeros(size, dtype=np.int64)
         for s, t in sat.collect():
