@@ -62,15 +62,19 @@ def test_hints_lose_nothing(spark):
         assert all(r["a"] == r["b"] for r in rows), idx
 
 
-def test_lexicon_paths_agree(spark, monkeypatch):
-    texts = ["Strictly confidential! Due diligence, due diligence.", "zero-day vulnerability", "", None, "plain words", "Under Embargo / press release"]
+def test_lexicon_counts(spark):
+    texts = ["Draft contract! Takeover plan, takeover plan.", "root key", "", None, "plain words", "Press Kit / draft contract"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    words = lexicon.starter_lexicon(spark)
-    inside = {r["doc_id"]: list(r["hits"]) for r in lexicon.with_hits(df, words).collect()}
-    monkeypatch.setattr(lexicon, "_IN_ROW_LIMIT", 1)
-    joined = {r["doc_id"]: list(r["hits"]) for r in lexicon.with_hits(df, words).collect()}
-    assert inside == joined
-    assert inside[0] == [0, 0, 2, 0, 2, 0] and inside[5] == [1, 0, 1, 0, 0, 0] and inside[3] == [0] * 6
+    got = {r["doc_id"]: list(r["hits"]) for r in lexicon.with_hits(df, lexicon.starter_lexicon(spark)).collect()}
+    assert got[0] == [0, 0, 1, 0, 2, 0] and got[5] == [1, 0, 1, 0, 0, 0] and got[3] == [0] * 6 and got[1] == [0, 0, 0, 0, 1, 0]
+
+
+@pytest.mark.parametrize("size", [1, 600])
+def test_lexicon_of_any_size_needs_no_ids(spark, size):
+    df = spark.createDataFrame([(1, "aa bb"), (1, "aa bb and aa bb"), (None, "bb aa bb")], "doc_id long, text string")
+    words = spark.createDataFrame([(0, "aa bb")] + [(1, f"other{i} phrase") for i in range(size)], "label_idx int, phrase string")
+    got = sorted((r["text"], r["hits"][0]) for r in lexicon.with_hits(df, words).collect())
+    assert got == [("aa bb", 1), ("aa bb and aa bb", 2), ("bb aa bb", 1)]
 
 
 def test_overlapping_occurrences_are_all_counted(spark):
@@ -97,7 +101,7 @@ def test_agreement_on_golden_and_boundary_texts(spark):
     out = policy_label.policy_label(df, lexicon.starter_lexicon(spark)).collect()
     agree = sum(r["level_idx"] == r["expected"] for r in out)
     # Rules alone are not expected to reach all; the model is the main path.
-    assert len(out) == len(rows) and agree >= 9
+    assert len(out) == len(rows) and agree == len(rows)
 
 
 @pytest.mark.parametrize("column", ["level_idx", "has_pii"])

@@ -24,36 +24,53 @@ _CUT = "\u0000"
 _BLANK = r"[\s\p{Z}\x1c-\x1f\x85]+"
 
 
-class _Lines(HTMLParser):
+class _TextNodes(HTMLParser):
+    """Collects the text between tags; what a script or style element holds is left out."""
+
+    SILENT = frozenset(("script", "style"))
+
     def __init__(self) -> None:
-        super().__init__()
-        self.lines: list[str] = []
-        self.hidden = False
+        super().__init__(convert_charrefs=True)
+        self.nodes: list[str] = []
+        self._within: str | None = None
 
     def handle_starttag(self, tag, attrs):
-        self.hidden = self.hidden or tag in ("script", "style")
+        if self._within is None and tag in self.SILENT:
+            self._within = tag
 
     def handle_endtag(self, tag):
-        self.hidden = self.hidden and tag not in ("script", "style")
+        if tag in self.SILENT:
+            self._within = None
 
     def handle_data(self, data):
-        line = data.strip()
-        if line and not self.hidden:
-            self.lines.append(line)
+        if self._within is None:
+            self.nodes.append(data)
 
 
 def parsed_text(html: str) -> str:
     """The same result from a full HTML parser, for pages the patterns do not cover."""
-    parser = _Lines()
+    parser = _TextNodes()
     parser.feed(html)
-    return "\n".join(parser.lines)
+    return "\n".join(filter(None, map(str.strip, parser.nodes)))
+
+
+_PARSED = T.StructType([T.StructField("text", T.StringType()), T.StructField("error", T.StringType())])
+_PARSED_ARROW = pa.struct([("text", pa.string()), ("error", pa.string())])
 
 
-@F.arrow_udf(T.StringType())
+def _parsed_row(html: str | None) -> dict | None:
+    """A page that the parser cannot read is a row with a message, not a failed job."""
+    if html is None:
+        return None
+    try:
+        return {"text": parsed_text(html), "error": None}
+    except Exception as error:
+        return {"text": None, "error": f"{type(error).__name__}: {error}"}
+
+
+@F.arrow_udf(_PARSED)
 def _parse(html: pa.Array) -> pa.Array:
-    if html.null_count == len(html):
-        return html
-    return pa.array([None if h is None else parsed_text(h) for h in html.to_pylist()], pa.string())
+    return pa.array([_parsed_row(h) for h in html.to_pylist()], _PARSED_ARROW)
 
 
 def _marked(html: Column) -> Column:
@@ -89,9 +106,11 @@ def _is_plain(html: Column, marked: Column) -> Column:
     return ~(odd_markup | bare.rlike(r"&[A-Za-z#]|<"))
 
 
-def with_html_text(df: DataFrame, html: str, out: str = "text") -> DataFrame:
+def with_html_text(df: DataFrame, html: str, out: str = "text", error: str | None = None) -> DataFrame:
     """Add ``out``: text nodes without script and style, trimmed, one per line.
 
+    A page that cannot be read has a null text, and its message in ``error`` if that is named.
+
     Built-in functions do the work for ordinary pages. Pages with markup the
     patterns cannot read go through the standard library's parser.
     """
@@ -100,6 +119,7 @@ def with_html_text(df: DataFrame, html: str, out: str = "text") -> DataFrame:
         df.withColumn("_html_marked", _marked(page))
         .withColumn("_html_plain", _is_plain(page, F.col("_html_marked")))
         .withColumn("_html_parsed", _parse(F.when(~F.col("_html_plain"), page)))
-        .withColumn(out, F.when(F.col("_html_plain"), _lines(F.col("_html_marked"))).otherwise(F.col("_html_parsed")))
+        .withColumn(out, F.when(F.col("_html_plain"), _lines(F.col("_html_marked"))).otherwise(F.col("_html_parsed.text")))
+        .withColumns({error: F.col("_html_parsed.error")} if error else {})
         .drop("_html_marked", "_html_plain", "_html_parsed")
     )

@@ -21,13 +21,23 @@ def band(confidence: Column) -> Column:
     return F.when(confidence >= 0.9, "high").when(confidence >= 0.75, "medium").otherwise("low")
 
 
+def _utc(ts: Column, between: str) -> Column:
+    """Read off the seconds since 1970, so the session time zone plays no part. A time stored
+    without zone is read in the session's zone."""
+    seconds = F.unix_seconds(ts.cast("timestamp"))
+    day = F.date_from_unix_date(F.floor(seconds / 86400).cast("int")).cast("string")
+    rest = F.pmod(seconds, F.lit(86400))
+    clock = F.format_string("%02d:%02d:%02d", F.floor(rest / 3600), F.floor(rest % 3600 / 60), rest % 60)
+    return F.when(ts.isNotNull(), F.concat(day, F.lit(between), clock, F.lit("Z")))
+
+
 def utc_stamp(ts: Column) -> Column:
-    """``YYYY-MM-DDTHH:MM:SSZ``; the session time zone is expected to be UTC."""
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """``YYYY-MM-DDTHH:MM:SSZ`` in UTC, in any session time zone."""
+    return _utc(ts, "T")
 
 
 def utc_stamp_spaced(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd HH:mm:ss'Z'")
+    return _utc(ts, " ")
 
 
 def csv_field(value: Column) -> Column:

@@ -13,6 +13,10 @@ from veilmark.fixed_values import HISTOGRAM_EDGES, HISTOGRAM_LABELS, LEVELS, REV
 from veilmark.levels import level_name, level_table
 
 
+#: Stands for a null or unknown class.
+OUTSIDE = -1
+
+
 def _grid(df: DataFrame, n: int) -> DataFrame:
     """All (true, predicted) class pairs, from one generated row."""
     axis = F.sequence(F.lit(0), F.lit(n - 1))
@@ -22,11 +26,14 @@ def _grid(df: DataFrame, n: int) -> DataFrame:
 
 
 def confusion_matrix(preds: DataFrame, n: int = len(LEVELS)) -> DataFrame:
-    """``(y, pred, n)`` for every pair of classes, zeros included."""
-    counts = preds.groupBy(
-        F.col("y").cast("int").alias("y"), F.col("pred").cast("int").alias("pred")
-    ).agg(F.count(F.lit(1)).alias("n"))
-    return _grid(preds, n).join(counts, ["y", "pred"], "left").select(
+    """``(y, pred, n)`` for every pair of classes, zeros included.
+
+    A class that is null or outside the list counts as ``OUTSIDE``; such pairs appear
+    where there are any, so the cells add up to the rows.
+    """
+    side = lambda c: F.when(F.col(c).between(0, n - 1), F.col(c).cast("int")).otherwise(OUTSIDE).alias(c)
+    counts = preds.groupBy(side("y"), side("pred")).agg(F.count(F.lit(1)).alias("n"))
+    return _grid(preds, n).join(counts, ["y", "pred"], "full").select(
         "y", "pred", F.coalesce("n", F.lit(0)).cast("long").alias("n")
     )
 
@@ -36,7 +43,10 @@ def _ratio(a: Column, b: Column) -> Column:
 
 
 def class_report(preds: DataFrame) -> DataFrame:
-    """Precision, recall, F1 and support per class, then accuracy and averages."""
+    """Precision, recall, F1 and support per class, then accuracy and averages.
+
+    Accuracy is over all rows; a row whose class or prediction is null or unknown is a miss.
+    """
     cells = confusion_matrix(preds)
     sides = cells.select(
         F.explode(
@@ -50,7 +60,7 @@ def class_report(preds: DataFrame) -> DataFrame:
         ).alias("s")
     ).select("s.*")
     per = (
-        sides.groupBy("c")
+        sides.filter(F.col("c") != OUTSIDE).groupBy("c")
         .agg(F.sum("support").alias("support"), F.sum("claimed").alias("claimed"), F.sum("hit").alias("hit"))
         .withColumn("precision", _ratio(F.col("hit"), F.col("claimed")))
         .withColumn("recall", _ratio(F.col("hit"), F.col("support")))
@@ -67,7 +77,8 @@ def class_report(preds: DataFrame) -> DataFrame:
         *[_ratio(F.sum(F.col(s) * F.col("support")), total).alias(s) for s in scores],
         total.alias("support"),
     )
-    hits = per.agg(_ratio(F.sum("hit"), total).alias("a"), total.alias("support"))
+    right = F.sum(F.when((F.col("y") == F.col("pred")) & (F.col("y") != OUTSIDE), F.col("n")).otherwise(0))
+    hits = cells.agg(_ratio(right, F.sum("n")).alias("a"), F.sum("n").alias("support"))
     accuracy = hits.select(*[F.col("a").alias(s) for s in scores], "support")
     named = lambda df, label: df.select(F.lit(label).alias("label"), *scores, "support")
     return (
@@ -108,10 +119,10 @@ def confidence_histogram(preds: DataFrame, threshold: float = REVIEW_THRESHOLD)
 
 
 def accuracy(preds: DataFrame) -> DataFrame:
-    """Rows, accuracy and mean confidence."""
+    """Rows, accuracy and mean confidence; a row without class or prediction is a miss."""
     return preds.agg(
         F.count(F.lit(1)).alias("n"),
-        F.avg((F.col("pred") == F.col("y")).cast("double")).alias("accuracy"),
+        F.avg(F.coalesce((F.col("pred") == F.col("y")).cast("double"), F.lit(0.0))).alias("accuracy"),
         F.avg("confidence").alias("confidence_mean"),
     )
 
@@ -128,8 +139,8 @@ def compare_models(first: DataFrame, second: DataFrame, id_col: str = "doc_id")
 
 
 def class_distribution(df: DataFrame, label: str = "y") -> DataFrame:
-    """Rows per class and a total row with a null label."""
-    return df.rollup(label).agg(F.count(F.lit(1)).alias("n"))
+    """Rows per class, rows without a class, and the total, told apart by ``is_total``."""
+    return df.rollup(label).agg(F.count(F.lit(1)).alias("n"), F.grouping(label).cast("int").alias("is_total"))
 
 
 def golden_check(preds: DataFrame, expected: DataFrame, on: str) -> DataFrame:
@@ -169,3 +180,22 @@ def sufficiency(df: DataFrame, label: str = "y") -> DataFrame:
         F.when(n < 5, "marginal").when(n < 15, "noticeable").when(n < 30, "strong").otherwise("diminishing")
     )
     return df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).withColumn("effect", effect)
+
+
+def run_summary(log: DataFrame) -> DataFrame:
+    """Total, classified, errors and flagged rows of a log."""
+    missing = F.col("classification").isNull()
+    return log.agg(
+        F.count(F.lit(1)).alias("total"),
+        F.count_if(~missing).alias("classified"),
+        F.count_if(missing).alias("errors"),
+        F.count_if(F.col("review_flag")).alias("flagged"),
+    )
+
+
+def errors_by_status(log: DataFrame) -> DataFrame:
+    return (
+        log.filter(F.col("classification").isNull())
+        .groupBy("extraction_status")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilmark.fixed_values import LEVELS, STARTER_PHRASES
 from veilmark.functions import text as tx
 
-_IN_ROW_LIMIT = 500
+#: Bound of what is sent along with the tasks.
+MOST_PHRASES = 1_000_000
 
 
 def starter_lexicon(spark: SparkSession) -> DataFrame:
@@ -27,67 +30,43 @@ def normalised(lexicon: DataFrame) -> DataFrame:
     )
 
 
-def _repeats_itself(phrase: str) -> bool:
-    """Whether two occurrences can overlap, as in ``aa bb aa``."""
-    t = phrase.split(" ")
-    return any(t[:k] == t[-k:] for k in range(1, len(t)))
+def _counter(rows: list[tuple[int, str]]):
+    """Arrow UDF: tokens of a row -> occurrences of each level's phrases, overlapping ones too."""
+    by_first: dict[str, list[tuple[list[str], int]]] = {}
+    for level, phrase in rows:
+        tokens = phrase.split(" ")
+        by_first.setdefault(tokens[0], []).append((tokens, level))
 
+    def hits(tokens: list[str]) -> list[int]:
+        found = [0] * len(LEVELS)
+        for at, token in enumerate(tokens):
+            for phrase, level in by_first.get(token, ()):
+                if tokens[at : at + len(phrase)] == phrase:
+                    found[level] += 1
+        return found
 
-def _occurrences(joined: Column, phrase: Column) -> Column:
-    """How often a padded phrase occurs in the padded tokens.
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def count(words: pa.Array) -> pa.Array:
+        return pa.array([hits(w or []) for w in words.to_pylist()], pa.list_(pa.int32()))
 
-    The test without the leading blank is quick to fail at most positions; only
-    phrases that pass it are counted.
-    """
-    rest = F.octet_length(F.replace(joined, phrase, F.lit("")))
-    count = (F.octet_length(joined) - rest) / F.octet_length(phrase)
-    return F.when(joined.contains(F.substr(phrase, F.lit(2))), count.cast("int")).otherwise(F.lit(0))
+    return count
 
 
 def with_hits(df: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Add ``hits``: for each of the six levels, how often its phrases occur.
 
-    With a lexicon of ordinary size everything happens inside the row: each token
-    is padded with a blank on either side, so phrases can be searched in one
-    string. A large lexicon, or one with a phrase that overlaps itself, is joined.
+    One narrow stage for a lexicon of any size: each token is looked up as a phrase's
+    first word. Rows need no id, and equal rows are counted each on its own; ``id_col`` is not used.
+    The phrases travel with the tasks, so their number is bounded by ``MOST_PHRASES``; more is an error.
     """
-    phrases = normalised(lexicon)
-    rows = phrases.limit(_IN_ROW_LIMIT + 1).collect()
-    if len(rows) > _IN_ROW_LIMIT or any(_repeats_itself(r["phrase"]) for r in rows):
-        return _with_hits_by_join(df, phrases, id_col, text)
-
-    def padded(tokens: Column) -> Column:
-        return F.concat(F.lit(" "), F.array_join(tokens, "  "), F.lit(" "))
-
-    def level_hits(level: int) -> Column:
-        listed = sorted(" " + r["phrase"].replace(" ", "  ") + " " for r in rows if r["label_idx"] == level)
-        if not listed:
-            return F.lit(0)
-        joined = F.col("_joined")
-        return F.aggregate(F.lit(listed), F.lit(0), lambda acc, p: acc + _occurrences(joined, p))
-
-    out = tx.with_words(df, text, "_words").withColumn("_joined", padded(F.col("_words"))).drop("_words")
-    # The generator keeps filters on the counts from being evaluated below, inside
-    # the search.
-    counts = F.array(F.array(*[level_hits(k) for k in range(len(LEVELS))]))
-    return out.select(*df.columns, F.explode_outer(counts).alias("hits"))
-
-
-def _with_hits_by_join(df: DataFrame, phrases: DataFrame, id_col: str, text: str) -> DataFrame:
-    longest = phrases.agg(F.max("n")).first()[0]
-    grams = (
-        tx.with_words(df.select(id_col, text), text)
-        .withColumn("_grams", tx.runs_of(F.col("words"), longest))
-        .select(id_col, F.explode_outer("_grams").alias("phrase"))
-    )
-    counts = (
-        grams.join(phrases, "phrase")
-        .groupBy(id_col)
-        .agg(F.array(*[F.count_if(F.col("label_idx") == k).cast("int") for k in range(len(LEVELS))]).alias("hits"))
-    )
-    return df.join(counts, id_col, "left").withColumn(
-        "hits", F.coalesce("hits", F.lit([0] * len(LEVELS)))
-    )
+    phrases = normalised(lexicon).limit(MOST_PHRASES + 1).collect()
+    if len(phrases) > MOST_PHRASES:
+        raise ValueError(f"a lexicon holds at most {MOST_PHRASES} phrases")
+    outside = {r["label_idx"] for r in phrases} - set(range(len(LEVELS)))
+    if outside:
+        raise ValueError(f"levels outside the list: {sorted(map(str, outside))}")
+    count = _counter([(r["label_idx"], r["phrase"]) for r in phrases])
+    return tx.with_words(df, text, "_words").withColumn("hits", count("_words")).drop("_words")
 
 
 def best_level(hits: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from veilmark.fixed_values import LOG_COLUMNS
 from veilmark.functions import reporting as rp
 from veilmark.operators import scoring
+from veilmark.operators.evaluation import errors_by_status, run_summary  # noqa: F401
 
 
 def run_stamp() -> str:
@@ -90,25 +91,6 @@ def selected(log: DataFrame, min_confidence: float = 0.0, review_only: bool = Fa
     return log
 
 
-def run_summary(log: DataFrame) -> DataFrame:
-    """Total, classified, errors and flagged rows of a log."""
-    missing = F.col("classification").isNull()
-    return log.agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(~missing).alias("classified"),
-        F.count_if(missing).alias("errors"),
-        F.count_if(F.col("review_flag")).alias("flagged"),
-    )
-
-
-def errors_by_status(log: DataFrame) -> DataFrame:
-    return (
-        log.filter(F.col("classification").isNull())
-        .groupBy("extraction_status")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-
-
 def register_sql(model: scoring.Model, spark, name: str = "classify_terms") -> None:
     """Make the scorer callable from SQL on an array of terms."""
     spark.udf.register(name, scoring.scorer(spark, model))

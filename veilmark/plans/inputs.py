@@ -12,9 +12,12 @@ from veilmark.operators.scoring import Model
 from veilmark.session import spread
 
 SIZES = [8, 4, len(LEVELS)]
-TEMPERATURE = 0.5
+#: Spreads the formula model's confidence over all histogram bins and both sides of every threshold.
+TEMPERATURE = 0.07
+#: The lowered limit, for the queries about the size guard; runs use the real one.
 SIZE_LIMIT = 5000
-SUFFIXES = [".txt", ".md", ".pdf", ".html", ".htm", ".docx", ".xlsx", ".pptx", ".zip", ""]
+#: Three of forty documents have a suffix that is refused.
+SUFFIXES = ([".txt", ".md", ".html", ".htm", ".docx", ".xlsx", ".pptx"] * 6)[:37] + [".pdf", ".zip", ""]
 STAMP = "2024-01-31T00:00:00Z"
 PERSONAL_LINE = " Contact a.b@org.com, +44 7700 900123, DOB 5 Feb 1988, EMP-00421, budget €342M."
 GRID = [round(0.05 * k, 2) for k in range(1, 201)]
@@ -37,6 +40,13 @@ def labelled(spark: SparkSession, sf: str) -> DataFrame:
     return documents(spark, sf).join(truth, "doc_id")
 
 
+def guided(spark: SparkSession, scored: DataFrame) -> DataFrame:
+    """Scored rows with a truth that agrees with the prediction for seven of ten ids, so that
+    calibration has a best temperature inside its bounds."""
+    off = (F.col("pred") + 1 + F.col("doc_id") % 4) % len(LEVELS)
+    return scored.withColumn("y", F.when(F.col("doc_id") % 10 < 7, F.col("pred")).otherwise(off).cast("int"))
+
+
 def pool(spark: SparkSession, sf: str) -> DataFrame:
     return documents(spark, sf).join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_anti")
 
@@ -63,6 +73,12 @@ def marked(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def all_labelled(spark: SparkSession, sf: str) -> DataFrame:
+    """``(y)`` of every document, null where there is no label."""
+    y = (2 * F.col("quality") + F.col("toxic")).cast("int").alias("y")
+    return table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels").select("doc_id", y), "doc_id", "left").select("y")
+
+
 def file_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Documents seen as files: a path with one of ten suffixes and a size."""
     suffix = F.get(F.lit(SUFFIXES), (F.col("doc_id") % len(SUFFIXES)).cast("int"))

@@ -102,16 +102,24 @@ TRUTH = "truth AS (SELECT doc_id, 2 * quality + toxic AS y FROM labels JOIN docu
 PRED = f"{NET},\n{TRUTH},\npreds AS (SELECT doc_id, y, pred, confidence FROM truth JOIN best USING (doc_id))"
 
 _SUFFIX = f"{_list(inputs.SUFFIXES)}[doc_id % {len(inputs.SUFFIXES)} + 1]"
-FILES = f"""f0 AS (SELECT doc_id, text, n_chars AS size, 'drop/' || source || '/doc_' || doc_id || {_SUFFIX} AS path FROM documents),
+
+
+def _files(limit: int) -> str:
+    """CTE ``files``: documents as files, with the status known before they are read."""
+    shown = f" > {limit // 1048576} MB limit" if limit >= 1048576 else f" > {limit} bytes limit"
+    known = "('.txt', '.md', '.html', '.htm', '.docx', '.xlsx', '.pptx')"
+    return f"""f0 AS (SELECT doc_id, text, n_chars AS size, 'drop/' || source || '/doc_' || doc_id || {_SUFFIX} AS path FROM documents),
 f1 AS (SELECT *, regexp_extract(path, '[^/]*$') AS filename FROM f0),
 f2 AS (SELECT *, lower(regexp_extract(filename, '^.+(\\.[^.]+)$', 1)) AS extension FROM f1),
-files AS (SELECT *, CASE WHEN size > {inputs.SIZE_LIMIT} THEN 'oversized'
-   WHEN extension NOT IN ('.txt', '.md', '.html', '.htm', '.docx', '.xlsx', '.pptx') THEN 'unsupported_format' ELSE 'ok' END AS status,
-  CASE WHEN size > {inputs.SIZE_LIMIT} THEN printf('%.1f MB', size / 1048576.0::DOUBLE) || ' > {inputs.SIZE_LIMIT} bytes limit'
-   WHEN extension NOT IN ('.txt', '.md', '.html', '.htm', '.docx', '.xlsx', '.pptx') THEN '''' || extension || ''' not supported' ELSE '' END AS detail FROM f2)"""
-LOG = f"""{NET},
+files AS (SELECT *, CASE WHEN size > {limit} THEN 'oversized' WHEN extension NOT IN {known} THEN 'unsupported_format' ELSE 'ok' END AS status,
+  CASE WHEN size > {limit} THEN printf('%.1f MB', size / 1048576.0::DOUBLE) || '{shown}'
+   WHEN extension NOT IN {known} THEN chr(39) || extension || chr(39) || ' not supported' ELSE '' END AS detail FROM f2)"""
+
+
+def _log(limit: int) -> str:
+    return f"""{NET},
 {_signals('doc_id')},
-{FILES},
+{_files(limit)},
 lv AS {LEVEL_TABLE},
 log AS (SELECT '{inputs.STAMP}' AS timestamp, path AS filepath, filename, extension, size AS size_bytes,
   CASE WHEN status = 'ok' THEN name END AS classification,
@@ -121,6 +129,9 @@ log AS (SELECT '{inputs.STAMP}' AS timestamp, path AS filepath, filename, extens
   '{POLICY_VERSION}' AS policy_version, status AS extraction_status, detail AS extraction_detail
   FROM files JOIN best USING (doc_id) JOIN lv ON lv.idx = pred LEFT JOIN why USING (doc_id))"""
 
+
+LOG = _log(10 * 1024 * 1024)
+
 _PHRASES = "[" + ", ".join(_list(STARTER_PHRASES[k]) for k in range(len(LEVELS))) + "]"
 MARKED = f"""marked AS (SELECT doc_id, (doc_id % 6)::INTEGER AS expected,
   {_PHRASES}[doc_id % 6 + 1][(doc_id // 6) % 8 + 1] || '. ' || text ||
@@ -308,8 +319,8 @@ SELECT doc_id, class_idx, name AS level FROM raw JOIN lv ON lv.idx = class_idx""
     sql["model_manifest"] = f"""WITH {VOC} SELECT 'formula0' AS model, 'vocab.' || {digest} AS vectorizer, {T}::DOUBLE AS temperature,
 '{','.join(LEVELS)}' AS classes, '{POLICY_VERSION}' AS policy_version, {REVIEW_THRESHOLD}::DOUBLE AS review_threshold FROM voc"""
 
-    nll = f"""{NET}, {TRUTH}, grid AS (SELECT unnest([{', '.join(map(str, inputs.GRID))}]::DOUBLE[]) AS t),
-s AS (SELECT doc_id, y, k, t, ln(p + 1e-12) / t AS l FROM p JOIN truth USING (doc_id) CROSS JOIN grid),
+    nll = f"""{NET}, guided AS (SELECT doc_id, CASE WHEN doc_id % 10 < 7 THEN pred ELSE (pred + 1 + doc_id % 4) % 6 END AS y FROM best), grid AS (SELECT unnest([{', '.join(map(str, inputs.GRID))}]::DOUBLE[]) AS t),
+s AS (SELECT doc_id, y, k, t, ln(p + 1e-12) / t AS l FROM p JOIN guided USING (doc_id) CROSS JOIN grid),
 se AS (SELECT doc_id, y, k, t, exp(l - max(l) OVER (PARTITION BY doc_id, t)) AS e FROM s),
 sp AS (SELECT doc_id, y, k, t, e / sum(e) OVER (PARTITION BY doc_id, t) AS p FROM se),
 by_t AS (SELECT t, avg(-ln(greatest(least(p, 1.0), 1e-12))) AS nll, count(*) AS n FROM sp WHERE k = y GROUP BY t)"""
@@ -336,7 +347,7 @@ SELECT item_id, name AS classification, round(confidence, 4) AS confidence, conf
     sql["review_only"] = f"WITH {LOG} SELECT filepath, confidence, extraction_status FROM log WHERE extraction_status <> 'ok' OR review_flag"
     sql["run_summary"] = f"WITH {LOG} SELECT count(*) AS total, count(classification) AS classified, count(*) - count(classification) AS errors, count(*) FILTER (WHERE review_flag) AS flagged FROM log"
     sql["level_counts"] = f"WITH {LOG} SELECT idx, name, count(classification) AS n FROM lv LEFT JOIN log ON classification = name GROUP BY idx, name"
-    sql["errors_by_status"] = f"WITH {LOG} SELECT extraction_status, count(*) AS n FROM log WHERE classification IS NULL GROUP BY extraction_status"
+    sql["errors_by_status"] = f"WITH {_log(inputs.SIZE_LIMIT)} SELECT extraction_status, count(*) AS n FROM log WHERE classification IS NULL GROUP BY extraction_status"
     sql["confidence_band"] = f"WITH {NET} SELECT doc_id, CASE WHEN confidence >= 0.9 THEN 'high' WHEN confidence >= 0.75 THEN 'medium' ELSE 'low' END AS band, round(confidence, 4) AS confidence FROM best"
     fields = ["replace(timestamp, 'T', ' ')", "filename", "classification", "confidence", "review_flag", "reasoning", "policy_version", "extraction_status", "extraction_detail"]
     quoted = ", ".join(
@@ -368,7 +379,8 @@ FROM b LEFT JOIN preds ON confidence >= low AND (confidence < high OR (bin = 6 A
     sql["model_compare"] = f"""WITH {PRED}, {_network('documents', 'doc_id', 'x', 3, '_b')},
 j AS (SELECT avg((a.pred = a.y)::INTEGER) AS f, avg((b.pred = a.y)::INTEGER) AS s, count(*) AS n FROM preds a JOIN best_b b USING (doc_id))
 SELECT n, round(f, 6) AS first, round(s, 6) AS second, round(s - f, 6) AS delta FROM j"""
-    sql["class_distribution"] = f"WITH {TRUTH} SELECT y, count(*) AS n FROM truth GROUP BY ROLLUP (y)"
+    every = "every AS (SELECT (2 * quality + toxic)::INTEGER AS y FROM documents LEFT JOIN labels USING (doc_id))"
+    sql["class_distribution"] = f"WITH {every} SELECT y, count(*) AS n, grouping(y)::INTEGER AS is_total FROM every GROUP BY ROLLUP (y)"
     sql["sufficiency"] = f"WITH {TRUTH} SELECT y, count(*) AS n, CASE WHEN count(*) < 5 THEN 'marginal' WHEN count(*) < 15 THEN 'noticeable' WHEN count(*) < 30 THEN 'strong' ELSE 'diminishing' END AS effect FROM truth GROUP BY y"
     sql["golden_check"] = f"WITH {STAMPED} SELECT count(*) AS n, sum((level_idx = expected)::INTEGER)::BIGINT AS correct FROM pol"
 
@@ -385,16 +397,17 @@ SELECT n, round(f, 6) AS first, round(s, 6) AS second, round(s - f, 6) AS delta
     sql["html_text"] = f"SELECT page_id, {_html('html')} AS text FROM pages"
     sql["file_metadata"] = "WITH m AS (SELECT page_id, regexp_extract(url, '[^/]*$') AS filename, length(html) AS size FROM pages) SELECT page_id, filename, lower(regexp_extract(filename, '^.+(\\.[^.]+)$', 1)) AS extension, size FROM m"
     sql["size_guard"] = f"SELECT doc_id, n_chars > {inputs.SIZE_LIMIT} AS oversized FROM documents"
-    sql["format_route"] = f"""WITH {FILES} SELECT doc_id, filename, extension, CASE WHEN extension IN ('.txt', '.md') THEN 'text' WHEN extension IN ('.html', '.htm') THEN 'html'
+    sql["format_route"] = f"""WITH {_files(inputs.SIZE_LIMIT)} SELECT doc_id, filename, extension, CASE WHEN extension IN ('.txt', '.md') THEN 'text' WHEN extension IN ('.html', '.htm') THEN 'html'
 WHEN extension IN ('.docx', '.xlsx', '.pptx') THEN substr(extension, 2) END AS route, status FROM files"""
-    sql["text_fallback"] = f"""WITH c AS (SELECT page_id, regexp_extract(html, '(?is)<title>([^<]*)</title>', 1) AS title, {_html('html')} AS body FROM pages),
+    sql["text_fallback"] = f"""WITH c0 AS (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN '<p> </p>' ELSE html END AS html FROM pages),
+c AS (SELECT page_id, regexp_extract(html, '(?is)<title>([^<]*)</title>', 1) AS title, {_html('html')} AS body FROM c0),
 b AS (SELECT page_id, CASE WHEN length(trim(title)) >= 20 THEN title WHEN length(trim(body)) >= 20 THEN body END AS text FROM c)
 SELECT page_id, text, CASE WHEN text IS NULL THEN 'no_text_layer' ELSE 'ok' END AS status FROM b"""
 
     sql["stratified_split"] = f"WITH {SPLIT_KEYS} SELECT doc_id, y, split FROM parts"
     sql["hash_split"] = f"WITH {SPLIT_KEYS} SELECT doc_id, y, CASE WHEN ('0x' || substr(key, 1, 8))::BIGINT < 0.2::DOUBLE * 4294967296 THEN 'validation' ELSE 'train' END AS split FROM keyed"
     sql["unlabelled_pool"] = f"WITH {POOL} SELECT doc_id FROM pool"
-    sql["append_labelled"] = f"WITH {TRUTH} SELECT y, count(*) AS n FROM (SELECT (doc_id % 6)::INTEGER AS y FROM documents UNION ALL SELECT y FROM truth) GROUP BY y"
+    sql["append_labelled"] = f"WITH {every} SELECT y, count(*) AS n, grouping(y)::INTEGER AS is_total FROM (SELECT (doc_id % 6)::INTEGER AS y FROM documents UNION ALL SELECT y FROM every) GROUP BY ROLLUP (y)"
     sql["percentile_cut"] = f"WITH {CUT80} SELECT round(cut, 6) AS cut FROM cut"
     sql["selftrain_round"] = f"WITH {CUT80} SELECT doc_id, pred, round(confidence, 6) AS confidence, round(cut, 6) AS cut FROM pool, cut WHERE confidence >= cut"
     sql["accepted_by_class"] = f"WITH {CUT80} SELECT pred, count(*) AS n FROM pool, cut WHERE confidence >= cut GROUP BY pred"

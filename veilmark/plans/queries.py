@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilmark.fixed_values import LEVELS
+from veilmark.fixed_values import LEVELS, MAX_FILE_BYTES
 from veilmark.functions import policy
 from veilmark.functions import probability as pr
 from veilmark.functions import reporting as rp
@@ -197,12 +197,17 @@ def model_manifest(spark, sf):
 
 # --- calibration ------------------------------------------------------------------
 
+def _guided(spark, sf):
+    scored = _scored(spark, sf)
+    return inputs.guided(spark, scored.withColumn("pred", pr.argmax(F.col("proba"))))
+
+
 def nll_by_t(spark, sf):
-    return cal.nll_by_temperature(_scored_labelled(spark, sf), inputs.GRID).select("t", _r("nll"), "n")
+    return cal.nll_by_temperature(_guided(spark, sf), inputs.GRID).select("t", _r("nll"), "n")
 
 
 def fit_temperature(spark, sf):
-    return cal.best_on_grid(_scored_labelled(spark, sf), inputs.GRID).select("t", _r("nll"))
+    return cal.best_on_grid(_guided(spark, sf), inputs.GRID).select("t", _r("nll"))
 
 
 def calibration_report(spark, sf):
@@ -212,22 +217,22 @@ def calibration_report(spark, sf):
 
 # --- run, log, sinks ----------------------------------------------------------------
 
-def _extracted(spark, sf):
+def _extracted(spark, sf, limit=MAX_FILE_BYTES):
     rows = files.with_metadata(inputs.file_rows(spark, sf))
     ext, size = F.col("extension"), F.col("length")
-    status = files.status_of(ext, size, inputs.SIZE_LIMIT)
+    status = files.status_of(ext, size, limit)
     return rows.withColumns(
         {
             "extraction_status": status,
-            "extraction_detail": files.detail_of(ext, size, inputs.SIZE_LIMIT),
+            "extraction_detail": files.detail_of(ext, size, limit),
             "text": F.when(status == "ok", F.col("text")),
         }
     )
 
 
-def _log(spark, sf, **options):
+def _log(spark, sf, limit=MAX_FILE_BYTES, **options):
     model = inputs.formula_model(spark, sf)
-    return run.run_log(_extracted(spark, sf), model, inputs.STAMP, **options)
+    return run.run_log(_extracted(spark, sf, limit), model, inputs.STAMP, **options)
 
 
 def classify_log(spark, sf):
@@ -271,7 +276,7 @@ def level_counts(spark, sf):
 
 
 def errors_by_status(spark, sf):
-    return run.errors_by_status(_log(spark, sf))
+    return run.errors_by_status(_log(spark, sf, inputs.SIZE_LIMIT))
 
 
 def confidence_band(spark, sf):
@@ -313,7 +318,7 @@ def model_compare(spark, sf):
 
 
 def class_distribution(spark, sf):
-    return ev.class_distribution(inputs.labelled(spark, sf).select("y"))
+    return ev.class_distribution(inputs.all_labelled(spark, sf))
 
 
 def sufficiency(spark, sf):
@@ -412,8 +417,9 @@ def format_route(spark, sf):
 
 
 def text_fallback(spark, sf):
-    """Title if it is long enough, else the page text, else no text layer."""
-    pages = spread(inputs.table(spark, sf, "pages").select("page_id", "html"), "page_id")
+    """Title if it is long enough, else the page text, else no text layer; every fifth page is made blank."""
+    html = F.when(F.col("page_id") % 5 == 0, F.lit("<p> </p>")).otherwise(F.col("html"))
+    pages = spread(inputs.table(spark, sf, "pages").select("page_id", html.alias("html")), "page_id")
     title = F.regexp_extract("html", r"(?is)<title>([^<]*)</title>", 1)
     rows = with_html_text(pages.withColumn("title", title), "html")
     best = files.first_long_enough(F.col("title"), F.col("text"))
@@ -446,10 +452,9 @@ def unlabelled_pool(spark, sf):
 
 
 def append_labelled(spark, sf):
-    """Generated samples plus the labelled documents, counted per label."""
+    """Generated samples plus all documents, counted per label; unlabelled ones and the total are rows of their own."""
     made = inputs.table(spark, sf, "documents").select((F.col("doc_id") % len(LEVELS)).cast("int").alias("y"))
-    both = made.unionByName(inputs.labelled(spark, sf).select("y"))
-    return ev.class_distribution(both).filter("y is not null")
+    return ev.class_distribution(made.unionByName(inputs.all_labelled(spark, sf)))
 
 
 def percentile_cut(spark, sf):

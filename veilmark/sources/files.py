@@ -136,19 +136,20 @@ def extract(
         .drop("content")
         .withColumn("_html", F.when(ext.isin(*HTML), F.col("_decoded")))
     )
-    read = with_html_text(read, "_html", "_html_text").withColumn(
+    read = with_html_text(read, "_html", "_html_text", "_html_error").withColumn(
         "text",
         F.when(ext.isin(*HTML), F.col("_html_text"))
         .when(ext.isin(*TEXT), F.col("_decoded"))
         .otherwise(F.col("_parsed.text")),
     )
-    failed = F.col("_parsed.detail").isNotNull()
+    problem = F.coalesce("_parsed.detail", "_html_error")
+    failed = problem.isNotNull()
     short = ext.isin(".pdf") & (F.length(F.trim("text")) < MIN_TEXT_CHARS)
     read = read.select(
         *kept,
         F.when(~short, F.col("text")).alias("text"),
         F.when(failed, "extraction_failed").when(short, "no_text_layer").otherwise("ok").alias("extraction_status"),
-        F.when(failed, F.col("_parsed.detail")).when(short, "No extractable text.").alias("extraction_detail"),
+        F.when(failed, problem).when(short, "No extractable text.").alias("extraction_detail"),
     )
     return read.unionByName(refused)
 

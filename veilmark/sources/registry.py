@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +24,21 @@ def vocabulary_hash(vocab: DataFrame) -> DataFrame:
     return vocab.agg(F.substring(F.sha2(F.array_join(lines, "\n"), 256), 1, 8).alias("sha8"))
 
 
+def content_hash(model: Model) -> str:
+    """First 16 hex digits of SHA-256 over everything that decides a prediction."""
+    digest = hashlib.sha256()
+    say = lambda x: digest.update(repr(x).encode() + b"\n")
+    for part in (model.name, model.activation, float(model.temperature), list(model.classes), model.policy_version, float(model.review_threshold)):
+        say(part)
+    for term, weight in zip(model.terms, model.idf):
+        say((term, float(weight)))
+    for weight, bias in model.layers:
+        say(weight.shape)
+        digest.update(np.ascontiguousarray(weight, dtype="<f8").tobytes())
+        digest.update(np.ascontiguousarray(bias, dtype="<f8").tobytes())
+    return digest.hexdigest()[:16]
+
+
 def weight_rows(spark: SparkSession, model: Model) -> DataFrame:
     """``(layer, in_idx, w array<double>)``, one row per input unit."""
     rows = [
@@ -60,17 +77,32 @@ def vocab_rows(spark: SparkSession, model: Model) -> DataFrame:
     return spark.createDataFrame(rows, "term string, feature_idx int, idf double, coef_weight double")
 
 
-def save_model(spark: SparkSession, model: Model, folder: str) -> None:
-    vocab = vocab_rows(spark, model)
-    digest = vocab.agg(
-        F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("feature_idx", "term", "idf", "coef_weight")))), 256)
-    ).first()[0][:8]
-    biases = [(k, [float(x) for x in b]) for k, (_, b) in enumerate(model.layers)]
+def _complete(spark: SparkSession, path: str) -> bool:
+    """Whether an earlier write of this folder came to its end."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
+
+
+def save_model(spark: SparkSession, model: Model, folder: str) -> str:
+    """Store a model below ``folder`` and return its content hash.
+
+    Its tables lie in folders named by the hash: one that is complete is used again, one left by a
+    broken write is written anew. The manifest comes last, so a reader never sees half a model.
+    """
+    tag = content_hash(model)
     base = folder.rstrip("/")
-    vocab.write.parquet(f"{base}/vocab.{digest}")
-    weight_rows(spark, model).write.parquet(f"{base}/weights.{digest}")
-    spark.createDataFrame(biases, "layer int, b array<double>").write.parquet(f"{base}/bias.{digest}")
-    manifest_row(spark, model, digest).write.mode("overwrite").parquet(f"{base}/manifest")
+    biases = [(k, [float(x) for x in b]) for k, (_, b) in enumerate(model.layers)]
+    tables = {
+        "vocab": vocab_rows(spark, model),
+        "weights": weight_rows(spark, model),
+        "bias": spark.createDataFrame(biases, "layer int, b array<double>"),
+    }
+    for name, rows in tables.items():
+        path = f"{base}/{name}.{tag}"
+        if not _complete(spark, path):
+            rows.write.mode("overwrite").parquet(path)
+    manifest_row(spark, model, tag).write.mode("overwrite").parquet(f"{base}/manifest")
+    return tag
 
 
 def load_model(spark: SparkSession, folder: str) -> Model:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilmark.fixed_values import EXPORT_COLUMNS, LOG_COLUMNS
 from veilmark.functions.reporting import csv_line
+from veilmark.operators.evaluation import errors_by_status, level_counts, run_summary
 
 
 def slim(log: DataFrame) -> DataFrame:
@@ -36,12 +38,22 @@ def newest_first(log: DataFrame) -> DataFrame:
 
 
 def write_log(log: DataFrame, folder: str, fmt: str = "parquet") -> None:
-    """Write the log, the slim log and the review queue below ``folder``."""
-    for name, rows in (
-        ("log", log.select(*LOG_COLUMNS)),
+    """Write the log, the slim log, the review queue and the summaries below ``folder``.
+
+    The corpus is scored once: the log is stored as Parquet first, and everything else is read from it.
+    The summaries are totals, rows per level, and errors per status.
+    """
+    stored = f"{folder.rstrip('/')}/log" + ("" if fmt == "parquet" else "_stored")
+    log.select(*LOG_COLUMNS).write.mode("errorifexists").parquet(stored)
+    log = log.sparkSession.read.parquet(stored)
+    parts = [
         ("slim", slim(log)),
         ("review", review_queue(log)),
-    ):
+        ("summary", run_summary(log)),
+        ("levels", level_counts(log)),
+        ("errors", errors_by_status(log)),
+    ]
+    for name, rows in parts if fmt == "parquet" else [("log", log), *parts]:
         writer = rows.write.mode("errorifexists")
         path = f"{folder.rstrip('/')}/{name}"
         if fmt == "csv":
@@ -51,8 +63,13 @@ def write_log(log: DataFrame, folder: str, fmt: str = "parquet") -> None:
 
 
 def write_export(log: DataFrame, folder: str) -> None:
-    """The nine-column CSV: header per part file, quotes only where needed."""
-    rows = export_rows(log)
-    rows.write.option("header", True).option("escape", '"').option("lineSep", "\r\n").option(
-        "emptyValue", ""
-    ).option("nullValue", "").csv(folder)
+    """The nine-column CSV: the lines of ``export_lines`` with CRLF, below a header line in each part file."""
+    head = ",".join(EXPORT_COLUMNS)
+    lines = export_lines(log).withColumnRenamed("line", "value")
+
+    def with_header(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([head])], names=["value"])
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["value"])
+
+    lines.mapInArrow(with_header, "value string").write.option("lineSep", "\r\n").text(folder)
