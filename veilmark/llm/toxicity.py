@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilmark.llm.common import offsets, slices, texts
+from veilmark.session import checkpointed
 
 #: Lengths of the character n-grams; a word's ends count as characters.
 GRAMS = (4, 5, 6)
@@ -76,6 +77,22 @@ def passages(parts: list[bytes]) -> Passages:
     return Passages(bucket, gram_at[begin], gram_at[end], doc)
 
 
+def passages_in_turn(parts: list[bytes], at_once: int = 1_000_000) -> Passages:
+    """``passages`` of many texts, worked through in pieces so that its scratch arrays stay small."""
+    found, first, low = [], 0, 0
+    for i, size in enumerate([*np.cumsum([len(p) for p in parts]).tolist(), None]):
+        if i == len(parts) or size - low >= at_once:
+            stop = min(i + 1, len(parts))
+            one = passages(parts[first:stop])
+            found.append(Passages(one.grams, one.start, one.stop, one.doc + first))
+            first, low = stop, size
+    shift = np.cumsum([0] + [len(f.grams) for f in found])
+    return Passages(
+        np.concatenate([f.grams for f in found]), np.concatenate([f.start + s for f, s in zip(found, shift)]),
+        np.concatenate([f.stop + s for f, s in zip(found, shift)]), np.concatenate([f.doc for f in found]),
+    )
+
+
 @dataclass
 class Model:
     """Embedding of each bucket, softmax weights, and the calibration of a document's highest logit."""
@@ -124,7 +141,7 @@ def train(parts: list[bytes], labels: np.ndarray, dim: int = 8, rounds: int = 6,
     probability. With one class only, every text gets the class's share.
     """
     rng = np.random.default_rng(seed)
-    found = passages(parts)
+    found = passages_in_turn(parts)
     n = len(parts)
     share = float(np.clip(labels.mean() if n else 0.0, 1e-3, 1 - 1e-3))
     vectors = (rng.random((BUCKETS, dim), dtype=np.float32) - 0.5) / dim
@@ -203,14 +220,13 @@ def learning_sample(docs: DataFrame, labels: DataFrame, held_out, each: int = 1_
     """At most ``each`` labelled texts of each class, outside ``held_out``, of at most ``longest`` bytes:
     the rows whose ids hash lowest. The bound makes what reaches the driver at most 2 * each * longest bytes."""
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select("doc_id", "text").filter(~held_out & F.col("text").isNotNull() & (F.octet_length("text") <= longest))
-    joined = rows.join(known, "doc_id").withColumn("h", F.xxhash64("doc_id", "text"))
-    parts, truth = [], []
-    for label in (0, 1):
-        got = joined.filter(F.col("toxic") == label).orderBy("h", "doc_id").select("text").limit(each).toArrow()
-        parts += [t.encode() for t in got.column("text").to_pylist()]
-        truth += [label] * got.num_rows
-    return parts, np.array(truth, dtype=np.int64)
+    rows = docs.filter(~held_out & F.col("text").isNotNull() & (F.octet_length("text") <= longest)).withColumn("h", F.xxhash64("doc_id", "text"))
+    # First the ids, then the texts of the chosen ones: 2 * each rows are the bound of what is broadcast.
+    found = checkpointed(rows.select("doc_id", "h").distinct().join(known, "doc_id"))
+    chosen = [found.filter(F.col("toxic") == label).orderBy("h", "doc_id").limit(each) for label in (0, 1)]
+    picked = rows.select("doc_id", "h", "text").join(F.broadcast(checkpointed(chosen[0].union(chosen[1]))), ["doc_id", "h"])
+    got = picked.groupBy("doc_id", "h", "toxic").agg(F.max("text").alias("text")).orderBy("toxic", "h", "doc_id").toArrow()
+    return [t.encode() for t in got.column("text").to_pylist()], np.asarray(got.column("toxic"), dtype=np.int64)
 
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
@@ -222,7 +238,7 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, start, slope, shift = sent.value
-        for batch in slices(batches):
+        for batch in slices(batches, limit=2_000_000):
             parts = texts(batch)
             found = passages(parts)
             logits = highest(found, passage_logits(found, grams, start), len(parts), min(start, 0.0) - 2.0)
