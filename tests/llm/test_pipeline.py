@@ -13,6 +13,8 @@ from veilmark.session import written
 @pytest.fixture(scope="module")
 def steps(spark, sf):
     docs, out = spark.read.parquet(f"{sf}/documents.parquet"), []
+    planted = [(90_000 + i, f"some harmless words number {i} and token = \"{i}0123456789abcdef0123456789abcdef0123456\" end", "en", "src1", 80) for i in range(3)]
+    docs = docs.unionByName(spark.createDataFrame(planted, "doc_id long, text string, lang string, source string, n_chars long"))
     for name, stage in corpus_pipeline.STAGES:
         after = written(stage(spark, docs, sf), name)
         out.append((name, docs, after))
