@@ -113,6 +113,7 @@ def test_one_broken_row_is_null(spark, model, docs):
     broken = scoring.Model(**{**model.__dict__, "layers": [(w[:2], b) if k == 0 else (w, b) for k, (w, b) in enumerate(model.layers)]})
     rows = scoring.score_text(docs, broken).collect()
     assert any(r["pred"] is None for r in rows) and any(r["pred"] is not None for r in rows)
+    assert all((r["pred"] is None) == bool(r["score_error"]) for r in rows)
 
 
 def test_model_round_trip(spark, model, docs):

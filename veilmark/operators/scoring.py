@@ -82,6 +82,7 @@ _SCORE_ARROW = pa.struct(
         ("signals", pa.list_(pa.struct([("term", pa.string()), ("weight", pa.float64())]))),
     ]
 )
+SCORE_OR_ERROR = T.StructType([*SCORE.fields, T.StructField("score_error", T.StringType())])
 
 
 def _offsets(rows: np.ndarray, n: int) -> pa.Array:
@@ -219,18 +220,23 @@ def scorer(spark: SparkSession, model: Model, top: int = TOP_SIGNALS):
             rows, idx, val, len(tokens), layers, activation, temperature, known, salience, top
         )
 
-    @F.arrow_udf(SCORE)
+    @F.arrow_udf(SCORE_OR_ERROR)
     def score(tokens: pa.Array) -> pa.Array:
+        errors: list[str | None] = [None] * len(tokens)
         try:
-            return score_batch(tokens)
-        except Exception:  # find the row at fault; it gets a null, the others a score
+            scored = score_batch(tokens)
+        except Exception:  # find the row at fault; it gets its message, the others a score
             parts = []
             for k in range(len(tokens)):
                 try:
                     parts.append(score_batch(tokens.slice(k, 1)))
-                except Exception:
+                except Exception as error:
+                    errors[k] = f"{type(error).__name__}: {error}"
                     parts.append(pa.nulls(1, _SCORE_ARROW))
-            return pa.concat_arrays(parts)
+            scored = pa.concat_arrays(parts)
+        return pa.StructArray.from_arrays(
+            [*scored.flatten(), pa.array(errors, pa.string())], names=[*_SCORE_ARROW.names, "score_error"]
+        )
 
     return score
 

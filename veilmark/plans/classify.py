@@ -76,7 +76,7 @@ def run_log(
         *[only(c) for c in ("classification", "confidence", "review_flag", "reasoning")],
         "policy_version",
         status.alias("extraction_status"),
-        F.coalesce("extraction_detail", F.lit("")).alias("extraction_detail"),
+        F.coalesce(F.when(failed, F.col("score_error")), "extraction_detail", F.lit("")).alias("extraction_detail"),
     )
     return selected(log, min_confidence, review_only).select(*LOG_COLUMNS)
 
