@@ -1,8 +1,8 @@
 """N-gram Jaccard self-join through a token-group matrix.
 
 1. Texts become sets of hashed shingles; equal sets are one class from there on.
-2. Every class sends the rarest-first prefix of its set to token shards. Classes that share no prefix
-   token with another class, at a position that leaves room for the wanted overlap, are done.
+2. Every class sends the rarest-first prefix of its set to token shards. Classes that share too few
+   prefix tokens with other classes for any link are done.
 3. The others are partitioned into groups of similar sets (same smallest hash), each of bounded size, with the
    group key's most typical class in every part of a split group. Members are compared, linked classes fall
    to their root, and roots are partitioned again by other hashes.
@@ -49,12 +49,9 @@ def shingle_sets(parts: list[bytes], words: int = 5) -> list[np.ndarray]:
     out = []
     for part in parts:
         mine = part.translate(_LOWER).split()
-        h = np.empty(len(mine), dtype=np.uint64)
-        for i, w in enumerate(mine):
-            v = known.get(w)
-            if v is None:
-                v = known[w] = xxhash.xxh3_64_intdigest(w)
-            h[i] = v
+        for w in set(mine).difference(known):
+            known[w] = xxhash.xxh3_64_intdigest(w)
+        h = np.fromiter(map(known.__getitem__, mine), np.uint64, len(mine))
         n = min(words, len(h))
         key = np.zeros(len(h) - n + 1 if n else 0, dtype=np.uint64)
         for k in range(n):
@@ -72,8 +69,20 @@ def least_overlap(a, b, percent: int):
     return -(-(percent * (a + b)) // (100 + percent))
 
 
+def extra_tokens(n):
+    """How many prefix tokens two sets must share, when the smaller one has n elements: 12 percent, 1 at least."""
+    return np.maximum(1, -(-12 * n // 100))
+
+
+def least_size(n, percent: int):
+    """Size of the smallest set that can link with one of n elements."""
+    return -(-percent * n // 100)
+
+
 def prefix_size(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1
+    """Two linked sets share ``extra_tokens`` of the smaller one's size within such prefixes: of the
+    elements of a set, at most n - least_size(n) are missing from the other."""
+    return int(n - least_size(n, percent) + extra_tokens(n))
 
 
 def _pack(array: np.ndarray) -> bytes:
@@ -111,6 +120,8 @@ def _census(words: int):
 
 _PREFIX = pa.schema([("shard", pa.int32()), ("tokens", pa.binary()), ("cls", pa.binary()), ("size", pa.binary()), ("pos", pa.binary())])
 _PREFIX_DDL = "shard int, tokens binary, cls binary, size binary, pos binary"
+_RUNS = pa.schema([*_PREFIX, ("met", pa.binary()), ("times", pa.binary()), ("met_size", pa.binary())])
+_RUNS_DDL = _PREFIX_DDL + ", met binary, times binary, met_size binary"
 
 
 def _weights(tokens: np.ndarray, often: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -150,7 +161,8 @@ def _prefixes(words: int, percent: int, shards: int, sent):
 
 def _shared(percent: int):
     def shared(block):
-        """The entries of tokens that two or more classes hold, where sizes and positions allow a link."""
+        """The entries of tokens that two or more classes hold, where sizes and positions allow a link;
+        and how many such tokens each class has here, whatever their positions."""
         col = lambda name, kind: np.concatenate([_unpack(p, kind) for p in block.column(name).to_pylist()])
         tokens, cls, size, pos = col("tokens", np.uint64), col("cls", np.int64), col("size", np.uint32), col("pos", np.uint32)
         order = np.lexsort((cls, tokens))
@@ -160,17 +172,35 @@ def _shared(percent: int):
         start = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
         length = np.diff(np.concatenate((start, [len(tokens)])))
         keep = np.repeat(length > 1, length)
+        met, at, times = np.unique(cls[keep], return_index=True, return_counts=True)
+        met_size = size[keep][at].astype(np.uint32)
         two = start[length == 2]
         room = 1 + np.minimum(size[two] - pos[two], size[two + 1] - pos[two + 1]) - 1
         never = room < least_overlap(size[two], size[two + 1], percent)
         keep[two[never]] = keep[two[never] + 1] = False
         tokens, cls, size, pos = tokens[keep], cls[keep], size[keep].astype(np.uint32), pos[keep].astype(np.uint32)
         number = block.column("shard")[0].as_py()
-        return pa.table([[number], *([_pack(x)] for x in (tokens, cls, size, pos))], schema=_PREFIX)
+        return pa.table([[number], *([_pack(x)] for x in (tokens, cls, size, pos, met, times.astype(np.uint32), met_size))], schema=_RUNS)
 
     return shared
 
 
+def _live(runs: DataFrame, percent: int) -> DataFrame:
+    """``cls`` of the classes that share enough prefix tokens with others for any link."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for met, times, size in zip(*(batch.column(n).to_pylist() for n in ("met", "times", "met_size"))):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(_unpack(met, np.int64)), pa.array(_unpack(times, np.uint32).astype(np.int64)), pa.array(_unpack(size, np.uint32).astype(np.int64))],
+                    names=["cls", "times", "size"])
+
+    met = runs.select("met", "times", "met_size").mapInArrow(rows, "cls long, times long, size long")
+    smallest = F.ceil(F.col("size") * percent / 100)
+    need = F.greatest(F.lit(1), F.ceil(smallest * 12 / 100))
+    return met.groupBy("cls").agg(F.sum("times").alias("times"), F.max("size").alias("size")).filter(F.col("times") >= need).select("cls")
+
+
 # --- 3. groups ----------------------------------------------------------------------------
 
 _SETS = pa.schema([("cls", pa.int64()), ("rank", pa.float64()), *((f"m{i}", pa.int64()) for i in range(len(_SEEDS))), ("tokens", pa.binary())])
@@ -197,13 +227,12 @@ def _live_sets(words: int, bits, sent):
 
 
 def _bit_table(classes: DataFrame) -> bytes:
-    """One bit for each live class, at the lowest bits of its hash: 2^24 bits, whatever the input."""
+    """One bit for each class of ``cls``, at the lowest bits of its hash: 2^24 bits, whatever the input."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << _BITS, dtype=np.uint8)
         for batch in batches:
-            for payload in batch.column("cls").to_pylist():
-                table[_unpack(payload, np.int64) & ((1 << _BITS) - 1)] = 1
+            table[np.asarray(batch.column("cls")) & ((1 << _BITS) - 1)] = 1
         yield pa.RecordBatch.from_arrays([pa.array([zstandard.ZstdCompressor().compress(np.packbits(table).tobytes())], pa.binary())], names=["bits"])
 
     out = np.zeros(1 << (_BITS - 3), dtype=np.uint8)
@@ -212,6 +241,18 @@ def _bit_table(classes: DataFrame) -> bytes:
     return out.tobytes()
 
 
+def _marked(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """The sets whose class may be among ``classes``, by a bit table: what a join need not move."""
+    bits = sets.sparkSession.sparkContext.broadcast(_bit_table(classes))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.unpackbits(np.frombuffer(bits.value, np.uint8)).astype(bool)
+        for batch in batches:
+            yield batch.filter(pa.array(table[np.asarray(batch.column("cls")) & ((1 << _BITS) - 1)]))
+
+    return sets.mapInArrow(keep, sets.schema)
+
+
 def overlaps(sets: list[np.ndarray], width: int = 16_384) -> np.ndarray:
     """Intersection sizes of all pairs of a bounded group."""
     every = np.concatenate(sets)
@@ -271,7 +312,7 @@ def _grouped(active: DataFrame, sets: DataFrame, key: str, percent: int) -> Data
     own = placed.select("cls", "key", "pivot", F.pmod(F.xxhash64("cls"), F.col("parts")).alias("part"))
     pivots = keys.select(F.col("pivot").alias("cls"), "key", "pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     places = written(own.unionByName(pivots).distinct(), "group_places")
-    full = sets.select("cls", "rank", "tokens").join(places, "cls")
+    full = _marked(sets.select("cls", "rank", "tokens"), places).join(places, "cls")
     return full.groupBy("key", "part").applyInArrow(_cluster(percent), "cls long, root long")
 
 
@@ -301,7 +342,11 @@ def _candidates(percent: int, tile: int = 512):
         size, pos = col("size", np.uint32).astype(np.int64), col("pos", np.uint32).astype(np.int64)
         names = np.asarray(known.column("cls"))
         order = np.argsort(names)
-        at = order[np.searchsorted(names, cls, sorter=order)]
+        near = order[np.minimum(np.searchsorted(names, cls, sorter=order), len(names) - 1)]
+        live = names[near] == cls
+        if not live.any():
+            return _PAIR.empty_table()
+        tokens, cls, size, pos, at = tokens[live], cls[live], size[live], pos[live], near[live]
         comp, part, amount = (np.asarray(known.column(n))[at] for n in ("comp", "part", "amount"))
         start = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
         end = np.concatenate((start[1:], [len(tokens)]))
@@ -382,7 +427,8 @@ def _residual(runs: DataFrame, comps: DataFrame, sets: DataFrame, percent: int)
     members = known.join(load, ["comp", "part"]).select(
         "cls", "comp", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).alias("turn"), F.lit(False).alias("asks")
     )
-    full = sets.select("cls", "tokens").join(written(asking.unionByName(members), "open_places"), "cls")
+    places = written(asking.unionByName(members), "open_places")
+    full = _marked(sets.select("cls", "tokens"), places).join(places, "cls")
     links = full.groupBy("comp", "part", "turn").applyInArrow(_open(percent), "cls long, root long")
     return links.select(F.col("cls").alias("a"), F.col("root").alias("b"))
 
@@ -414,8 +460,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     shards = parts_for(total, 4_000_000, spark.sparkContext.defaultParallelism)
     prefixes = docs.select("text").mapInArrow(_prefixes(words, percent, shards, sent), _PREFIX_DDL)
-    runs = written(prefixes.groupBy("shard").applyInArrow(_shared(percent), _PREFIX_DDL), "runs")
-    bits = spark.sparkContext.broadcast(_bit_table(runs))
+    runs = written(prefixes.groupBy("shard").applyInArrow(_shared(percent), _RUNS_DDL), "runs")
+    alive = written(_live(runs, percent), "live_classes")
+    bits = spark.sparkContext.broadcast(_bit_table(alive))
     sets = written(docs.select("text").mapInArrow(_live_sets(words, bits, sent), _SETS_DDL), "live_sets")
 
     marks = [f"m{i}" for i in range(len(_SEEDS))]
