@@ -319,11 +319,15 @@ def _grouped(active: DataFrame, sets: DataFrame, key: str, percent: int) -> Data
 # --- 4. token-group matrix --------------------------------------------------------------
 
 
-def _asked():
+def _asked(bits):
+    """The live classes of each shard, without those that the bit table rules out."""
+
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.unpackbits(np.frombuffer(bits.value, np.uint8)).astype(bool)
         for batch in batches:
             for number, payload in zip(batch.column("shard").to_pylist(), batch.column("cls").to_pylist()):
                 cls = np.unique(_unpack(payload, np.int64))
+                cls = cls[table[cls & ((1 << _BITS) - 1)]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cls), number, np.int32)), pa.array(cls)], names=["shard", "cls"])
 
     return asked
@@ -409,13 +413,13 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _residual(runs: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+def _residual(runs: DataFrame, comps: DataFrame, sets: DataFrame, bits, percent: int) -> DataFrame | None:
     """Links between components (``a, b`` are classes), or None if no part had to be opened."""
     sizes = comps.groupBy("comp").agg(F.count("*").alias("amount"))
     known = written(
         comps.join(sizes, "comp").withColumn("part", F.pmod(F.xxhash64("cls"), F.ceil(F.col("amount") / _MEMBERS))), "component_parts"
     )
-    told = runs.select("shard", "cls").mapInArrow(_asked(), "shard int, cls long").join(known, "cls")
+    told = runs.select("shard", "cls").mapInArrow(_asked(bits), "shard int, cls long").join(known, "cls")
     pairs = runs.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(_candidates(percent), "cls long, comp long, part long")
     pairs = written(pairs.distinct(), "open_parts")
     if pairs.limit(1).count() == 0:
@@ -473,7 +477,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
         active = checkpointed(active.join(links.select("cls"), "cls", "left_anti"))
         moved = links.select(F.col("cls").alias("comp"), "root")
         comps = checkpointed(comps.join(moved, "comp", "left").select("cls", F.coalesce("root", "comp").alias("comp")))
-    between = _residual(runs, comps, sets, percent)
+    between = _residual(runs, comps, sets, bits, percent)
     if between is not None:
         at = lambda side: comps.select(F.col("cls").alias(side), F.col("comp").alias(f"{side}_comp"))
         ends = between.join(at("a"), "a").join(at("b"), "b").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b"))
