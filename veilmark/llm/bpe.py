@@ -150,15 +150,17 @@ def _encoder(ranks_path: str):
 
 def _joiner(shards: int, finish, schema: pa.Schema):
     def join(docs, encoded):
-        texts = list(_documents(docs.column("payload").to_pylist()))
-        dealt = _by_shard(set().union(*(p for _, p in texts)), shards) if texts else {}
+        payloads, words = docs.column("payload").to_pylist(), set()
+        for _, pieces in _documents(payloads):
+            words.update(pieces)
+        dealt = _by_shard(words, shards)
         ids: dict[str, list[int]] = {}
         for number, payload in zip(encoded.column("shard").to_pylist(), encoded.column("payload").to_pylist()):
             counts, flat = (np.frombuffer(p, np.uint32) for p in _spread_out(payload))
             flat, ends = flat.tolist(), np.cumsum(counts, dtype=np.int64).tolist()
             for word, a, b in zip(dealt[number], itertools.chain((0,), ends), ends):
                 ids[word] = flat[a:b]
-        rows = finish(texts, ids)
+        rows = finish(_documents(payloads), ids)
         return pa.table([list(c) for c in zip(*rows)] if rows else [[] for _ in schema], schema=schema)
 
     return join
@@ -216,12 +218,16 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str, block_bytes: int = 2
 
     def finish(texts, ids):
         table = rank_table(ranks_path)
-        written = {w: ",".join(map(str, x)) for w, x in ids.items()}
+        # Both are concatenations over the words, so each distinct word is written out and decoded once.
+        shown = {w: ",".join(map(str, x)) for w, x in ids.items()}
+        plain = {w: decode_ids(x, table) for w, x in ids.items()}
+        size = {w: len(x) for w, x in ids.items()}
         rows = []
         for i, words in texts:
-            mine = list(itertools.chain.from_iterable(map(ids.__getitem__, words)))
-            shown = ",".join(map(written.__getitem__, words))
-            rows.append((i, len(mine), hashlib.sha256(shown.encode()).hexdigest(), hashlib.sha256(decode_ids(mine, table)).hexdigest()))
+            numbers = ",".join(map(shown.__getitem__, words))
+            text = b"".join(map(plain.__getitem__, words))
+            n = sum(map(size.__getitem__, words))
+            rows.append((i, n, hashlib.sha256(numbers.encode()).hexdigest(), hashlib.sha256(text).hexdigest()))
         return rows
 
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
