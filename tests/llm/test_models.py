@@ -141,6 +141,25 @@ def test_stirling_numbers_and_the_seating_distribution():
     assert p.sum() == pytest.approx(1)
 
 
+def test_pairs_of_rare_words_are_learnt(spark):
+    """No word is too rare to be a context: 3,000 words of equal frequency, each with one successor."""
+    rng = random.Random(6)
+    follow = list(range(3_000))
+    rng.shuffle(follow)
+
+    def chain(k):
+        w, out = rng.randrange(3_000), []
+        for _ in range(k):
+            out.append(f"w{w}")
+            w = follow[w]
+        return " ".join(out)
+
+    rows = [(i, chain(100)) for i in range(400)]
+    got = py.score_texts(spark.createDataFrame(rows, "doc_id long, text string").withColumn("learn", fold("doc_id", 7) != 2)).collect()
+    held = [r for r in got if r["held_out"]]
+    assert sum(r["score"] for r in held) > 0.5 * sum(r["base_score"] for r in held)
+
+
 def test_known_and_unknown_words_add_up_to_one():
     counts = np.array([1, 1, 2, 5])
     model = py.Model(None, None, py.Restaurant(0.6, 1.0), int(counts.sum()), len(counts))

@@ -1,16 +1,21 @@
-"""Language model scores from a hierarchical Pitman-Yor model.
+"""Language model scores from a hierarchical Pitman-Yor model over all words.
 
-A token is a word or the end of a text. The most frequent words are symbols of their own; the
-others share the symbol RARE. Context restaurants, one for each preceding symbol, serve
-symbols and share one parent restaurant, whose base is uniform. A rare word is then drawn from a restaurant of
-rare words with a base without atoms: each known word sits at one table, and every new table is
-an unknown word. All probabilities of known words and of "unknown" add up to one.
+A token is a word or the end of a text. Every token of the texts to learn from is a dish, and every token that
+precedes another has a context restaurant. All context restaurants share one parent, the root, whose base has no atoms: each
+known word sits there at one table, and every new table is an unknown word. All probabilities of known words and of
+"unknown" add up to one, in every context.
+
+Seatings come from Gibbs sweeps in which cells (context, word) are independent of each other: the parent's weights are
+drawn from their Dirichlet distribution, and one gamma variable a context takes the place of its strength term. So
+a frequent context needs no task of its own.
 """
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +30,11 @@ from veilmark.session import written
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: The token that ends every text; no word holds a blank.
 END = b" "
-_COUNTS = pa.schema([("block", pa.int32()), ("shard", pa.int32()), ("words", pa.binary()), ("counts", pa.binary())])
+#: Packed arrays on their way between blocks, word shards and pair shards. ``origin`` is who is to be answered.
+_ROW = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("origin", pa.int32()), *((c, pa.binary()) for c in "abcde"),
+                  ("customers", pa.int64()), ("types", pa.int64()), ("mass", pa.float64())])
+_DDL = "kind int, shard int, origin int, a binary, b binary, c binary, d binary, e binary, customers long, types long, mass double"
+WORDS, PAIRS, CELLS, MESSAGE, REPLY, STATE, WORD_PLACES, PAIR_PLACES = range(8)
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -44,22 +53,64 @@ def _unpack(payload: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(payload), kind)
 
 
-# --- word counts ----------------------------------------------------------------------
+def _row(kind: int, shard: int, origin: int, *arrays: np.ndarray, sums: tuple = (None, None, None)) -> tuple:
+    return (kind, shard, origin, *map(_pack, arrays), *[None] * (5 - len(arrays)), *sums)
+
+
+def _table(rows: list[tuple]) -> pa.Table:
+    return pa.table([list(c) for c in zip(*rows)] if rows else [[] for _ in _ROW], schema=_ROW)
+
+
+def _listed(table: pa.Table, *names: str) -> list[tuple]:
+    return list(zip(*(table.column(c).to_pylist() for c in names)))
+
+
+# --- counts ---------------------------------------------------------------------------
 
 
-def _count_block(parts: list[bytes], learn: list[bool]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the distinct tokens and their counts in the texts to learn from."""
+@dataclass
+class Block:
+    """A block's distinct tokens (sorted hashes), its distinct pairs of neighbours, and both as they follow in the texts."""
+
+    hashes: np.ndarray
+    token: np.ndarray  # number of each token of the texts
+    ends: np.ndarray  # where each text ends among the tokens
+    context: np.ndarray  # of each distinct pair
+    word: np.ndarray
+    pair: np.ndarray  # number of the pair that each token ends
+
+
+def _block(parts: list[bytes]) -> Block:
     known: dict[bytes, int] = {}
-    ids, taken = [], []
-    for part, use in zip(parts, learn):
-        mine = tokens(part)
-        ids.append(np.fromiter((known.setdefault(w, len(known)) for w in mine), np.int64, len(mine)))
-        taken.append(use)
-    used = [i for i, t in zip(ids, taken) if t]
-    counts = np.bincount(np.concatenate(used), minlength=len(known)) if used else np.zeros(len(known), dtype=np.int64)
+    ids = [np.fromiter((known.setdefault(w, len(known)) for w in mine), np.int32, len(mine)) for mine in map(tokens, parts)]
     hashes = np.fromiter(map(word_hash, known), np.uint64, len(known))
-    order = np.argsort(hashes)
-    return hashes[order], counts[order].astype(np.int64)
+    del known
+    hashes, place = np.unique(hashes, return_inverse=True)
+    ends = np.cumsum([len(i) for i in ids])
+    token = place.astype(np.int32)[np.concatenate(ids)]
+    del ids
+    key = np.empty(len(token), dtype=np.int64)
+    key[0], key[1:] = np.searchsorted(hashes, np.uint64(word_hash(END))), token[:-1]  # every text ends with END
+    key *= len(hashes)
+    key += token
+    order = np.argsort(key)
+    key = key[order]
+    new = np.concatenate(([True], key[1:] != key[:-1]))
+    back = np.empty(len(order), dtype=np.int32)
+    back[order] = np.cumsum(new, dtype=np.int32) - 1
+    pairs = key[new]
+    return Block(hashes, token, ends, (pairs // len(hashes)).astype(np.int32), (pairs % len(hashes)).astype(np.int32), back)
+
+
+def _word_shard(hashes: np.ndarray, shards: int) -> np.ndarray:
+    return (hashes >> np.uint64(40)) % np.uint64(shards)
+
+
+def _pair_shard(context: np.ndarray, word: np.ndarray, shards: int) -> np.ndarray:
+    """By both tokens, so the pairs of a frequent context or word are spread over all shards."""
+    mix = context * np.uint64(0x9E3779B97F4A7C15)
+    mix = ((mix ^ (mix >> np.uint64(29))) + word) * np.uint64(0xBF58476D1CE4E5B9)
+    return (mix >> np.uint64(32)) % np.uint64(shards)
 
 
 def _block_of(blocks: int):
@@ -95,125 +146,102 @@ def _rows(payloads: list[bytes]) -> tuple[list[int | None], list[bool], list[byt
 
 
 def _ask(shards: int):
-    """A block's distinct tokens with their counts, by shard."""
+    """A block's distinct tokens and distinct pairs with their counts in the texts to learn from, by shard."""
 
     def ask(block):
         _, learn, parts = _rows(block.column("payload").to_pylist())
-        hashes, counts = _count_block(parts, learn)
-        shard = (hashes >> np.uint64(40)) % np.uint64(shards)
-        number = block.column("block")[0].as_py()
-        out = [(number, s, _pack(hashes[shard == s]), _pack(counts[shard == s].astype(np.uint32))) for s in range(shards)]
-        return pa.table([list(c) for c in zip(*out)], schema=_COUNTS)
+        mine, number = _block(parts), block.column("block")[0].as_py()
+        used = np.repeat(np.array(learn, dtype=bool), np.diff(mine.ends, prepend=0))
+        n = np.bincount(mine.token[used], minlength=len(mine.hashes)).astype(np.uint32)
+        m = np.bincount(mine.pair[used], minlength=len(mine.context)).astype(np.uint32)
+        context, word = mine.hashes[mine.context], mine.hashes[mine.word]
+        of_word, of_pair = _word_shard(mine.hashes, shards), _pair_shard(context, word, shards)
+        out = []
+        for s in range(shards):
+            w, p = of_word == s, of_pair == s
+            if w.any():
+                out.append(_row(WORDS, s, number, mine.hashes[w], n[w]))
+            if p.any():
+                out.append(_row(PAIRS, s, number, context[p], word[p], m[p]))
+        return _table(out)
 
     return ask
 
 
-def _total(shards_top: int):
-    """Corpus counts of a shard's tokens, sent back to each block in the order it asked; one more row
-    (block -1) holds the shard's most frequent tokens and its totals."""
-
-    def total(shard):
-        asked = [_unpack(p, np.uint64) for p in shard.column("words").to_pylist()]
-        given = [_unpack(p, np.uint32) for p in shard.column("counts").to_pylist()]
-        every, back = np.unique(np.concatenate(asked), return_inverse=True)
-        # Whole numbers below 2^53 add up exactly in float64.
-        n = np.bincount(back, np.concatenate(given), minlength=len(every)).astype(np.int64)
-        ends = np.cumsum([len(a) for a in asked])
-        answers = [_pack(n[back[e - len(a) : e]]) for a, e in zip(asked, ends)]
-        number = shard.column("shard")[0].as_py()
-        order = np.lexsort((every, -n))[:shards_top]
-        order = order[n[order] > 0]
-        few = [int((n == 1).sum()), int((n == 2).sum())]
-        sums = np.array([n.sum(), (n > 0).sum(), *few], dtype=np.int64)
-        return pa.table(
-            [
-                [*shard.column("block").to_pylist(), -1],
-                [number] * (len(asked) + 1),
-                [*answers, _pack(np.concatenate((sums, n[order])))],
-                [*([b""] * len(asked)), _pack(every[order])],
-            ],
-            schema=pa.schema([("block", pa.int32()), ("shard", pa.int32()), ("counts", pa.binary()), ("top", pa.binary())]),
-        )
-
-    return total
-
+def _joined(asked: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs of a shard in order of context and word, their counts, and the place of each asked pair."""
+    context, word, n = (np.concatenate([np.zeros(0, k), *(_unpack(r[i], k) for r in asked)]) for i, k in ((0, np.uint64), (1, np.uint64), (2, np.uint32)))
+    order = np.lexsort((word, context))
+    context, word = context[order], word[order]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (context[1:] != context[:-1]) | (word[1:] != word[:-1])
+    back = np.empty(len(order), dtype=np.int64)
+    back[order] = np.cumsum(new) - 1
+    # Whole numbers below 2^53 add up exactly in float64.
+    return context[new], word[new], np.bincount(back, n, minlength=int(new.sum())).astype(np.int64), back
+
+
+def _messages(shard: int, shards: int, context: np.ndarray, word: np.ndarray, tables: np.ndarray) -> list[tuple]:
+    """Tables of cells added up by context and by word, for the word shards."""
+    (us, at_u), (ws, at_w) = np.unique(context, return_inverse=True), np.unique(word, return_inverse=True)
+    t, c = np.bincount(at_u, tables, minlength=len(us)).astype(np.int64), np.bincount(at_w, tables, minlength=len(ws)).astype(np.int64)
+    of_u, of_w = _word_shard(us, shards), _word_shard(ws, shards)
+    out = []
+    for s in np.unique(np.concatenate((of_u, of_w))).tolist():
+        u, w = of_u == s, of_w == s
+        out.append(_row(MESSAGE, int(s), shard, us[u], t[u], ws[w], c[w]))
+    return out
 
-# --- the model ------------------------------------------------------------------------
 
+def _steps(places: np.ndarray) -> np.ndarray:
+    """Differences of growing numbers, which pack well; undone by a running sum."""
+    return np.diff(places, prepend=0).astype(np.uint32)
 
-@dataclass
-class Symbols:
-    """The words that are symbols, sorted by hash; the number after the last one is RARE."""
 
-    hashes: np.ndarray
-    counts: np.ndarray
-    tokens: int
-    types: int
+def _count(shards: int):
+    """A shard's distinct tokens and counts, and its cells of two customers and more at one table each. Messages have the origin
+    -1 for cells of one customer, which always sit at one table, and the shard's own for the others. Each block's
+    tokens and pairs are kept as places among them, in the order asked."""
 
-    @property
-    def size(self) -> int:
-        return len(self.hashes) + 1
+    def count(asked):
+        shard, rows = asked.column("shard")[0].as_py(), _listed(asked, "kind", "origin", "a", "b", "c")
+        words, pairs = ([r[1:] for r in rows if r[0] == k] for k in (WORDS, PAIRS))
+        lists = [_unpack(r[1], np.uint64) for r in words]
+        every, back = np.unique(np.concatenate([np.zeros(0, np.uint64), *lists]), return_inverse=True)
+        n = np.bincount(back, np.concatenate([np.zeros(0, np.uint32), *(_unpack(r[2], np.uint32) for r in words)]), minlength=len(every)).astype(np.int64)
+        out = [_row(WORDS, shard, 0, every, n)]
+        for (block, *_), at in zip(words, np.split(back, np.cumsum([len(x) for x in lists])[:-1])):
+            out.append(_row(WORD_PLACES, shard, block, _steps(at)))
+        context, word, n, back = _joined([r[1:] for r in pairs])
+        one, live = n == 1, n > 1
+        number, ones = np.cumsum(live) - 1, np.ones(int(live.sum()), dtype=np.int64)
+        sizes = [len(_unpack(r[3], np.uint32)) for r in pairs]
+        for (block, *_), at in zip(pairs, np.split(back, np.cumsum(sizes)[:-1])):
+            out.append(_row(PAIR_PLACES, shard, block, n[at].astype(np.uint32), _steps(number[at[live[at]]])))
+        out.append(_row(CELLS, shard, shard, context[live], word[live], n[live], ones, 0 * ones))
+        out += _messages(shard, shards, context[live], word[live], ones)
+        out += [(*r[:2], -1, *r[3:]) for r in _messages(shard, shards, context[one], word[one], np.ones(int(one.sum()), dtype=np.int64))]
+        return _table(out)
 
+    return count
 
-def choose_symbols(totals: DataFrame, most: int) -> tuple[Symbols, np.ndarray]:
-    """The ``most`` most frequent tokens, ties to the smaller hash. Each shard sends its first ``most``
-    candidates and four sums, so the driver sees a bounded number a shard."""
-    sums, hashes, counts = np.zeros(4, dtype=np.int64), [], []
-    for row in totals.filter("block = -1").select("counts", "top").toLocalIterator():
-        n, top = _unpack(row["counts"], np.int64), _unpack(row["top"], np.uint64)
-        sums += n[:4]
-        hashes, counts = np.concatenate((hashes, top)).astype(np.uint64), np.concatenate((counts, n[4:])).astype(np.int64)
-        best = np.lexsort((hashes, -counts))[:most]
-        hashes, counts = hashes[best], counts[best]
-    order = np.argsort(np.asarray(hashes, dtype=np.uint64))
-    return Symbols(np.asarray(hashes, np.uint64)[order], np.asarray(counts, np.int64)[order], int(sums[0]), int(sums[1])), sums
 
+def _add(keys: np.ndarray, messages: list[tuple], tables: np.ndarray, customers: np.ndarray) -> None:
+    for us, t, ws, c in messages:
+        tables[np.searchsorted(keys, _unpack(us, np.uint64))] += _unpack(t, np.int64)
+        customers[np.searchsorted(keys, _unpack(ws, np.uint64))] += _unpack(c, np.int64)
 
-def _symbol_of(symbols: Symbols) -> dict[bytes, int]:
-    return {int(h): i for i, h in enumerate(symbols.hashes.tolist())}
 
+def _vocabulary(words, messages):
+    """A word shard: tokens, their counts, and what cells of one customer add to tables (as context) and customers (as dish)."""
+    ((shard, every, n),) = _listed(words, "shard", "a", "b")
+    every, n = _unpack(every, np.uint64), _unpack(n, np.int64)
+    t, c = np.zeros((2, len(every)), dtype=np.int64)
+    _add(every, _listed(messages, "a", "b", "c", "d"), t, c)
+    return _table([_row(WORDS, shard, 0, every, n, t, c, sums=(int(n.sum()), int((n > 0).sum()), None))])
 
-def _symbol_ids(parts: list[list[bytes]], symbol: dict[int, int], rare: int, cache: dict[bytes, int]) -> np.ndarray:
-    out = []
-    for mine in parts:
-        for w in mine:
-            s = cache.get(w)
-            if s is None:
-                s = cache[w] = symbol.get(word_hash(w), rare)
-            out.append(s)
-    return np.array(out, dtype=np.int64)
 
-
-def count_contexts(docs: DataFrame, symbols: Symbols) -> DataFrame:
-    """``context, symbol, n`` over the texts to learn from; the context of a first token is END's symbol.
-
-    A task fills a table of (symbols)^2 cells and sends the filled ones.
-    """
-    size = symbols.size
-    sent = docs.sparkSession.sparkContext.broadcast(symbols)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(size * size, dtype=np.int64)
-        symbol = _symbol_of(sent.value)
-        for batch in slices(batches):
-            cache: dict[bytes, int] = {}
-            mine = [tokens(t) for t in texts(batch)]
-            if not mine:
-                continue
-            ids = _symbol_ids(mine, symbol, size - 1, cache)
-            end = symbol.get(word_hash(END), size - 1)
-            before = np.concatenate(([end], ids[:-1]))  # every text ends with END
-            table += np.bincount(before * size + ids, minlength=size * size)
-        at = np.flatnonzero(table)
-        for a in range(0, len(at), 200_000):
-            part = at[a : a + 200_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((part // size).astype(np.int32)), pa.array((part % size).astype(np.int32)), pa.array(table[part])],
-                names=["context", "symbol", "n"],
-            )
-
-    learn = docs.filter("learn").select("text")
-    return learn.mapInArrow(count, "context int, symbol int, n long").groupBy("context", "symbol").agg(F.sum("n").alias("n"))
+# --- the model ------------------------------------------------------------------------
 
 
 @dataclass
@@ -224,6 +252,7 @@ class Restaurant:
     strength: float
 
 
+@lru_cache(4)
 def stirling(discount: float, most: int) -> np.ndarray:
     """Logs of generalised Stirling numbers S(c, t) for c, t up to ``most``: the weight of
     all seatings of c customers at t tables."""
@@ -237,123 +266,242 @@ def stirling(discount: float, most: int) -> np.ndarray:
     return out
 
 
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """log of the gamma function of positive numbers."""
+    y = x + 10.0
+    out = (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
+    for k in range(10):
+        out = out - np.log(x + k)
+    return out
+
+
+def log_stirling(c: int, t: np.ndarray, d: float) -> np.ndarray:
+    """Logs of S(c, t) for one large c, from S(c, t) = c! / (t! d^t) [z^c] (1 - (1 - z)^d)^t.
+
+    The coefficient is a sum over powers of (1 - z)^d while its terms cancel little, that is for small t / c^d, and
+    otherwise an integral along the vertical line through the saddle point, which is smooth there.
+    """
+    t = np.asarray(t, dtype=np.float64)
+    out = np.zeros(len(t))
+    few = t <= 2.4 * c**d
+    if few.any():
+        x = t[few][:, None]
+        j = np.arange(1.0, min(x.max(), 120.0, c - 1.0) + 1)[None, :]
+        inside = j <= x
+        start = int(max(0, x.min() - j.size))
+        factorials = _log_gamma(np.arange(start, int(x.max()) + 1) + 1.0)
+        rest = factorials[np.where(inside, x - j, x).astype(np.int64) - start]
+        size = factorials[x.astype(np.int64) - start] - rest + (_log_gamma(1 + d * j) - _log_gamma(j + 1) + _log_gamma(c - d * j) - _log_gamma(np.array(c + 1.0)))
+        top = np.where(inside, size, -np.inf).max(axis=1, keepdims=True)
+        signed = np.where(j % 2 == 1, 1.0, -1.0) * np.sin(np.pi * d * j) / np.pi
+        out[few] = top[:, 0] + np.log((np.where(inside, np.exp(size - top), 0.0) * signed).sum(axis=1))
+    many = ~few & (t < c)
+    if many.any():
+        x = t[many]
+
+        def mean(p):  # of the tilted summands
+            q = -np.expm1(-p)
+            return d * q ** (d - 1) * np.exp(-p) / (1 - q**d)
+
+        low, high = np.full(len(x), np.log(1e-14)), np.full(len(x), np.log(34.0))
+        for _ in range(50):
+            mid = (low + high) / 2
+            over = mean(np.exp(mid)) > c / x
+            low, high = np.where(over, mid, low), np.where(over, high, mid)
+        p = np.exp(low)
+        spread = x * (mean(p * 0.999) - mean(p * 1.001)) / (0.002 * p)
+        reach = np.minimum(np.pi, 30 / np.sqrt(np.maximum(spread, 1e-9)))
+        z = p[:, None] + 1j * reach[:, None] * np.linspace(0, 1, 161)[None, :]
+        logs = x[:, None] * np.log(1 - (1 - np.exp(-z)) ** d) + z * c
+        top = logs[:, 0].real
+        weight = np.full(161, 1.0)
+        weight[[0, -1]] = 0.5
+        out[many] = top + np.log((np.exp(logs - top[:, None]).real * weight).sum(axis=1) * reach / 160 / np.pi)
+    known = few | many
+    out[known] += _log_gamma(np.array(c + 1.0)) - _log_gamma(t[known] + 1) - t[known] * np.log(d)
+    return out
+
+
+def _pick(logs: np.ndarray, rng) -> np.ndarray:
+    """One index of each row, with probability proportional to exp."""
+    run = np.cumsum(np.exp(logs - logs.max(axis=-1, keepdims=True)), axis=-1)
+    return (run < rng.random(len(run))[:, None] * run[:, -1:]).sum(axis=1)
+
+
+def _large_window(c: int, log_a: float, d: float) -> tuple[np.ndarray, np.ndarray]:
+    """All t whose weight S(c, t) a^t is not below e^-32 of the largest, and the logs. The weights are log-concave, and
+    fall off faster than those of one more than a Poisson number of mean a / d, to which they tend for large c."""
+    weigh = lambda t: log_stirling(c, t, d) + t * log_a
+    mean = np.exp(log_a) / d
+    low, high = 1, int(min(c, mean + 2))
+    most = int(min(c, mean + 10 * np.sqrt(mean) + 40))
+    while high - low > 16:
+        grid = np.unique(np.linspace(low, high, 13).astype(np.int64))
+        best = int(np.argmax(weigh(grid)))
+        low, high = int(grid[max(0, best - 1)]), int(grid[min(len(grid) - 1, best + 1)])
+    t = np.arange(low, high + 1)
+    mode = int(t[np.argmax(w := weigh(t))])
+    ends = []
+    for way, last in ((-1, mode - 1), (1, most - mode)):
+        step = np.unique(np.minimum(last, 2 ** np.arange(0, 1 + int(np.log2(max(1, last))) + 1)))
+        far = step[weigh(mode + way * step) < w.max() - 32] if last else step[:0]
+        ends.append(mode + way * int(far[0] if len(far) else last))
+    t = np.arange(ends[0], ends[1] + 1)
+    return t, weigh(t)
+
+
+def draw_tables(n: np.ndarray, a: np.ndarray, d: float, rng, most: int = 2_000) -> np.ndarray:
+    """Numbers of tables of cells of n customers, each t with probability proportional to S(n, t) a^t. Up to ``most``
+    customers S is tabulated; beyond that it is computed where the weight lies."""
+    out = np.ones(len(n), dtype=np.int64)
+    table, log_a = stirling(d, most), np.log(np.maximum(a, 1e-300))
+    order = np.argsort(n, kind="stable")
+    values, first = np.unique(n[order], return_index=True)
+    for c, at in zip(values.tolist(), np.split(order, first[1:])):
+        if c < 2:
+            continue
+        if c <= most:
+            for i in range(0, len(at), max(1, 2_000_000 // c)):
+                part = at[i : i + max(1, 2_000_000 // c)]
+                out[part] = 1 + _pick(table[c, 1 : c + 1] + np.arange(1, c + 1) * log_a[part][:, None], rng)
+        else:
+            for i in at:
+                t, logs = _large_window(c, log_a[i], d)
+                out[i] = t[_pick(logs[None, :], rng)[0]]
+    return out
+
+
 def seat(n: np.ndarray, tables: np.ndarray, parent: np.ndarray, level: Restaurant, logs: np.ndarray, rng) -> np.ndarray:
-    """One Gibbs sweep over a restaurant: new numbers of tables of each dish.
+    """One Gibbs sweep over a restaurant, dish after dish: what ``draw_tables`` does for all cells at once.
 
     Given the other dishes' tables, the number of tables of a dish of c customers has probability proportional to
     S(c, t) (strength + discount * others)^(rising t steps of discount) parent^t; seatings of the same t are summed by
-    S. Up to the size of ``logs`` t is drawn from exactly this. The customers of a larger dish are all reseated
-    by the seating rule, given the tables of the other dishes.
+    S, which ``logs`` tabulates up to its size.
     """
     out = tables.copy()
     most, d, theta = len(logs) - 1, level.discount, level.strength
     whole = tables.sum()
     prior = np.log(np.maximum(parent, 1e-300))
-    for i in np.flatnonzero((n > 1) & (n <= most)):
+    for i in np.flatnonzero(n > 1):
         others, c = whole - out[i], int(n[i])
-        w = logs[c, 1 : c + 1] + np.arange(1, c + 1) * prior[i] + np.cumsum(np.log(theta + d * (others + np.arange(c))))
+        w = (logs[c, 1 : c + 1] if c <= most else log_stirling(c, np.arange(1, c + 1), d)) + np.arange(1, c + 1) * prior[i] + np.cumsum(np.log(theta + d * (others + np.arange(c))))
         run = np.cumsum(np.exp(w - w.max()))
         new = min(c, 1 + int(np.searchsorted(run, rng.random() * run[-1])))
         whole += new - out[i]
         out[i] = new
-    large = np.flatnonzero(n > most)
-    if len(large):
-        out[large] = _reseat(n[large], whole - out[large], parent[large], d, theta, rng)
     return out
 
 
-def _reseat(c: np.ndarray, others: np.ndarray, p: np.ndarray, d: float, theta: float, rng) -> np.ndarray:
-    """Tables of dishes whose customers sit down one after another; from the twentieth on, a
-    twentieth of those seated sits down at once and new tables among them are drawn together."""
-    seated, t = np.ones(len(c), dtype=np.int64), np.ones(len(c), dtype=np.int64)
-    while (seated < c).any():
-        step = np.minimum(np.maximum(1, seated // 20), c - seated)
-        new = (theta + d * (others + t)) * p
-        chance = new / (new + seated + (step - 1) / 2 - d * t)
-        t += rng.binomial(step, np.clip(chance, 0.0, 1.0))
-        seated += step
-    return t
-
-
 def predictive(n: np.ndarray, tables: np.ndarray, parent: np.ndarray, level: Restaurant) -> np.ndarray:
     """Probability of each dish for the next customer."""
     new = level.strength + level.discount * tables.sum()
     return (n - level.discount * tables + new * parent) / (level.strength + n.sum())
 
 
-_SWEEP = pa.schema([("context", pa.int32()), ("symbols", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64())), ("tables", pa.list_(pa.int64()))])
-_SWEEP_DDL = "context int, symbols array<int>, counts array<long>, tables array<long>"
+def _sweep_words(turn: int, seed: int, low: Restaurant, root: Restaurant):
+    """Tables of each context and customers of each root dish under the cells' seating; the gamma variable of
+    each context and the root's weight of each dish (up to their common sum) go back to the cells that asked."""
+
+    def sweep(vocabulary, messages):
+        shard = vocabulary.column("shard")[0].as_py()
+        ((every, fixed_t, fixed_c),) = _listed(vocabulary, "a", "c", "d")
+        every, t, c = _unpack(every, np.uint64), _unpack(fixed_t, np.int64).copy(), _unpack(fixed_c, np.int64).copy()
+        asked = _listed(messages, "origin", "a", "b", "c", "d")
+        _add(every, [r[1:] for r in asked], t, c)
+        rng = np.random.default_rng((seed, turn, 0, shard))
+        x = rng.standard_gamma(low.strength / low.discount + t)
+        g = np.where(c > 0, rng.standard_gamma(np.maximum(c, 1) - root.discount), 0.0)
+        out = [_row(REPLY, origin, shard, x[np.searchsorted(every, _unpack(us, np.uint64))].astype(np.float32), g[np.searchsorted(every, _unpack(ws, np.uint64))].astype(np.float32))
+               for origin, us, _, ws, _ in asked]
+        out.append(_row(STATE, shard, turn, t.astype(np.uint32), c.astype(np.uint32), sums=(int(c.sum()), int((c > 0).sum()), float(g.sum()))))
+        return _table(out)
 
+    return sweep
 
-def _sweeper(parent: np.ndarray, level: Restaurant, seed: int, most: int = 40):
-    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs = stirling(level.discount, most)
-        for batch in batches:
-            out = []
-            for context, symbols, n, tables in zip(*(batch.column(c).to_pylist() for c in _SWEEP.names)):
-                rng = np.random.default_rng((seed, context))
-                out.append(seat(np.array(n), np.array(tables), parent[np.array(symbols)], level, logs, rng).tolist())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _SWEEP.names[:3]), pa.array(out, pa.list_(pa.int64()))], schema=_SWEEP)
+
+def _sweep_cells(turn: int, seed: int, shards: int, low: Restaurant, mass: float, keep: bool):
+    """New tables of all cells of a shard, given the contexts' gamma variables and the root's weights."""
+
+    def sweep(cells, replies):
+        shard = cells.column("shard")[0].as_py()
+        ((context, word, n, _, total),) = _listed(cells, "a", "b", "c", "d", "e")
+        context, word, n, total = _unpack(context, np.uint64), _unpack(word, np.uint64), _unpack(n, np.int64), _unpack(total, np.int64)
+        (us, at_u), (ws, at_w) = np.unique(context, return_inverse=True), np.unique(word, return_inverse=True)
+        of_u, of_w = _word_shard(us, shards), _word_shard(ws, shards)
+        x, g = np.zeros(len(us)), np.zeros(len(ws))
+        for s, a, b in _listed(replies, "origin", "a", "b"):
+            x[of_u == s], g[of_w == s] = _unpack(a, np.float32), _unpack(b, np.float32)
+        t = draw_tables(n, low.discount * x[at_u] * g[at_w] / mass, low.discount, np.random.default_rng((seed, turn, 1, shard)))
+        out = [_row(CELLS, shard, shard, context, word, n, t, total + t if keep else total)]
+        return _table(out + _messages(shard, shards, context, word, t))
 
     return sweep
 
 
 @dataclass
 class Model:
-    symbols: Symbols
-    log10: np.ndarray  # contexts x symbols: log10 of the averaged predictive probability
-    rare: Restaurant
-    rare_tokens: int
-    rare_types: int
+    """What is left of one sample of the seatings besides the tables: the root's sums."""
+
+    contexts: Restaurant
+    turn: int
+    root: Restaurant
+    customers: int
+    types: int
 
     def rare_log10(self, n: np.ndarray) -> np.ndarray:
-        """log10 of a rare word with n training tokens, given RARE; 0 stands for any unknown word."""
-        whole = self.rare.strength + self.rare_tokens
-        unknown = self.rare.strength + self.rare.discount * self.rare_types
-        return np.log10(np.where(n > 0, n - self.rare.discount, unknown) / whole)
+        """log10 of the root's probability of a word with n customers; 0 stands for any unknown word."""
+        whole = self.root.strength + self.customers
+        unknown = self.root.strength + self.root.discount * self.types
+        return np.log10(np.where(n > 0, n - self.root.discount, unknown) / whole)
 
 
-def fit(docs: DataFrame, symbols: Symbols, sums: np.ndarray, burn_in: int = 2, samples: int = 3, seed: int = 5) -> Model:
-    """Seat the training tokens by Gibbs sweeps and average the predictive probabilities of the later ones.
+def _forget(frame: DataFrame) -> None:
+    """Delete a written table that nothing reads any more, and let go of the shuffles before it."""
+    context = frame.sparkSession.sparkContext
+    for folder in {f.rsplit("/", 1)[0] for f in frame.inputFiles()}:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    context._jvm.System.gc()
 
-    Context restaurants are rows of a table and are swept in parallel, given the parent's
-    probabilities; their tables are the parent's customers. Both are bounded by (symbols)^2 cells.
+
+def fit(counted: DataFrame, shards: int, burn_in: int = 3, samples: int = 3, seed: int = 5) -> tuple[DataFrame, DataFrame, DataFrame, list[Model]]:
+    """Seat all training tokens by Gibbs sweeps: vocabulary, the cells' tables added up over the later sweeps, the
+    sums of contexts and root dishes after each of these, and the root's totals.
+
+    Only sums of a shard come to the driver. Cells lie in written tables, dealt by context and word; a sweep's table
+    goes when the next one is written.
     """
-    size = symbols.size
-    rows = count_contexts(docs, symbols).groupBy("context").agg(F.sort_array(F.collect_list(F.struct("symbol", "n"))).alias("x"))
-    state = rows.select(
-        "context", F.col("x.symbol").alias("symbols"), F.col("x.n").alias("counts"),
-        F.transform("x.n", lambda n: F.lit(1).cast("long")).alias("tables"),
-    )
-    workers = docs.sparkSession.sparkContext.defaultParallelism
-    state = written(state, "restaurants")
-    low, high = Restaurant(0.75, 5.0), Restaurant(0.5, 5.0)
-    logs, rng = stirling(high.discount, 40), np.random.default_rng(seed)
-    base = np.full(size, 1.0 / size)
-    total, parent_tables = np.zeros((size, size)), np.zeros(size, dtype=np.int64)
-    parent = base
-    for turn in range(burn_in + samples):
-        state = written(state.repartition(workers, "context").mapInArrow(_sweeper(parent, low, seed * 1000 + turn), _SWEEP_DDL), "restaurants")
-        sat = state.select(F.explode(F.arrays_zip("symbols", "tables")).alias("x")).groupBy("x.symbols").agg(F.sum("x.tables").alias("t"))
-        customers = np.zeros(size, dtype=np.int64)
-        for s, t in sat.collect():
-            customers[s] = t
-        parent_tables = np.minimum(np.maximum(parent_tables, (customers > 0).astype(np.int64)), customers)
-        parent_tables = seat(customers, parent_tables, base, high, logs, rng)
-        parent = predictive(customers, parent_tables, base, high)
-        if turn >= burn_in:
-            cells = np.tile(parent, (size, 1))
-            for row in state.toLocalIterator():
-                n, t = np.array(row["counts"]), np.array(row["tables"])
-                whole = low.strength + n.sum()
-                cells[row["context"]] *= (low.strength + low.discount * t.sum()) / whole
-                cells[row["context"], row["symbols"]] += (n - low.discount * t) / whole
-            total += cells
-    log10 = np.log10(np.maximum(total / samples, 1e-300)).astype(np.float32)
-    top = int(symbols.counts.sum())
-    n1, n2 = sums[2] - (symbols.counts == 1).sum(), sums[3] - (symbols.counts == 2).sum()
-    discount = float(np.clip(n1 / max(1, n1 + 2 * n2), 0.05, 0.95))
-    return Model(symbols, log10, Restaurant(discount, 1.0), symbols.tokens - top, symbols.types - int((symbols.counts > 0).sum()))
+    low, root = Restaurant(0.75, 5.0), Restaurant(0.5, 5.0)
+    rng = np.random.default_rng(seed)
+    words, message = counted.filter(F.col("kind") == WORDS), F.col("kind") == MESSAGE
+    fixed = counted.filter(message & (F.col("origin") == -1))
+    vocabulary = written(words.groupBy("shard").cogroup(fixed.groupBy("shard")).applyInArrow(_vocabulary, _DDL), "vocabulary")
+    cells = counted.filter((F.col("kind") == CELLS) | message & (F.col("origin") >= 0))
+    states, models = [], []
+    for turn in range(burn_in + samples + 1):
+        sent = cells.filter(F.col("kind") == MESSAGE)
+        sat = written(vocabulary.groupBy("shard").cogroup(sent.groupBy("shard")).applyInArrow(_sweep_words(turn, seed, low, root), _DDL), "words_seated")
+        state = sat.filter(F.col("kind") == STATE)
+        sums = state.agg(F.sum("customers").alias("c"), F.sum("types").alias("v"), F.sum("mass").alias("g")).first()
+        customers, types = sums["c"] or 0, sums["v"] or 0
+        if turn > burn_in:
+            states.append(state)
+            models.append(Model(low, turn, root, customers, types))
+        if turn < burn_in + samples:
+            mass = (sums["g"] or 0.0) + rng.standard_gamma(root.strength + root.discount * types)
+            step = _sweep_cells(turn, seed, shards, low, mass, turn >= burn_in)
+            mine, answers = cells.filter(F.col("kind") == CELLS), sat.filter(F.col("kind") == REPLY)
+            seated = written(mine.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(step, _DDL), "cells")
+            if turn:
+                _forget(cells)
+            if turn <= burn_in:
+                _forget(sat)
+            cells = seated
+    kept = states[0]
+    for more in states[1:]:
+        kept = kept.unionByName(more)
+    return vocabulary, cells.filter(F.col("kind") == CELLS), kept, models
 
 
 # --- scores ---------------------------------------------------------------------------
@@ -361,61 +509,88 @@ def fit(docs: DataFrame, symbols: Symbols, sums: np.ndarray, burn_in: int = 2, s
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
+def _answer_words(places, known):
+    """For each block's tokens: counts, and per sample tables as context and customers as dish."""
+    rows = {(k, o): r for k, o, *r in _listed(known, "kind", "origin", "a", "b")}
+    n = _unpack(rows.pop((WORDS, 0))[1], np.int64)
+    states = [[_unpack(x, np.uint32) for x in rows[key]] for key in sorted(rows)]
+    out = []
+    for shard, block, steps in _listed(places, "shard", "origin", "a"):
+        at = np.cumsum(_unpack(steps, np.uint32))
+        out.append(_row(WORDS, shard, block, n[at], *(np.concatenate([s[i][at] for s in states]) for i in (0, 1))))
+    return _table(out)
+
+
+def _answer_pairs(samples: int, low: Restaurant):
+    def answer(places, cells):
+        """For each block's pairs: n - discount * tables, averaged over the samples; 0 for pairs that were not seen."""
+        ((total,),) = _listed(cells, "e")
+        seated, out = _unpack(total, np.int64) / samples, []
+        for shard, block, n, steps in _listed(places, "shard", "origin", "a", "b"):
+            n = _unpack(n, np.uint32)
+            tables = (n > 0).astype(np.float64)
+            tables[n > 1] = seated[np.cumsum(_unpack(steps, np.uint32))]
+            out.append(_row(PAIRS, shard, block, (n - low.discount * tables).astype(np.float32)))
+        return _table(out)
+
+    return answer
+
+
 def _scorer(sent, shards: int):
     def score(docs, answers):
-        model: Model = sent.value
+        models, whole, types = sent.value
         ids, learn, parts = _rows(docs.column("payload").to_pylist())
-        hashes, _ = _count_block(parts, learn)
-        shard = (hashes >> np.uint64(40)) % np.uint64(shards)
-        n = np.zeros(len(hashes), dtype=np.int64)
-        for s, payload in zip(answers.column("shard").to_pylist(), answers.column("counts").to_pylist()):
-            n[shard == s] = _unpack(payload, np.int64)
-        size, whole, types = model.symbols.size, model.symbols.tokens, model.symbols.types
-        symbol = np.minimum(np.searchsorted(model.symbols.hashes, hashes), max(0, size - 2))
-        own = model.symbols.hashes[symbol] == hashes if size > 1 else np.zeros(len(hashes), dtype=bool)
-        symbol = np.where(own, symbol, size - 1)
-        inside = np.where(own, 0.0, model.rare_log10(n))
-        base = np.log10((n + 1) / (whole + types + 1))
-        place: dict[bytes, int] = {}
-        end = int(np.searchsorted(hashes, np.uint64(word_hash(END))))
-        out = []
-        for i, use, part in zip(ids, learn, parts):
-            mine = tokens(part)
-            new = [w for w in mine if w not in place]
-            if new:
-                found = np.searchsorted(hashes, np.fromiter(map(word_hash, new), np.uint64, len(new)))
-                place.update(zip(new, found.tolist()))
-            at = np.fromiter(map(place.__getitem__, mine), np.int64, len(mine))
-            syms = symbol[at]
-            before = np.concatenate(([symbol[end]], syms[:-1]))
-            value = float(model.log10[before, syms].sum(dtype=np.float64) + inside[at].sum())
-            out.append((i, not use, len(at), int((n[at] > 0).sum()), whole, float(base[at].sum()), value))
+        block = _block(parts)
+        of_word = _word_shard(block.hashes, shards)
+        of_pair = _pair_shard(block.hashes[block.context], block.hashes[block.word], shards)
+        n, p = np.zeros(len(block.hashes), dtype=np.int64), np.zeros(len(block.context))
+        tables, customers = np.zeros((2, len(models), len(n)))
+        for kind, s, a, b, c in _listed(answers, "kind", "shard", "a", "b", "c"):
+            if kind == PAIRS:
+                p[of_pair == s] = _unpack(a, np.float32)
+            else:
+                mine = of_word == s
+                n[mine] = _unpack(a, np.int64)
+                tables[:, mine], customers[:, mine] = (_unpack(x, np.uint32).reshape(len(models), -1) for x in (b, c))
+        low = models[0].contexts
+        for model, t, c in zip(models, tables, customers):
+            p += ((low.strength + low.discount * t)[block.context] * (10 ** model.rare_log10(c))[block.word]) / len(models)
+        logs = np.log10(p / (low.strength + n[block.context]))[block.pair]
+        base = np.log10((n + 1) / (whole + types + 1))[block.token]
+        starts = np.concatenate(([0], block.ends[:-1])).astype(np.int64)
+        size = np.diff(block.ends, prepend=0)
+        sums = [np.add.reduceat(x, starts) for x in ((n > 0)[block.token].astype(np.int64), base, logs)]
+        columns = [ids, [not use for use in learn], size, sums[0], [whole] * len(ids), sums[1], sums[2]]
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
         kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-        return pa.table([list(c) for c in zip(*out)] if out else [[] for _ in names], schema=pa.schema(list(zip(names, kinds))))
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
     return score
 
 
-def score_texts(docs: DataFrame, most_symbols: int = 511, block_bytes: int = 24_000_000, **fit_options) -> DataFrame:
+def score_texts(docs: DataFrame, most_symbols: int | None = None, block_bytes: int = 24_000_000, **fit_options) -> DataFrame:
     """Score all whole texts of ``doc_id, text, learn``; null texts read as empty.
 
     ``learn`` marks the texts to learn from. Texts travel once, compressed, to blocks of about
-    ``block_bytes``; a block asks the shards of the vocabulary for the corpus counts of its distinct tokens,
-    so a frequent word costs one entry a block. Words are known by 64-bit hashes. The block of a row depends
-    on its id, text and, for equal rows, their number. What is broadcast is the symbols and
-    their (symbols)^2 table. Without training tokens every token is unknown.
+    ``block_bytes``; a block asks the word shards for its distinct tokens and the pair shards for its distinct pairs, so
+    a frequent word or pair costs one entry a block. Words are known by 64-bit hashes. The block of a row depends
+    on its id, text and, for equal rows, their number. What is broadcast is a few sums. Without training tokens
+    every token is unknown. ``most_symbols`` limited the vocabulary once; it has no effect.
     """
     docs = docs.select("doc_id", F.col("text"), F.coalesce("learn", F.lit(False)).alias("learn"))
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = shards = parts_for(size, block_bytes, spark.sparkContext.defaultParallelism)
     pieces = docs.mapInArrow(_block_of(blocks), "block int, payload binary")
-    asked = pieces.groupBy("block").applyInArrow(_ask(shards), "block int, shard int, words binary, counts binary")
-    totals = asked.groupBy("shard").applyInArrow(_total(most_symbols), "block int, shard int, counts binary, top binary")
-    totals = written(totals, "word_counts")
-    symbols, sums = choose_symbols(totals, most_symbols)
-    model = fit(docs, symbols, sums, **fit_options)
-    sent = spark.sparkContext.broadcast(model)
-    answers = totals.filter("block >= 0").select("block", "shard", "counts")
+    asked = pieces.groupBy("block").applyInArrow(_ask(shards), _DDL)
+    counted = written(asked.groupBy("shard").applyInArrow(_count(shards), _DDL), "counted")
+    del asked
+    vocabulary, cells, states, models = fit(counted, shards, **fit_options)
+    sums = vocabulary.agg(F.sum("customers").alias("n"), F.sum("types").alias("v")).first()
+    sent = spark.sparkContext.broadcast((models, sums["n"] or 0, sums["v"] or 0))
+    words, pairs = counted.filter(F.col("kind") == WORD_PLACES), counted.filter(F.col("kind") == PAIR_PLACES)
+    known = vocabulary.unionByName(states)
+    answers = words.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_answer_words, _DDL)
+    answers = answers.unionByName(pairs.groupBy("shard").cogroup(cells.groupBy("shard")).applyInArrow(_answer_pairs(len(models), models[0].contexts), _DDL))
+    answers = answers.withColumnRenamed("origin", "block")
     return pieces.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scorer(sent, shards), _SCORES)
