@@ -160,6 +160,24 @@ def test_pairs_of_rare_words_are_learnt(spark):
     assert sum(r["score"] for r in held) > 0.5 * sum(r["base_score"] for r in held)
 
 
+@pytest.mark.parametrize("a", [0.05, 4.0, 300.0, 4_000.0])
+def test_tables_of_large_dishes_follow_the_exact_distribution(a):
+    d, c = 0.75, 3_000
+    logs, t = py.stirling(d, c), np.arange(1, c + 1)
+    assert np.allclose(py.log_stirling(c, t, d), logs[c, 1:], rtol=0, atol=1e-7)
+    weight = logs[c, 1:] + t * math.log(a)
+    weight = np.exp(weight - weight.max())
+    weight /= weight.sum()
+    window, mine = py._large_window(c, math.log(a), d)
+    mine = np.exp(mine - mine.max())
+    got = np.zeros(c)
+    got[window - 1] = mine / mine.sum()
+    assert np.abs(got - weight).sum() < 1e-6
+    drawn = py.draw_tables(np.full(200, c), np.full(200, a), d, np.random.default_rng(1), most=40)
+    mean = (t * weight).sum()
+    assert abs(drawn.mean() - mean) < 5 * math.sqrt((t**2 * weight).sum() - mean**2) / math.sqrt(200) + 1e-9
+
+
 def test_known_and_unknown_words_add_up_to_one():
     counts = np.array([1, 1, 2, 5])
     model = py.Model(None, None, py.Restaurant(0.6, 1.0), int(counts.sum()), len(counts))
