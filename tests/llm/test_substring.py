@@ -64,3 +64,22 @@ def test_edge_cases(spark):
             assert text[r["doc_id"]][r["start"] : r["end"]].strip() in text[r["first_doc_id"]]
     assert sd.without_repeats(df).count() == df.count()
     assert sd.repeated_spans(edge.empty(spark)).count() == 0
+
+
+def test_chunks_of_different_documents_are_not_one_span(spark):
+    rng = random.Random(8)
+    make = lambda k: " ".join(f"w{rng.randrange(10**6)}" for _ in range(k))
+    phrases = [make(10) for _ in range(40)]
+    rows = [(i, f"{make(30)} {p} {make(30)}") for i, p in enumerate(phrases)]
+    rows += [(100 + i, f"{make(30)} {phrases[i]} {phrases[i + 20]} {make(30)}") for i in range(20)]
+    # Chunks of all their own that earlier documents hold, but never side by side.
+    text = make(400).encode()
+    cuts = sd.cut_points([text], sd.gear_table())[2].tolist()
+    pieces = [text[a:b].decode() for a, b in zip(cuts, cuts[1:])]
+    chunks = [r["digests"] for r in sd.chunks(spark.createDataFrame([(1, text.decode())], "doc_id long, text string")).collect()][0]
+    assert len(chunks) == len(pieces) > 40
+    rows += [(200 + k, "".join(pieces[k::2]) + " " + make(3)) for k in range(2)] + [(300, text.decode())]
+    texts = dict(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in sd.repeated_spans(df).collect():
+        assert any(texts[r["doc_id"]][r["start"] : r["end"]].strip() in texts[i] for i in texts if i < r["doc_id"])

@@ -23,9 +23,9 @@ WINDOW = 16
 #: A byte ends a chunk if the hash is below 65,536 / SPACING, and no other candidate lies LEAST bytes before it.
 SPACING, LEAST, MOST = 22, 12, 1_024
 
-_DDL = "doc_id long, starts array<int>, ends array<int>, words array<int>, digests array<binary>"
-_OUT = pa.schema([("doc_id", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("words", pa.list_(pa.int32())),
-                  ("digests", pa.list_(pa.binary()))])
+_DDL = "doc_id long, text_key long, starts array<int>, ends array<int>, words array<int>, digests array<binary>, links array<binary>"
+_OUT = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("words", pa.list_(pa.int32())),
+                  ("digests", pa.list_(pa.binary())), ("links", pa.list_(pa.binary()))])
 
 
 def gear_table(seed: int = 2024) -> np.ndarray:
@@ -70,7 +70,9 @@ def cut_points(parts: list[bytes], gear: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """Each text's chunks as arrays: start and end in code points, words that begin in it, 128-bit digest.
+    """Each text's chunks as arrays: start and end in code points, words that begin in it, 128-bit digest,
+    and ``links``: the digest of the chunk before and this one together, null for a text's first chunk. ``text_key`` is a
+    hash of the text, which tells rows of the same or no id apart.
 
     Narrow. Null and empty texts have no chunks.
     """
@@ -93,28 +95,33 @@ def chunks(docs: DataFrame) -> DataFrame:
             words = np.concatenate(([0], np.cumsum(begins, dtype=np.int64)))
             owner = np.searchsorted(border, cuts[:-1], side="right") - 1
             first = chars[border[owner]]
+            links = [None, *(xxhash.xxh3_128_digest(a + b) for a, b in zip(digests, digests[1:]))][: len(digests)]
+            for i in np.flatnonzero(np.diff(owner, prepend=-1)).tolist():
+                links[i] = None
             lists = np.searchsorted(owner, np.arange(len(parts) + 1)).astype(np.int32)
             values = [chars[cuts[:-1]] - first, chars[cuts[1:]] - first, words[cuts[1:]] - words[cuts[:-1]]]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), *(pa.ListArray.from_arrays(pa.array(lists), pa.array(v.astype(np.int32))) for v in values),
-                 pa.ListArray.from_arrays(pa.array(lists), pa.array(digests, pa.binary()))], schema=_OUT)
+                [batch.column("doc_id").cast(pa.int64()), batch.column("text_key"), *(pa.ListArray.from_arrays(pa.array(lists), pa.array(v.astype(np.int32))) for v in values),
+                 *(pa.ListArray.from_arrays(pa.array(lists), pa.array(d, pa.binary())) for d in (digests, links))], schema=_OUT)
 
-    return docs.select("doc_id", "text").mapInArrow(cut, _DDL)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(cut, _DDL)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """``doc_id, start, end, words, first_doc_id``: every chunk that an earlier document (smaller id) holds as well.
+    """``doc_id, text_key, start, end, words, link, first_doc_id``: every chunk that an earlier document (smaller id) holds
+    as well, and as ``link`` every chunk that an earlier document holds together with the chunk before it.
 
     One row is kept for each digest and task before the shuffle, so a chunk in a third of all texts
     costs one row a task; the join back meets its many rows with one row of the other side. Rows that share a
     doc_id count as one document, and so do rows with a null id, which own nothing and repeat what others hold.
     """
-    rows = chunks(docs).select("doc_id", F.explode(F.arrays_zip("starts", "ends", "words", "digests")).alias("c"))
-    flat = rows.select(
-        "doc_id",
-        F.conv(F.hex(F.substring("c.digests", 1, 8)), 16, -10).cast("long").alias("d1"),
-        F.conv(F.hex(F.substring("c.digests", 9, 8)), 16, -10).cast("long").alias("d2"),
-        F.col("c.starts").alias("start"), F.col("c.ends").alias("end"), F.col("c.words").alias("words"),
+    rows = chunks(docs).select("doc_id", "text_key", F.explode(F.arrays_zip("starts", "ends", "words", "digests", "links")).alias("c"))
+    kinds = F.array(*(F.struct(F.col(f"c.{name}").alias("d"), F.lit(link).alias("link")) for name, link in (("digests", False), ("links", True))))
+    flat = rows.withColumn("k", F.explode(kinds)).filter("k.d is not null").select(
+        "doc_id", "text_key",
+        F.conv(F.hex(F.substring("k.d", 1, 8)), 16, -10).cast("long").alias("d1"),
+        F.conv(F.hex(F.substring("k.d", 9, 8)), 16, -10).cast("long").alias("d2"),
+        F.col("c.starts").alias("start"), F.col("c.ends").alias("end"), F.col("c.words").alias("words"), F.col("k.link").alias("link"),
     )
     seen = flat.groupBy("d1", "d2").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last"), F.count("*").alias("n"), F.count("doc_id").alias("k"))
     shared = written(seen.filter((F.col("first_doc_id") < F.col("last")) | (F.col("k") < F.col("n"))).select("d1", "d2", "first_doc_id"), "shared_chunks")
@@ -122,29 +129,37 @@ def repeats(docs: DataFrame) -> DataFrame:
     return flat.join(shared, ["d1", "d2"]).filter(F.col("first_doc_id").isNotNull() & later).drop("d1", "d2")
 
 
+def _spans(docs: DataFrame, least_words: int) -> DataFrame:
+    """``repeated_spans`` with ``text_key``. In a text's order a link stands before its chunk, in the run of the chunk before."""
+    rows = repeats(docs).distinct()
+    by = Window.partitionBy("doc_id", "text_key").orderBy("start", "end", F.desc("link"))
+    linked = F.coalesce(F.lag("link").over(by) & (F.lag("start").over(by) == F.col("start")), F.lit(False))
+    runs = rows.withColumn("new", (~F.col("link") & ~linked).cast("int")).withColumn("run", F.sum("new").over(by))
+    spans = runs.groupBy("doc_id", "text_key", "run").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.sum(F.when(~F.col("link"), F.col("words"))).alias("words"),
+        F.coalesce(F.max(F.when(F.col("link"), F.col("first_doc_id"))), F.min("first_doc_id")).alias("first_doc_id"),
+    )
+    return spans.filter(F.col("words") >= least_words).drop("run")
+
+
 def repeated_spans(docs: DataFrame, least_words: int = 15) -> DataFrame:
     """``doc_id, start, end, words, first_doc_id``: adjoining repeated chunks as one span, spans of
-    ``least_words`` words and more. ``first_doc_id`` is the smallest id that holds one of its chunks.
+    ``least_words`` words and more. Two chunks are joined only if an earlier document holds them side by side as well.
+    ``first_doc_id`` is the largest of the ids that are the first to hold two of its neighbours, or the first to hold
+    its only chunk.
 
-    Ids are taken to name texts; rows that repeat an id with its text give their spans once.
-    A span is within one text, so its window is as large as one text's repeated chunks.
+    Rows are known by id and text: rows of one id or none with different texts have spans of their own; rows that repeat an id
+    with its text give their spans once. A span is within one text, so its window is as large as one text's repeated chunks.
     """
-    rows = repeats(docs).distinct()
-    by = Window.partitionBy("doc_id").orderBy("start", "end")
-    new = F.coalesce((F.lag("end").over(by) != F.col("start")).cast("int"), F.lit(1))
-    runs = rows.withColumn("new", new).withColumn("run", F.sum("new").over(by))
-    spans = runs.groupBy("doc_id", "run").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.min("first_doc_id").alias("first_doc_id")
-    )
-    return spans.filter(F.col("words") >= least_words).drop("run")
+    return _spans(docs, least_words).drop("text_key")
 
 
 def without_repeats(docs: DataFrame, least_words: int = 15) -> DataFrame:
     """The rows of ``docs`` with their repeated spans cut out of ``text``; other columns stay."""
-    spans = repeated_spans(docs, least_words).groupBy(F.col("doc_id").alias("span_id")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    joined = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("span_id")), "left")
+    spans = _spans(docs, least_words).groupBy(F.col("doc_id").alias("span_id"), F.col("text_key").alias("span_text")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    joined = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("span_id")) & (F.xxhash64(docs["text"]) == F.col("span_text")), "left")
     kept = F.expr(
         "aggregate(spans, struct('' as t, 0 as at), (a, s) -> struct(concat(a.t, substr(text, a.at + 1, s.start - a.at)) as t, s.`end` as at), "
         "a -> concat(a.t, substr(text, a.at + 1)))"
     )
-    return joined.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(kept)).drop("span_id", "spans")
+    return joined.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(kept)).drop("span_id", "span_text", "spans")
