@@ -83,3 +83,21 @@ def test_chunks_of_different_documents_are_not_one_span(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for r in sd.repeated_spans(df).collect():
         assert any(texts[r["doc_id"]][r["start"] : r["end"]].strip() in texts[i] for i in texts if i < r["doc_id"])
+
+
+def test_texts_without_id_and_of_one_id(spark):
+    rng = random.Random(9)
+    make = lambda k: " ".join(f"w{rng.randrange(10**6)}" for _ in range(k))
+    passages = [make(60) for _ in range(12)]
+    rows = [(i, f"{make(20)} {p} {make(20)}") for i, p in enumerate(passages)]
+    later = [(i, f"{make(15 + 3 * k)} {p} {make(20)}") for k, p in enumerate(passages) for i in (None, 50)]
+    spans = sd.repeated_spans(spark.createDataFrame(rows + later, "doc_id long, text string"))
+    for want in (None, 50):
+        got = [r for r in spans.collect() if r["doc_id"] == want]
+        assert len(got) == 12 and all(r["words"] >= 40 for r in got)
+        assert {r["first_doc_id"] for r in got} <= {*range(12), 50 if want is None else 0}  # texts without id also repeat those of id 50
+    left = [r["text"] for r in sd.without_repeats(spark.createDataFrame(rows + later, "doc_id long, text string")).collect() if r["doc_id"] in (None, 50)]
+    assert len(left) == 24 and all(len(t.split()) < 60 + 15 + 33 + 20 - 40 for t in left)
+    for k, p in enumerate(passages):
+        mine = [t for t in left if t.split()[0] in {x[1].split()[0] for x in later[2 * k : 2 * k + 2]}]
+        assert len(mine) == 2 and all(p not in t and len(t.split()) < 15 + 3 * k + 20 + 20 for t in mine)
