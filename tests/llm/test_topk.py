@@ -37,3 +37,15 @@ def test_large_components_and_few_rows(spark):
     got = topk.top_k(topk.whole_vectors(df), F.col("vec_id") % 20 == 0)
     assert sorted(tuple(r) for r in got.collect()) == brute([(r["vec_id"], r["embedding"]) for r in df.collect()], 20)
     assert topk.top_k(topk.whole_vectors(df.limit(0)), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_components_beyond_sums_of_64_bits(spark):
+    big = 2.0**27
+    rows = [(0, [big, -big, big, 1.0]), (1, [5e6, 2.0, -5e6, 7.0]), (2, [big, big, 3.0, 0.5]), (3, [-big, 1.0, big, 2.0]), (20, [5e6, 0.5, 1.0, -1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(topk.whole_vectors(df), F.col("vec_id") % 20 == 0)
+    assert sorted(tuple(r) for r in got.collect()) == brute(rows, 20)
+    cancel = [(0, [2.0**27] * 64), (1, [2.0**27, -(2.0**27)] * 32), (2, [1.0] + [0.0] * 63)]
+    df = spark.createDataFrame(cancel, "vec_id long, embedding array<double>")
+    got = topk.top_k(topk.whole_vectors(df), F.col("vec_id") % 20 == 0)
+    assert sorted(tuple(r) for r in got.collect()) == brute(cancel, 20)

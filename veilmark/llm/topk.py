@@ -10,18 +10,18 @@ from pyspark.sql import functions as F
 from veilmark.llm.common import parts_for
 
 _OUT = pa.schema([("query_id", pa.int64()), ("vec_ids", pa.list_(pa.int64())), ("scores", pa.list_(pa.int64()))])
-#: Components are held to this size, so that sums stay exact in 64 bits.
-_LARGEST = 1 << 28
 
 
 def whole_vectors(vectors: DataFrame, scale: int = 64) -> DataFrame:
     """``vec_id, v``: floor(scale * x) of each component. Vectors that are null or hold a null,
-    NaN or infinite component are left out; components beyond 2^28 are held to that size."""
+    NaN or infinite component are left out; a component whose value does not fit a long is an error."""
     x = F.col("embedding")
     usable = x.isNotNull() & F.coalesce(
         F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf")))), F.lit(False)
     )
-    whole = F.transform(x, lambda e: F.least(F.greatest(F.floor(F.lit(float(scale)) * e.cast("double")), F.lit(-_LARGEST)), F.lit(_LARGEST)).cast("long"))
+    scaled = lambda e: F.lit(float(scale)) * e.cast("double")
+    fits = lambda e: F.abs(scaled(e)) < F.lit(float(1 << 63))
+    whole = F.transform(x, lambda e: F.when(fits(e), F.floor(scaled(e)).cast("long")).otherwise(F.raise_error(F.lit("a component does not fit a long")).cast("long")))
     return vectors.filter(usable & F.col("vec_id").isNotNull()).select("vec_id", whole.alias("v"))
 
 
@@ -34,8 +34,10 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
 
 def _best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, block: int = 64, tile: int = 1_024):
     """The k best of ``vectors`` (sorted by id) for each query, term at a time."""
-    largest = int(np.abs(queries).max(initial=0)) * int(np.abs(vectors).max(initial=0)) * max(1, queries.shape[1])
-    kind = np.float32 if largest < 1 << 24 else np.int64
+    size = lambda m: max(int(m.max(initial=0)), -int(m.min(initial=0)))
+    largest = size(queries) * size(vectors) * max(1, queries.shape[1])
+    # Beyond 64 bits sums are Python's whole numbers, exact and slow; a score that is asked for and fits no long is an error.
+    kind = np.float32 if largest < 1 << 24 else np.int64 if largest < 1 << 63 else object
     # Postings by tile: for each term the rows that hold it, with their weights.
     tiles = []
     for low in range(0, len(ids), tile):
@@ -68,9 +70,9 @@ def _best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors:
             n = min(take, len(row))
             if not n:
                 continue
-            cut = np.partition(row, len(row) - n)[len(row) - n]
-            above = np.flatnonzero(row > cut)
-            level = np.flatnonzero(row == cut)[: n - len(above)]
+            cut = (np.sort(row) if kind is object else np.partition(row, len(row) - n))[len(row) - n]
+            above = np.flatnonzero((row > cut).astype(bool))
+            level = np.flatnonzero((row == cut).astype(bool))[: n - len(above)]
             chosen = np.concatenate((above, level))
             yield int(mine), open_ids[chosen], row[chosen].astype(np.int64)
 
