@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilmark.llm import bpe, group_join, kneser_ney, mixing, pitman_yor, secrets, sharding, substring_dedup, topk, toxicity
-from veilmark.llm.common import fold, table, word_count
+from veilmark.llm import bpe, collocations, group_join, kneser_ney, mixing, periodic_runs, pitman_yor, secrets, sharding
+from veilmark.llm import substring_dedup, syncmers, topk, toxicity
+from veilmark.llm.common import WORD, fold, table, word_count
 from veilmark.session import written
 
 #: Bytes a shard may hold; small, because the given tables are.
@@ -136,3 +137,65 @@ def pipeline(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES["pipeline"] = pipeline
+
+
+def op11_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    """The best collocations of every language, from exact counts over all texts."""
+    return collocations.collocations(table(spark, sf, "documents"))
+
+
+QUERIES["op11_collocations"] = op11_collocations
+
+
+def with_planted_run(docs: DataFrame) -> DataFrame:
+    """Texts whose id hashes to a multiple of ten repeat a stretch of their words to the end; null ids are left alone."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g, chosen = F.floor(h / 10), F.coalesce(h % 10 == 0, F.lit(False))
+    rows = docs.select("doc_id", "text", F.when(chosen, F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("w"), g.alias("g"))
+    n = F.size("w")
+    rows = rows.withColumn("a", F.when(n > 0, F.col("g") % n).cast("int"))
+    rows = rows.withColumn("p", (1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    turns = F.ceil((n - F.col("a")) / F.col("p")).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), turns)), F.lit(1), n - F.col("a"))
+    text = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), tail), " ")
+    return rows.select("doc_id", F.when(F.col("a").isNotNull(), text).otherwise(F.col("text")).alias("text"))
+
+
+def op12_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Periodic runs of every document: their number, the one with most periods, and digests of all and of what stays."""
+    rows = periodic_runs.find_runs(with_planted_run(table(spark, sf, "documents")))
+    none = F.get("runs", F.size("runs"))
+    more = lambda r, s: F.coalesce(r["length"] * s["period"] > s["length"] * r["period"], F.lit(True))
+    rows = rows.withColumn("best", F.reduce("runs", none, lambda s, r: F.when(more(r, s), r).otherwise(s)))
+    ordered = F.array_sort(F.transform("runs", lambda r: F.struct(r["start"], r["period"], r["length"])))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))
+    return rows.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(ordered, line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES["op12_runs"] = op12_runs
+
+
+def op13_syncmers(spark: SparkSession, sf: str) -> DataFrame:
+    """Fingerprint of every document and of its edited text, and how like they and the next document's are."""
+    rows = syncmers.compared(table(spark, sf, "documents"))
+    return rows.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited_text", 256).alias("edited_sha256"),
+        syncmers.fingerprint(F.col("anchors")).alias("fingerprint"),
+        syncmers.fingerprint(F.col("edited_anchors")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
+QUERIES["op13_syncmers"] = op13_syncmers
