@@ -4,10 +4,10 @@
    passed the level before, so the words of every level are read from the whole texts but few phrases are shuffled.
 2. The counts of all levels are the streams: ordered by the first words of a phrase (prefix order) they meet the
    counts of first parts, ordered by its last words (suffix order) those of the rest. Both meetings, and those with the
-   greatest extension to the right and to the left, are merge joins of sorted streams; no side is hashed or broadcast.
+   greatest extension to the right and to the left, are merge joins of sorted streams; no count is looked up in a hash table.
 3. Scores are whole numbers from decimals of 38 digits.
 
-The only thing that reaches every task is a filter of at most 2^28 bits. What it lets through by chance is counted
+What reaches every task is a filter of at most 2^28 bits, and one total a language where the languages are few. What it lets through by chance is counted
 like the rest and falls below the limit; beyond some 16 million frequent phrases a level it lets more through.
 """
 
@@ -22,18 +22,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilmark.session import written
+from veilmark.session import broadcast_if_small, written
 
 #: Bytes that end a piece, and bytes that end a word within a piece.
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 BLANKS = b" \t"
 NO_LANG = "und"
 
-_KIND = np.zeros(256, np.uint8)
-_KIND[list(BLANKS)] = 1
-_KIND[list(BREAKS)] = 2
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+_KIND = bytes(2 if b in BREAKS else 1 if b in BLANKS else 0 for b in range(256))
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MOST_BITS = 28
 _PARTS = 64
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -50,9 +47,12 @@ def _follow(h: np.ndarray, word: np.ndarray) -> np.ndarray:
     return _mix(h * _BASE + word)
 
 
-def _word_hashes(langs: list[str], words: list[bytes]) -> np.ndarray:
-    seeds = {lang: xxhash.xxh64_intdigest(lang.encode()) for lang in set(langs)}
-    return np.fromiter((xxhash.xxh64_intdigest(w, seeds[lang]) for lang, w in zip(langs, words)), np.uint64, len(words))
+def _text_hashes(texts: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, texts), np.uint64, len(texts))
+
+
+def _mapped(data: np.ndarray, table: bytes) -> np.ndarray:
+    return np.frombuffer(data.tobytes().translate(table), np.uint8)
 
 
 def stretches(data: np.ndarray, ends: np.ndarray, limit: int = 16_000_000) -> Iterator[tuple[int, int]]:
@@ -69,8 +69,8 @@ def stretches(data: np.ndarray, ends: np.ndarray, limit: int = 16_000_000) -> It
                 stop = int(ends[whole - 1])
             else:
                 text_end = int(ends[whole])
-                inside = np.flatnonzero(_KIND[data[start:stop]] == 2)
-                beyond = np.flatnonzero(_KIND[data[stop:text_end]] == 2) if not len(inside) else inside
+                inside = np.flatnonzero(_mapped(data[start:stop], _KIND) == 2)
+                beyond = np.flatnonzero(_mapped(data[stop:text_end], _KIND) == 2) if not len(inside) else inside
                 stop = start + int(inside[-1]) + 1 if len(inside) else stop + int(beyond[0]) + 1 if len(beyond) else text_end
         yield start, min(stop, total)
         start = stop
@@ -80,32 +80,37 @@ class _Words:
     """Words of one stretch: term (lang and word) of each, and the piece it stands in."""
 
     def __init__(self, data: np.ndarray, heads: np.ndarray, row_lang: np.ndarray, langs: list[str]):
-        kind = _KIND[data]
-        word, head = kind == 0, np.zeros(len(data) + 1, bool)
-        head[heads] = True
+        kind = _mapped(data, _KIND)
+        word = kind == 0
         inside = np.concatenate(([False], word, [False]))
-        begin = np.flatnonzero(word & (head[:-1] | ~inside[:-2]))
-        end = np.flatnonzero(word & (head[1:] | ~inside[2:])) + 1
+        # Where a text begins right after another one's last letter, one word ends and one begins.
+        touching = np.unique(heads[(heads > 0) & (heads < len(data))])
+        touching = touching[word[touching] & word[touching - 1]]
+        edges = np.sort(np.concatenate((np.flatnonzero(inside[1:] != inside[:-1]), touching, touching)))
+        begin, end = edges[::2], edges[1::2]
         row = np.searchsorted(heads, begin, side="right") - 1
-        self.piece = np.cumsum(kind == 2, dtype=np.int64)[begin] + row
+        self.piece = np.searchsorted(np.flatnonzero(kind == 2), begin) + row
         sizes = np.concatenate(([0], np.cumsum(end - begin)))
-        body = _LOWER[data[word]]
+        body = _mapped(data, _LOWER)[word]
         found = pa.Array.from_buffers(pa.large_string(), len(begin), [None, pa.py_buffer(sizes), pa.py_buffer(body)]).dictionary_encode()
-        self.words, lang = found.dictionary, row_lang[row]
-        self.code = found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        terms, self.term = np.unique(self.code * len(langs) + lang, return_inverse=True)
-        self.term_word, self.term_lang = terms // len(langs), terms % len(langs)
-        self.langs = pa.array(langs, pa.string())
+        self.words, self.langs = found.dictionary, pa.array(langs, pa.string())
+        key = found.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(langs) + row_lang[row]
+        present = np.zeros(len(self.words) * len(langs), bool)
+        present[key] = True
+        self.terms = np.flatnonzero(present)
+        number = np.zeros(len(present), np.int64)
+        number[self.terms] = np.arange(len(self.terms))
+        self.term = number[key]
 
     def hashes(self) -> np.ndarray:
-        langs = self.langs.take(pa.array(self.term_lang)).to_pylist()
-        words = self.words.take(pa.array(self.term_word)).cast(pa.large_binary()).to_pylist()
-        return _word_hashes(langs, words)[self.term]
-
-    def phrases(self, n: int, passed: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        """First place and count of each distinct phrase of ``n`` words; with ``passed`` (a bit
-        table of phrases of n - 1 words) only of those whose two parts are in it."""
-        places = max(0, len(self.code) - n + 1)
+        words = _text_hashes(self.words.cast(pa.large_binary()).to_pylist())
+        langs = _text_hashes([lang.encode() for lang in self.langs.to_pylist()])
+        return _follow(langs[self.terms % len(langs)], words[self.terms // len(langs)])[self.term]
+
+    def phrases(self, n: int, passed: np.ndarray | None) -> tuple[list[np.ndarray], np.ndarray]:
+        """The ``n`` terms and the count of each distinct phrase; with ``passed`` (a bit table of
+        phrases of n - 1 words) only of those whose two parts are in it."""
+        places = max(0, len(self.term) - n + 1)
         valid = self.piece[:places] == self.piece[n - 1 :][:places]
         if passed is not None and places:
             word = self.hashes()
@@ -116,17 +121,28 @@ class _Words:
             hit = (passed[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
             valid &= hit[:-1] & hit[1:]
         place = np.flatnonzero(valid)
-        rank = self.term[place]
+        bits = max(1, len(self.terms).bit_length())
+        at_once = 62 // bits
+        if n <= at_once:
+            key = self.term[place]
+            for i in range(1, n):
+                key = (key << bits) | self.term[place + i]
+            key, count = np.unique(key, return_counts=True)
+            return [(key >> (bits * (n - 1 - i))) & ((1 << bits) - 1) for i in range(n)], count
+        key = self.term[place]
         for i in range(1, n):
-            _, rank = np.unique((rank << 32) | self.term[place + i], return_inverse=True)
-        _, first, count = np.unique(rank, return_index=True, return_counts=True)
-        return place[first], count
+            _, key = np.unique(key, return_inverse=True)
+            key = (key << 32) | self.term[place + i]
+        _, first, count = np.unique(key, return_index=True, return_counts=True)
+        return [self.term[place[first] + i] for i in range(n)], count
 
-    def batch(self, place: np.ndarray, n: int, count: np.ndarray) -> pa.RecordBatch:
-        parts = [self.words.take(pa.array(self.code[place + i])) for i in range(n)]
-        phrase = pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())) if n > 1 else parts[0]
-        lang = self.langs.take(pa.array(self.term_lang[self.term[place]]))
-        return pa.RecordBatch.from_arrays([lang, phrase.cast(pa.string()), pa.array(count, pa.int64())], ["lang", "phrase", "c"])
+    def batches(self, terms: list[np.ndarray], count: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for start in range(0, len(count), 100_000):
+            some = [self.terms[t[start : start + 100_000]] for t in terms]
+            parts = [self.words.take(pa.array(t // len(self.langs))) for t in some]
+            phrase = pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())) if len(parts) > 1 else parts[0]
+            lang = self.langs.take(pa.array(some[0] % len(self.langs)))
+            yield pa.RecordBatch.from_arrays([lang, phrase.cast(pa.string()), pa.array(count[start : start + 100_000])], ["lang", "phrase", "c"])
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[_Words]:
@@ -151,14 +167,12 @@ def _counted(rows: DataFrame, n: int, bits: np.ndarray | None = None) -> DataFra
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words in _words(batches):
-            place, times = words.phrases(n, None if shared is None else shared.value)
             # Words of a language are added up under the empty phrase, which is no word.
-            if n == 1 and len(words.code):
-                total = np.bincount(words.term_lang[words.term], minlength=len(words.langs))
+            if n == 1 and len(words.term):
+                total = np.bincount(words.terms[words.term] % len(words.langs), minlength=len(words.langs))
                 blank = pa.array([""] * len(total), pa.string())
                 yield pa.RecordBatch.from_arrays([words.langs, blank, pa.array(total, pa.int64())], ["lang", "phrase", "c"])
-            for i in range(0, len(place), 100_000):
-                yield words.batch(place[i : i + 100_000], n, times[i : i + 100_000])
+            yield from words.batches(*words.phrases(n, None if shared is None else shared.value))
 
     return rows.mapInArrow(count, _COUNTS).groupBy("lang", "phrase").agg(F.sum("c").alias("a"))
 
@@ -170,11 +184,12 @@ def _bit_table(frequent: DataFrame, n: int) -> np.ndarray:
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs = batch.column(0).to_pylist()
+            lang = _text_hashes([x.encode() for x in batch.column(0).to_pylist()])
             words = [p.encode().split(b" ") for p in batch.column(1).to_pylist()]
-            h = _word_hashes(langs, [w[0] for w in words])
+            word = [_follow(lang, _text_hashes([w[i] for w in words])) for i in range(n)]
+            h = word[0]
             for i in range(1, n):
-                h = _follow(h, _word_hashes(langs, [w[i] for w in words]))
+                h = _follow(h, word[i])
             slot = h & mask
             bit = (np.uint64(1) << (slot & np.uint64(63))).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array((slot >> np.uint64(6)).astype(np.int64)), pa.array(bit)], ["cell", "bit"])
@@ -220,7 +235,7 @@ def scored(totals: DataFrame, counts: DataFrame, cover: int = 100) -> DataFrame:
     by_first = counts.select("lang", F.col("phrase").alias("first"), F.col("a").alias("l"))
     by_rest = counts.select("lang", F.col("phrase").alias("rest"), F.col("a").alias("r"))
     prefix = cuts.join(by_first.hint("merge"), ["lang", "first"])
-    both = prefix.join(by_rest.hint("merge"), ["lang", "rest"]).join(totals.withColumnRenamed("lang", "total_lang").hint("merge"), F.col("lang") == F.col("total_lang"))
+    both = prefix.join(by_rest.hint("merge"), ["lang", "rest"]).join(broadcast_if_small(totals), "lang")
     wide = lambda c: F.col(c).cast("decimal(38,0)")
     both = both.withColumn("above", wide("a") * wide("n") * F.lit(1000).cast("decimal(38,0)")).withColumn("below", wide("l") * wide("r"))
     best = (

@@ -158,18 +158,29 @@ WITH d AS (
 ), x AS (SELECT r, doc_id, text, n, left(text, n - n // 2) || left(other, n // 2) AS edited FROM e),
 a AS (SELECT DISTINCT text AS t FROM x UNION SELECT edited FROM x),
 w AS (SELECT t, regexp_extract_all(t, '[^\x20\x09-\x0D]{1,32}') AS w FROM a),
-h AS (SELECT t, w, list_transform(w, lambda v: CAST('0x' || substr(md5(v), 1, 15) AS HUGEINT)) AS h FROM w),
+v AS (SELECT DISTINCT unnest(w) AS v FROM w UNION SELECT array_to_string(w, ' ') FROM w WHERE len(w) < 40),
+crc AS (
+  SELECT v, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(v)), '..'), lambda c: CAST('0x' || c AS BIGINT))),
+    lambda c, x: list_reduce(list_prepend(xor(c, x), range(8)), lambda y, i: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384::BIGINT) ELSE y >> 1 END))) AS c
+  FROM v
+), num AS (SELECT v, (((c * 1000000007) % 1073741789) << 30 | ((c * 812345677) % 1073741783))::HUGEINT AS x FROM crc),
+pos AS (SELECT t, unnest(w) AS v, unnest(range(len(w))) AS i FROM w),
+h AS (
+  SELECT w.t, w.w, COALESCE(g.h, []) AS h, whole.x AS whole FROM w
+  LEFT JOIN (SELECT t, list(x ORDER BY i) AS h FROM pos JOIN num USING (v) GROUP BY t) g USING (t)
+  LEFT JOIN num whole ON len(w.w) < 40 AND whole.v = array_to_string(w.w, ' ')
+),
 i AS (
-  SELECT t, w, h, list_transform(range(1, len(h)), lambda i: xor(h[i], (((h[i + 1] << 11) & 1152921504606846975) | (h[i + 1] >> 49)))) AS s FROM h
+  SELECT t, w, h, whole, list_transform(range(1, len(h)), lambda i: xor(h[i], (((h[i + 1] << 11) & 1152921504606846975) | (h[i + 1] >> 49)))) AS s FROM h
 ), k AS (
-  SELECT t, w, list_transform(list_filter(range(1, len(h) - 3), lambda i: list_min(s[i:i + 3]) IN (s[i], s[i + 3])), lambda i:
+  SELECT t, w, whole, list_transform(list_filter(range(1, len(h) - 3), lambda i: list_min(s[i:i + 3]) IN (s[i], s[i + 3])), lambda i:
       xor(xor(xor(xor(h[i], (((h[i + 1] << 11) & 1152921504606846975) | (h[i + 1] >> 49))),
                       (((h[i + 2] << 22) & 1152921504606846975) | (h[i + 2] >> 38))),
                   (((h[i + 3] << 33) & 1152921504606846975) | (h[i + 3] >> 27))),
           (((h[i + 4] << 44) & 1152921504606846975) | (h[i + 4] >> 16)))) AS z FROM i
 ), f AS (
   SELECT t, CASE WHEN len(z) > 0 THEN z WHEN len(w) = 0 THEN []::HUGEINT[]
-                 ELSE [CAST('0x' || substr(md5(array_to_string(w, ' ')), 1, 15) AS HUGEINT)] END AS z FROM k
+                 ELSE [whole] END AS z FROM k
 ), q AS (SELECT t, z, list_distinct(z) AS y, array_to_string(list_transform(z, lambda v: lpad(lower(to_hex((v & 4294967295)::BIGINT)), 8, '0')), ' ') AS p FROM f),
 u AS (
   SELECT x.*, q.p AS fingerprint, v.p AS edited_fingerprint, q.y AS y, v.y AS ye FROM x JOIN q ON q.t = x.text JOIN q v ON v.t = x.edited

@@ -4,7 +4,7 @@ A text is a row of words. Five neighbouring words are an anchor when, of the pai
 with the smallest hash stands at an edge. Whether they are depends on nothing around them, so texts that
 share a passage share its anchors wherever it stands, and every stretch of some words has some.
 
-Hashes are 60-bit whole numbers: of a word the first digits of its md5, of several words the exclusive or of their hashes,
+Hashes are 60-bit whole numbers: of a word two remainders of its crc32, of several words the exclusive or of their hashes,
 each rotated by its place. Everything is array functions over one row.
 """
 
@@ -18,12 +18,17 @@ from veilmark.session import written
 #: A word, or a part of one without white space for 32 characters.
 UNIT = r"[^\x20\x09-\x0D]{1,32}"
 TURN = 11
+#: Factor and prime of each half of a hash; a 32-bit crc times a factor stays below 2^62.
+HASHES = ((1000000007, 1073741789), (812345677, 1073741783))
 _MASK = (1 << 60) - 1
 _ROW = (1 << 33) - 1
 
 
 def _hash(text: Column) -> Column:
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+    """Two 30-bit remainders of multiples of the text's crc32: no such remainder is linear in the bits, as the crc is."""
+    crc = F.crc32(text)
+    high, low = ((crc * F.lit(factor)) % F.lit(prime) for factor, prime in HASHES)
+    return F.shiftleft(high, 30).bitwiseOR(low)
 
 
 def _turned(h: Column, by: int) -> Column:
