@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
+import re
+from collections.abc import Iterator
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -24,34 +26,42 @@ _CUT = "\u0000"
 _BLANK = r"[\s\p{Z}\x1c-\x1f\x85]+"
 
 
-class _TextNodes(HTMLParser):
-    """Collects the text between tags; what a script or style element holds is left out."""
+# One piece of markup: a comment, an element whose contents are no text, a tag, a declaration. What is cut off at the end
+# of the page reaches to its end. Possessive repeats keep the search linear in the length of the page.
+_MARKUP = re.compile(
+    r"""
+    <!--.*?(?:--!?>|\Z)
+  | <(?P<unseen>script|style)(?=[\s/>])(?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*+>.*?(?:</(?P=unseen)(?=[\s/>])[^>]*(?:>|\Z)|\Z)
+  | <textarea(?=[\s/>])(?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*+>(?P<verbatim>.*?)(?:</textarea(?=[\s/>])[^>]*(?:>|\Z)|\Z)
+  | </?[A-Za-z](?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*+(?:>|\Z)
+  | <!\[(?P<section>[^\[\]>\s]*)[^>]*(?:>|\Z)
+  | <[/!?][^>]*(?:>|\Z)
+    """,
+    re.VERBOSE | re.IGNORECASE | re.DOTALL,
+)
+_SECTIONS = ("", "cdata", "if", "else", "endif")
 
-    SILENT = frozenset(("script", "style"))
 
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.nodes: list[str] = []
-        self._within: str | None = None
+def text_spans(html: str) -> Iterator[str]:
+    """The stretches of text between markup, entities decoded, in order.
 
-    def handle_starttag(self, tag, attrs):
-        if self._within is None and tag in self.SILENT:
-            self._within = tag
-
-    def handle_endtag(self, tag):
-        if tag in self.SILENT:
-            self._within = None
-
-    def handle_data(self, data):
-        if self._within is None:
-            self.nodes.append(data)
+    A script or style element ends at its first closing tag, however it is nested; one that is left
+    open takes the rest of the page. Tags in a textarea are text. A marked section of an unknown kind is an error.
+    """
+    at = 0
+    for markup in _MARKUP.finditer(html):
+        yield unescape(html[at : markup.start()])
+        at = markup.end()
+        if markup["verbatim"]:
+            yield unescape(markup["verbatim"])
+        if (markup["section"] or "").lower() not in _SECTIONS:
+            raise ValueError(f"marked section of unknown kind: {markup['section']}")
+    yield unescape(html[at:])
 
 
 def parsed_text(html: str) -> str:
-    """The same result from a full HTML parser, for pages the patterns do not cover."""
-    parser = _TextNodes()
-    parser.feed(html)
-    return "\n".join(filter(None, map(str.strip, parser.nodes)))
+    """The same result as the patterns below, for pages that they do not cover."""
+    return "\n".join(line for line in (span.strip() for span in text_spans(html)) if line)
 
 
 _PARSED = T.StructType([T.StructField("text", T.StringType()), T.StructField("error", T.StringType())])
@@ -112,7 +122,7 @@ def with_html_text(df: DataFrame, html: str, out: str = "text", error: str | Non
     A page that cannot be read has a null text, and its message in ``error`` if that is named.
 
     Built-in functions do the work for ordinary pages. Pages with markup the
-    patterns cannot read go through the standard library's parser.
+    patterns cannot read go through :func:`text_spans`.
     """
     page = F.coalesce(F.col(html), F.lit(""))
     return (

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,35 +31,79 @@ def nll_by_temperature(scored: DataFrame, grid: list[float]) -> DataFrame:
     return lines.groupBy("t").agg(F.avg("nll").alias("nll"), F.count(F.lit(1)).alias("n"))
 
 
-def _log_grid(low: float, high: float, points: int) -> list[float]:
-    step = (math.log(high) - math.log(low)) / (points - 1)
-    return [math.exp(math.log(low) + k * step) for k in range(points)]
+@dataclass(frozen=True)
+class Step:
+    """One pass of the search: where it looked, and the mean NLL and its derivatives in ``1/T`` there."""
 
+    t: float
+    nll: float
+    slope: float
+    curvature: float
+    n: int
 
-def fit_temperature(scored: DataFrame, rounds: int = 4, points: int = 17) -> float:
-    """The temperature in (0.01, 10) that minimises mean NLL of ``(proba, y)``.
 
-    NLL is convex in ``1/T``, so its minimum over T lies next to the best grid
-    point; every round searches the two neighbouring intervals again. Each round
-    brings ``points`` numbers to the driver, whatever the number of rows.
+def _measured(rows: DataFrame, inverse: list[float]) -> list[Step]:
+    """Mean NLL, slope and curvature at each ``1/T``, as sums of one pass over ``(z, own)``.
+
+    For a row with logits z and true class y the NLL is ``ln sum exp(bz) - b z_y``; its derivatives in b are the mean of z
+    under the scaled probabilities less ``z_y``, and their variance.
+    """
+    sums = [F.count(F.lit(1)).alias("n")]
+    add = lambda acc, x: acc + x
+    for k, b in enumerate(inverse):
+        e = F.transform("z", lambda z: F.exp(F.lit(b) * z))
+        total = F.aggregate(e, F.lit(0.0), add)
+        first = F.aggregate(F.zip_with(e, "z", lambda p, z: p * z), F.lit(0.0), add) / total
+        second = F.aggregate(F.zip_with(e, "z", lambda p, z: p * z * z), F.lit(0.0), add) / total
+        nll = F.log(total) - F.lit(b) * F.col("own")
+        sums += [F.avg(nll).alias(f"f{k}"), F.avg(first - F.col("own")).alias(f"s{k}"), F.avg(second - first * first).alias(f"c{k}")]
+    row = rows.agg(*sums).first()
+    if not row["n"]:
+        raise ValueError("no validation rows to fit a temperature on")
+    return [Step(1.0 / b, row[f"f{k}"], row[f"s{k}"], row[f"c{k}"], row["n"]) for k, b in enumerate(inverse)]
+
+
+def temperature_steps(scored: DataFrame, most: int = 8, tolerance: float = 1e-10) -> list[Step]:
+    """The search for the temperature in (0.01, 10) that minimises mean NLL of ``(proba, y)``: one step a pass.
+
+    NLL is convex in ``b = 1/T``, so the sign of its slope tells on which side the minimum lies. The first pass looks at nine
+    places over the whole range; then come Newton steps in b, each inside the bracket known so far, or its geometric
+    middle where a step would leave it. A minimum beyond the range ends at its border. Every row is read
+    once a pass and never copied; a pass brings a few numbers to the driver.
     """
-    rows = scored.select("proba", "y").persist()
+    logits = F.transform("proba", lambda p: F.log(p + F.lit(pr.EPS)))
+    top = F.array_max("z")
+    rows = scored.select(logits.alias("z"), F.col("y").cast("int").alias("y"))
+    rows = rows.select(F.zip_with("z", F.array_repeat(top, F.size("z")), lambda z, m: z - m).alias("z"), "y")
+    rows = rows.select("z", F.get("z", F.col("y")).alias("own")).filter("own is not null").persist()
     try:
-        low, high = LOW, HIGH
-        best = 1.0
-        for _ in range(rounds):
-            grid = _log_grid(low, high, points)
-            nll = {r["t"]: r["nll"] for r in nll_by_temperature(rows, grid).collect()}
-            if not nll:
-                raise ValueError("no validation rows to fit a temperature on")
-            best = min(grid, key=lambda t: (nll[t], t))
-            at = grid.index(best)
-            low, high = grid[max(at - 1, 0)], grid[min(at + 1, points - 1)]
-        return best
+        low, high = 1.0 / HIGH, 1.0 / LOW
+        wide = _measured(rows, [low * (high / low) ** (k / 8) for k in range(9)])
+        best = min(wide, key=lambda s: (s.nll, s.t))
+        steps = [best]
+        if wide[0].slope >= 0 or wide[-1].slope <= 0:
+            return [wide[0] if wide[0].slope >= 0 else wide[-1]]
+        at = next(k for k, s in enumerate(wide) if s.slope > 0)
+        low, high = 1.0 / wide[at - 1].t, 1.0 / wide[at].t
+        while len(steps) < most:
+            b = 1.0 / best.t
+            move = best.slope / best.curvature if best.curvature > 0 else math.inf
+            if abs(move) <= tolerance * b:
+                break
+            b = b - move if low < b - move < high else math.sqrt(low * high)
+            best = _measured(rows, [b])[0]
+            steps.append(best)
+            low, high = (b, high) if best.slope < 0 else (low, b)
+        return steps
     finally:
         rows.unpersist()
 
 
+def fit_temperature(scored: DataFrame) -> float:
+    """The temperature in (0.01, 10) that minimises mean NLL of ``(proba, y)``; see :func:`temperature_steps`."""
+    return temperature_steps(scored)[-1].t
+
+
 def best_on_grid(scored: DataFrame, grid: list[float]) -> DataFrame:
     """One round of the search as a one-row table ``(t, nll)``; smaller T on a tie."""
     by_t = nll_by_temperature(scored, grid).withColumn("r", F.round("nll", 9))

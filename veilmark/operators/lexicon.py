@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,9 +10,11 @@ from pyspark.sql import types as T
 
 from veilmark.fixed_values import LEVELS, STARTER_PHRASES
 from veilmark.functions import text as tx
+from veilmark.operators import automaton
 
 #: Bound of what is sent along with the tasks.
 MOST_PHRASES = 1_000_000
+MOST_WORDS = 8_000_000
 
 
 def starter_lexicon(spark: SparkSession) -> DataFrame:
@@ -30,24 +33,15 @@ def normalised(lexicon: DataFrame) -> DataFrame:
     )
 
 
-def _counter(rows: list[tuple[int, str]]):
+def _counter(spark: SparkSession, rows: list[tuple[int, str]]):
     """Arrow UDF: tokens of a row -> occurrences of each level's phrases, overlapping ones too."""
-    by_first: dict[str, list[tuple[list[str], int]]] = {}
-    for level, phrase in rows:
-        tokens = phrase.split(" ")
-        by_first.setdefault(tokens[0], []).append((tokens, level))
-
-    def hits(tokens: list[str]) -> list[int]:
-        found = [0] * len(LEVELS)
-        for at, token in enumerate(tokens):
-            for phrase, level in by_first.get(token, ()):
-                if tokens[at : at + len(phrase)] == phrase:
-                    found[level] += 1
-        return found
+    shared = spark.sparkContext.broadcast(automaton.build([(k, p.split(" ")) for k, p in rows], len(LEVELS)))
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def count(words: pa.Array) -> pa.Array:
-        return pa.array([hits(w or []) for w in words.to_pylist()], pa.list_(pa.int32()))
+        found = shared.value.count(words)
+        ends = np.arange(0, found.size + 1, len(LEVELS), dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(found.ravel()))
 
     return count
 
@@ -55,17 +49,20 @@ def _counter(rows: list[tuple[int, str]]):
 def with_hits(df: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Add ``hits``: for each of the six levels, how often its phrases occur.
 
-    One narrow stage for a lexicon of any size: each token is looked up as a phrase's
-    first word. Rows need no id, and equal rows are counted each on its own; ``id_col`` is not used.
-    The phrases travel with the tasks, so their number is bounded by ``MOST_PHRASES``; more is an error.
+    One narrow stage: a batch's tokens run through an automaton of all phrases, so the time does not depend on how many
+    there are or how they overlap. Rows need no id, and equal rows are counted each on its own; ``id_col`` is not used.
+    The automaton travels with the tasks, so phrases and their words are bounded by ``MOST_PHRASES`` and
+    ``MOST_WORDS``; more is an error.
     """
     phrases = normalised(lexicon).limit(MOST_PHRASES + 1).collect()
     if len(phrases) > MOST_PHRASES:
         raise ValueError(f"a lexicon holds at most {MOST_PHRASES} phrases")
+    if sum(r["n"] for r in phrases) > MOST_WORDS:
+        raise ValueError(f"the phrases of a lexicon hold at most {MOST_WORDS} words")
     outside = {r["label_idx"] for r in phrases} - set(range(len(LEVELS)))
     if outside:
         raise ValueError(f"levels outside the list: {sorted(map(str, outside))}")
-    count = _counter([(r["label_idx"], r["phrase"]) for r in phrases])
+    count = _counter(df.sparkSession, [(r["label_idx"], r["phrase"]) for r in phrases])
     return tx.with_words(df, text, "_words").withColumn("hits", count("_words")).drop("_words")
 
 
