@@ -80,3 +80,9 @@ def test_overlaps_of_a_group():
         for j, b in enumerate(sets):
             if i != j:
                 assert got[i, j] == len(set(a.tolist()) & set(b.tolist()))
+
+
+def test_a_column_of_any_name_is_kept(spark):
+    docs = edge.documents(spark).withColumn("kept_key", edge.F.lit("mine")).withColumn("_kept_key", edge.F.lit(5))
+    out = group_join.one_of_each(docs)
+    assert out.columns == docs.columns and out.filter("kept_key = 'mine' and _kept_key = 5").count() == out.count() > 0

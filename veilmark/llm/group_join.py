@@ -185,20 +185,41 @@ def _shared(percent: int):
     return shared
 
 
-def _live(runs: DataFrame, percent: int) -> DataFrame:
-    """``cls`` of the classes that share enough prefix tokens with others for any link."""
+#: Least number of shards that classes are dealt to where their shared tokens are added up, and how many classes one may hold.
+_CLASS_SHARDS = 64
+_CLASSES_PER_SHARD = 2_000_000
+_MET_DDL = "slot int, met binary, times binary, met_size binary"
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _live(runs: DataFrame, percent: int, classes: int) -> DataFrame:
+    """``cls`` of the classes that share enough prefix tokens with others for any link.
+
+    What a token shard knows of its classes goes out packed, one row for each shard of classes, so rows do
+    not multiply by the number of classes; a shard of classes adds up and names those that reach the least number.
+    """
+    shards = parts_for(classes, _CLASSES_PER_SHARD, _CLASS_SHARDS)
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for met, times, size in zip(*(batch.column(n).to_pylist() for n in ("met", "times", "met_size"))):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(_unpack(met, np.int64)), pa.array(_unpack(times, np.uint32).astype(np.int64)), pa.array(_unpack(size, np.uint32).astype(np.int64))],
-                    names=["cls", "times", "size"])
+            for payload in zip(*(batch.column(n).to_pylist() for n in ("met", "times", "met_size"))):
+                met, times, size = (_unpack(p, kind) for p, kind in zip(payload, (np.int64, np.uint32, np.uint32)))
+                slot = (met.view(np.uint64) % np.uint64(shards)).astype(np.int32)
+                order = np.argsort(slot, kind="stable")
+                cut = np.searchsorted(slot[order], np.arange(shards + 1))
+                own = [(s, order[cut[s] : cut[s + 1]]) for s in range(shards) if cut[s] < cut[s + 1]]
+                if own:
+                    packed = (pa.array([_pack(x[o]) for _, o in own], pa.binary()) for x in (met, times, size))
+                    yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in own], pa.int32()), *packed], names=["slot", "met", "times", "met_size"])
+
+    def added(block: pa.Table) -> pa.Table:
+        col = lambda name, kind: np.concatenate([_unpack(p, kind) for p in block.column(name).to_pylist()])
+        cls, at, back = np.unique(col("met", np.int64), return_index=True, return_inverse=True)
+        times = np.bincount(back, col("times", np.uint32), len(cls)).astype(np.int64)
+        smallest = -(-col("met_size", np.uint32)[at].astype(np.int64) * percent // 100)
+        return pa.table([cls[times >= np.maximum(1, -(-smallest * 12 // 100))]], names=["cls"])
 
-    met = runs.select("met", "times", "met_size").mapInArrow(rows, "cls long, times long, size long")
-    smallest = F.ceil(F.col("size") * percent / 100)
-    need = F.greatest(F.lit(1), F.ceil(smallest * 12 / 100))
-    return met.groupBy("cls").agg(F.sum("times").alias("times"), F.max("size").alias("size")).filter(F.col("times") >= need).select("cls")
+    met = runs.select("met", "times", "met_size").mapInArrow(dealt, _MET_DDL)
+    return met.groupBy("slot").applyInArrow(added, "cls long")
 
 
 # --- 3. groups ----------------------------------------------------------------------------
@@ -461,11 +482,11 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
     often, weight = np.asarray(top.column("t"), np.int64).view(np.uint64), np.asarray(top.column("n"), np.int64)
     order = np.argsort(often)
     sent = spark.sparkContext.broadcast((often[order], weight[order]))
-    total = rows.agg(F.sum("n_shingles")).first()[0] or 0
+    total, classes = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.count("cls")).first()
     shards = parts_for(total, 4_000_000, spark.sparkContext.defaultParallelism)
     prefixes = docs.select("text").mapInArrow(_prefixes(words, percent, shards, sent), _PREFIX_DDL)
     runs = written(prefixes.groupBy("shard").applyInArrow(_shared(percent), _RUNS_DDL), "runs")
-    alive = written(_live(runs, percent), "live_classes")
+    alive = written(_live(runs, percent, classes), "live_classes")
     bits = spark.sparkContext.broadcast(_bit_table(alive))
     sets = written(docs.select("text").mapInArrow(_live_sets(words, bits, sent), _SETS_DDL), "live_sets")
 
@@ -497,7 +518,10 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame
     """The rows of ``docs`` of which one stays for each component: the one with the smallest id, a null id last.
     Rows that repeat an id and its text are one document. Texts without words all stay."""
     found = jaccard_components(docs, words, percent)
+    own = "kept_key"
+    while own in docs.columns:
+        own = f"_{own}"
     order = F.struct(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), F.col("row_key"))
-    kept = found.filter("comp is not null").groupBy("comp").agg(F.min_by("row_key", order).alias("kept_key")).select("kept_key")
+    kept = found.filter("comp is not null").groupBy("comp").agg(F.min_by("row_key", order).alias(own)).select(own)
     kept = kept.union(found.filter("comp is null").select("row_key")).distinct()
-    return docs.withColumn("kept_key", row_key()).join(written(kept, "kept"), "kept_key", "left_semi").dropDuplicates(["kept_key"]).select(*docs.columns)
+    return docs.withColumn(own, row_key()).join(written(kept, "kept"), own, "left_semi").dropDuplicates([own]).select(*docs.columns)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veilmark.llm.common import WORD, parts_for, word_count
 from veilmark.llm.sharding import HASH_BITS, hash_bits
-from veilmark.session import checkpointed
+from veilmark.session import checkpointed, written
 
 _ROWS_PER_BUCKET = 5_000
 _BUCKETS = 256
@@ -87,10 +87,15 @@ def mix(rows: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: float = 3.0, s
 
 def taken_texts(docs: DataFrame, **options) -> DataFrame:
     """``docs`` as the mix takes them: a row as often as it is taken whole, and one shortened row
-    where a budget ends inside a text: its first words, joined by blanks. Rows of which nothing is taken go."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size"), F.md5("text").alias("content"))
-    mixed = mix(rows, **options).filter("taken > 0")
-    turns = mixed.withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("taken") / F.col("size")))))
+    where a budget ends inside a text: its first words, joined by blanks. Rows of which nothing is taken go.
+
+    The rows are numbered and stored once; the mix is decided on numbers, sources and sizes, and each text moves
+    once, to its decision. All columns of ``docs`` stay, whatever their names.
+    """
+    numbered = written(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("at")), "mixed_rows")
+    sized = numbered.select("at", F.col("row.doc_id"), F.col("row.source"), word_count(F.col("row.text")).alias("size"), F.md5("row.text").alias("content"))
+    mixed = mix(written(sized, "mixed_sizes"), **options).filter("taken > 0").select("at", "size", "taken")
+    turns = numbered.join(mixed, "at").withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("taken") / F.col("size")))))
     words = F.least(F.col("size"), F.col("taken") - (F.col("turn") - 1) * F.col("size"))
     first = F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(WORD), 0), F.lit(1), words.cast("int")), " ")
     text = F.when(words < F.col("size"), first).otherwise(F.col("row.text"))
