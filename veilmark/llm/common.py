@@ -52,3 +52,23 @@ def offsets(parts: list[bytes]) -> np.ndarray:
 def parts_for(rows: int, per_part: int, least: int = 1) -> int:
     """Number of groups so that each holds about ``per_part`` rows."""
     return max(least, -(-rows // per_part))
+
+
+def bit_table(rows: DataFrame, column: str, most: int = 28) -> np.ndarray:
+    """A bit for every 64-bit hash in ``column``, at its lowest bits: sixteen bits a row, at most 2^``most`` in all.
+
+    It tells for sure what is not among the rows; a few others pass, more of them beyond 2^24 rows.
+    """
+    bits = min(most, max(16, (16 * rows.count()).bit_length()))
+    low = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
+    cells = rows.select(F.shiftright(low, 6).alias("cell"), F.expr(f"shiftleft(1L, CAST(`{column}` & 63 AS INT))").alias("bit"))
+    found = cells.groupBy("cell").agg(F.bit_or("bit").alias("bit")).toArrow()
+    table = np.zeros(1 << (bits - 6), np.uint64)
+    table[found.column("cell").to_numpy()] = found.column("bit").to_numpy().view(np.uint64)
+    return table
+
+
+def in_bits(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether each unsigned 64-bit hash may be among those of the table."""
+    slot = hashes & np.uint64(len(table) * 64 - 1)
+    return (table[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1

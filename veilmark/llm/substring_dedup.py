@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import offsets, slices, texts
+from veilmark.llm.common import bit_table, in_bits, offsets, slices, texts
 from veilmark.session import written
 
 #: The gear hash has 16 bits, so it knows the last 16 bytes.
@@ -69,13 +69,21 @@ def cut_points(parts: list[bytes], gear: np.ndarray) -> tuple[np.ndarray, np.nda
     return raw, border, cuts
 
 
-def chunks(docs: DataFrame) -> DataFrame:
+def _may_be(passed: np.ndarray, digests: list[bytes | None]) -> np.ndarray:
+    known = np.array([d is not None for d in digests], bool)
+    heads = np.frombuffer(b"".join(d or bytes(16) for d in digests), ">u8")[::2].astype(np.uint64)
+    return known & in_bits(passed, heads)
+
+
+def chunks(docs: DataFrame, passed: np.ndarray | None = None) -> DataFrame:
     """Each text's chunks as arrays: start and end in code points, words that begin in it, 128-bit digest,
     and ``links``: the digest of the chunk before and this one together, null for a text's first chunk. ``text_key`` is a
     hash of the text, which tells rows of the same or no id apart.
 
-    Narrow. Null and empty texts have no chunks.
+    Narrow. Null and empty texts have no chunks. With ``passed``, a bit table of the first halves of digests, digests and links that
+    are not in it are null, and chunks without either are left out.
     """
+    sent = None if passed is None else docs.sparkSession.sparkContext.broadcast(passed)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gear = gear_table()
@@ -98,8 +106,14 @@ def chunks(docs: DataFrame) -> DataFrame:
             links = [None, *(xxhash.xxh3_128_digest(a + b) for a, b in zip(digests, digests[1:]))][: len(digests)]
             for i in np.flatnonzero(np.diff(owner, prepend=-1)).tolist():
                 links[i] = None
-            lists = np.searchsorted(owner, np.arange(len(parts) + 1)).astype(np.int32)
             values = [chars[cuts[:-1]] - first, chars[cuts[1:]] - first, words[cuts[1:]] - words[cuts[:-1]]]
+            if sent is not None:
+                own, pair = _may_be(sent.value, digests), _may_be(sent.value, links)
+                kept = np.flatnonzero(own | pair)
+                owner, values = owner[kept], [v[kept] for v in values]
+                digests = [digests[i] if own[i] else None for i in kept]
+                links = [links[i] if pair[i] else None for i in kept]
+            lists = np.searchsorted(owner, np.arange(len(parts) + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), batch.column("text_key"), *(pa.ListArray.from_arrays(pa.array(lists), pa.array(v.astype(np.int32))) for v in values),
                  *(pa.ListArray.from_arrays(pa.array(lists), pa.array(d, pa.binary())) for d in (digests, links))], schema=_OUT)
@@ -115,18 +129,25 @@ def repeats(docs: DataFrame) -> DataFrame:
     costs one row a task; the join back meets its many rows with one row of the other side. Rows that share a
     doc_id count as one document, and so do rows with a null id, which own nothing and repeat what others hold.
     """
-    rows = chunks(docs).select("doc_id", "text_key", F.explode(F.arrays_zip("starts", "ends", "words", "digests", "links")).alias("c"))
+    flat = _flat(chunks(docs))
+    seen = flat.groupBy("d1", "d2").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last"), F.count("*").alias("n"), F.count("doc_id").alias("k"))
+    shared = written(seen.filter((F.col("first_doc_id") < F.col("last")) | (F.col("k") < F.col("n"))).select("d1", "d2", "first_doc_id"), "shared_chunks")
+    # Most chunks are shared with nobody: a bit table keeps them out of the second shuffle.
+    held = _flat(chunks(docs, bit_table(shared, "d1")))
+    later = F.col("doc_id").isNull() | (F.col("doc_id") > F.col("first_doc_id"))
+    return held.join(shared, ["d1", "d2"]).filter(F.col("first_doc_id").isNotNull() & later).drop("d1", "d2")
+
+
+def _flat(rows: DataFrame) -> DataFrame:
+    """A row for each digest and each link, as two whole numbers."""
+    rows = rows.select("doc_id", "text_key", F.explode(F.arrays_zip("starts", "ends", "words", "digests", "links")).alias("c"))
     kinds = F.array(*(F.struct(F.col(f"c.{name}").alias("d"), F.lit(link).alias("link")) for name, link in (("digests", False), ("links", True))))
-    flat = rows.withColumn("k", F.explode(kinds)).filter("k.d is not null").select(
+    return rows.withColumn("k", F.explode(kinds)).filter("k.d is not null").select(
         "doc_id", "text_key",
         F.conv(F.hex(F.substring("k.d", 1, 8)), 16, -10).cast("long").alias("d1"),
         F.conv(F.hex(F.substring("k.d", 9, 8)), 16, -10).cast("long").alias("d2"),
         F.col("c.starts").alias("start"), F.col("c.ends").alias("end"), F.col("c.words").alias("words"), F.col("k.link").alias("link"),
     )
-    seen = flat.groupBy("d1", "d2").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last"), F.count("*").alias("n"), F.count("doc_id").alias("k"))
-    shared = written(seen.filter((F.col("first_doc_id") < F.col("last")) | (F.col("k") < F.col("n"))).select("d1", "d2", "first_doc_id"), "shared_chunks")
-    later = F.col("doc_id").isNull() | (F.col("doc_id") > F.col("first_doc_id"))
-    return flat.join(shared, ["d1", "d2"]).filter(F.col("first_doc_id").isNotNull() & later).drop("d1", "d2")
 
 
 def _spans(docs: DataFrame, least_words: int) -> DataFrame:
