@@ -10,6 +10,7 @@ from veilmark.fixed_values import BOUNDARY_TEXTS, STARTER_FILLERS, STARTER_PHRAS
 from veilmark.operators import scoring, synth
 from veilmark.plans import classify as run
 from veilmark.plans.inputs import formula_layers
+from veilmark.sources import registry
 from veilmark.streaming import live
 
 
@@ -52,6 +53,26 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got.count() == 40 and got.exceptAll(want).count() == 0
 
 
+def test_a_model_saved_meanwhile_takes_over_and_a_replay_adds_nothing(spark, tmp_path):
+    folder, models = str(tmp_path), str(tmp_path / "models")
+    rows = [spark.createDataFrame([(i, f"aa bb {i} cc") for i in some], "doc_id long, text string") for some in (range(30), range(30, 50))]
+    used = [scoring.Model(f"m{k}", ["aa", "aa bb", "cc"], np.ones(3), formula_layers(3, shift=k)) for k in (0, 1)]
+    stream = live.arriving(spark, f"{folder}/in/*", rows[0].schema)
+    for k in (0, 1):
+        registry.save_model(spark, used[k], models)
+        rows[k].write.parquet(f"{folder}/in/{k}")
+        got = live.classify_under_changing_models(stream, models, f"{folder}/out")
+    shown = ["doc_id", "classification", "confidence", "model_hash"]
+    want = [run.classify(r, m).withColumn("model_hash", F.lit(registry.content_hash(m))) for r, m in zip(rows, used)]
+    both = want[0].select(shown).unionByName(want[1].select(shown))
+    assert got.count() == 50 and got.select(shown).exceptAll(both).count() == 0
+    # The first batch once more, as after a failure: the model that it began with, and no row twice.
+    live._batch_writer(models, f"{folder}/out", "text")(rows[0], 0)
+    again = spark.read.parquet(f"{folder}/out/rows").select(shown)
+    assert again.count() == 50 and again.exceptAll(both).count() == 0
+    assert live.classify_under_changing_models(stream, models, f"{folder}/out").count() == 50
+
+
 def test_windows_close_after_the_watermark(spark, tmp_path):
     rows = spark.sql(
         "SELECT timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,cast(id*7 as int),0) AS ts, "

@@ -442,6 +442,10 @@ SELECT text, label_idx, name AS label FROM made LEFT JOIN lv ON lv.idx = label_i
     sql["stream_classify"] = f"""WITH {NET}, {_signals('doc_id')}, lv AS {LEVEL_TABLE}
 SELECT doc_id, name AS classification, round(confidence, 4) AS confidence, confidence < {REVIEW_THRESHOLD} AS review_flag, {NO_SIGNAL} AS reasoning, '{POLICY_VERSION}' AS policy_version
 FROM best JOIN lv ON lv.idx = pred LEFT JOIN why USING (doc_id)"""
+    shown = f"round(confidence, 4) AS confidence, confidence < {REVIEW_THRESHOLD} AS review_flag"
+    sql["stream_changing_model"] = f"""WITH {NET}, {_network('documents', 'doc_id', 'x', 3, '_b')}, lv AS {LEVEL_TABLE}
+SELECT doc_id, name AS classification, {shown}, 'formula0' AS model FROM best JOIN lv ON lv.idx = pred WHERE doc_id IN (SELECT doc_id FROM labels)
+UNION ALL SELECT doc_id, name, {shown}, 'formula3' FROM best_b JOIN lv ON lv.idx = pred WHERE doc_id NOT IN (SELECT doc_id FROM labels)"""
     sql["stream_level_windows"] = """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%dT%H:%M:%SZ') AS start, event_type AS classification, count(*) AS n, round(avg((value < 5.0)::INTEGER), 6) AS review_rate
 FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY 1, 2"""
     return {name: text.strip() for name, text in sql.items()}

@@ -614,6 +614,21 @@ def stream_classify(spark, sf):
     return out.select("doc_id", "classification", "confidence", "review_flag", "reasoning", "policy_version")
 
 
+def stream_changing_model(spark, sf):
+    """Labelled documents arrive under one model, the others after another model has been saved in its place."""
+    folder = fresh_folder(spark, "changing-model")
+    rows = inputs.table(spark, sf, "documents").select("doc_id", "text")
+    labels = inputs.table(spark, sf, "labels").select("doc_id")
+    arriving = live.arriving(spark, f"{folder}/arrivals/*", rows.schema)
+    for shift, kind in ((0, "left_semi"), (3, "left_anti")):
+        registry.save_model(spark, inputs.formula_model(spark, sf, shift), f"{folder}/models")
+        spread(rows.join(labels, "doc_id", kind), "doc_id").write.parquet(f"{folder}/arrivals/{kind}")
+        out = live.classify_under_changing_models(arriving, f"{folder}/models", f"{folder}/out")
+    first = registry.content_hash(inputs.formula_model(spark, sf))
+    name = F.when(F.col("model_hash") == first, "formula0").otherwise("formula3")
+    return out.select("doc_id", "classification", "confidence", "review_flag", name.alias("model"))
+
+
 def _event_log(events):
     return events.select(
         F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("classification"), (F.col("value") < 5.0).alias("review_flag")
@@ -645,6 +660,6 @@ QUERIES: dict[str, Query] = {
         accepted_by_class, selftrain_schedule, train_logreg, train_mlp, selftrain_full,
         feature_table, training_run,
         synth_phrase, synth_template, synth_long, synthetic_corpus,
-        stream_classify, stream_level_windows,
+        stream_classify, stream_changing_model, stream_level_windows,
     )
 }

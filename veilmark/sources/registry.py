@@ -105,9 +105,10 @@ def save_model(spark: SparkSession, model: Model, folder: str) -> str:
     return tag
 
 
-def load_model(spark: SparkSession, folder: str) -> Model:
+def load_model(spark: SparkSession, folder: str, manifest: str | None = None) -> Model:
+    """The model that ``folder`` names now, or the one of a ``manifest`` kept elsewhere."""
     base = folder.rstrip("/")
-    m = spark.read.parquet(f"{base}/manifest").first()
+    m = spark.read.parquet(manifest or f"{base}/manifest").first()
     tag = m["content_hash"]
     vocab = spark.read.parquet(f"{base}/vocab.{tag}").orderBy("feature_idx").toPandas()
     weights = spark.read.parquet(f"{base}/weights.{tag}").orderBy("layer", "in_idx").toPandas()
