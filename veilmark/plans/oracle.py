@@ -448,4 +448,6 @@ SELECT doc_id, name AS classification, {shown}, 'formula0' AS model FROM best JO
 UNION ALL SELECT doc_id, name, {shown}, 'formula3' FROM best_b JOIN lv ON lv.idx = pred WHERE doc_id NOT IN (SELECT doc_id FROM labels)"""
     sql["stream_level_windows"] = """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%dT%H:%M:%SZ') AS start, event_type AS classification, count(*) AS n, round(avg((value < 5.0)::INTEGER), 6) AS review_rate
 FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY 1, 2"""
+    sql["classify_sql"] = sql["stream_classify"]
+    sql["explain_sql"] = sql["top5_terms"]
     return {name: text.strip() for name, text in sql.items()}

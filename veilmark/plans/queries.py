@@ -21,7 +21,7 @@ from veilmark.operators import lexicon as lx
 from veilmark.operators import policy_label as pl
 from veilmark.operators import scoring, selftrain, split, synth, tfidf, training
 from veilmark.plans import classify as run
-from veilmark.plans import inputs
+from veilmark.plans import inputs, sql_surface
 from veilmark.plans import training_run as plan
 from veilmark.session import broadcast_if_small, fresh_folder, spread, written
 from veilmark.sources import files, readers, registry, sinks
@@ -184,6 +184,26 @@ def reasoning(spark, sf):
     return _scored(spark, sf).select("doc_id", scoring.reasoning(F.col("signals")).alias("reasoning"))
 
 
+def _sql_functions(spark, sf):
+    sql_surface.register(spark, inputs.formula_model(spark, sf))
+    inputs.documents(spark, sf).createOrReplaceTempView("texts_to_classify")
+
+
+def classify_sql(spark, sf):
+    """The classification of raw texts, in SQL."""
+    _sql_functions(spark, sf)
+    return spark.sql(
+        "SELECT id AS doc_id, classification, round(confidence, 4) AS confidence, review_flag, reasoning, policy_version "
+        "FROM classify_text(TABLE(SELECT doc_id, text FROM texts_to_classify))"
+    )
+
+
+def explain_sql(spark, sf):
+    """The strongest terms of raw texts, in SQL."""
+    _sql_functions(spark, sf)
+    return spark.sql("SELECT id AS doc_id, rank, term, round(weight, 6) AS weight FROM explain_text(TABLE(SELECT doc_id, text FROM texts_to_classify))")
+
+
 def artefact_hash(spark, sf):
     return registry.vocabulary_hash(inputs.vocabulary(spark, sf))
 
@@ -649,7 +669,7 @@ QUERIES: dict[str, Query] = {
         tfidf_fit_on_train, oov_docs,
         mlp_forward, mlp_forward_by_join, parity_check, embedding_forward, recover_logits,
         softmax_temperature, argmax_level, calibrated_predict, feature_salience, top5_terms, reasoning,
-        artefact_hash, model_manifest, nll_by_t, fit_temperature, temperature_newton, calibration_report,
+        classify_sql, explain_sql, artefact_hash, model_manifest, nll_by_t, fit_temperature, temperature_newton, calibration_report,
         classify_log, classify_conversations, classify_benchmark, slim_log, review_queue, min_confidence,
         review_only, run_summary, level_counts, errors_by_status, confidence_band, csv_export, run_timestamp,
         confusion_matrix, class_report, confidence_histogram, accuracy, model_compare, class_distribution,
