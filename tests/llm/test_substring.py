@@ -101,3 +101,13 @@ def test_texts_without_id_and_of_one_id(spark):
     for k, p in enumerate(passages):
         mine = [t for t in left if t.split()[0] in {x[1].split()[0] for x in later[2 * k : 2 * k + 2]}]
         assert len(mine) == 2 and all(p not in t and len(t.split()) < 15 + 3 * k + 20 + 20 for t in mine)
+
+
+def test_columns_of_any_name_stay(spark):
+    docs = edge.documents(spark)
+    named = docs
+    for name in ("spans", "span_id", "span_text", "text_key", "row", "start"):
+        named = named.withColumn(name, edge.F.lit(f"own {name}"))
+    out = sd.without_repeats(named)
+    assert out.columns == named.columns and out.filter("spans = 'own spans' and row = 'own row' and text_key = 'own text_key'").count() == named.count()
+    assert edge.pairs(out, "doc_id", "text") == edge.pairs(sd.without_repeats(docs), "doc_id", "text")

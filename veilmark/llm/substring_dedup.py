@@ -176,11 +176,14 @@ def repeated_spans(docs: DataFrame, least_words: int = 15) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, least_words: int = 15) -> DataFrame:
-    """The rows of ``docs`` with their repeated spans cut out of ``text``; other columns stay."""
-    spans = _spans(docs, least_words).groupBy(F.col("doc_id").alias("span_id"), F.col("text_key").alias("span_text")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    joined = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("span_id")) & (F.xxhash64(docs["text"]) == F.col("span_text")), "left")
+    """The rows of ``docs`` with their repeated spans cut out of ``text``; other columns stay, whatever their names."""
+    cuts = F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans")
+    spans = _spans(docs, least_words).groupBy("doc_id", "text_key").agg(cuts)
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    of_row = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.xxhash64("row.text") == F.col("text_key"))
     kept = F.expr(
-        "aggregate(spans, struct('' as t, 0 as at), (a, s) -> struct(concat(a.t, substr(text, a.at + 1, s.start - a.at)) as t, s.`end` as at), "
-        "a -> concat(a.t, substr(text, a.at + 1)))"
+        "aggregate(spans, struct('' as t, 0 as at), (a, s) -> struct(concat(a.t, substr(row.text, a.at + 1, s.start - a.at)) as t, s.`end` as at), "
+        "a -> concat(a.t, substr(row.text, a.at + 1)))"
     )
-    return joined.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(kept)).drop("span_id", "span_text", "spans")
+    text = F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(kept)
+    return rows.join(spans, of_row, "left").select(*(text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
