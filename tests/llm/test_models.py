@@ -95,7 +95,7 @@ def test_base_columns_and_better_scores(spark):
 
     rows = [(i, chain()) for i in range(300)] + [(400, None), (401, ""), (None, "W1 w2"), (402, "ZZ zz"), (402, "ZZ zz"), (403, "w1 " * 4_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit(1)).repartition(3)
-    got = py.score_texts(df.withColumn("learn", fold("doc_id", 7) != 2), most_symbols=80, block_bytes=20_000).collect()
+    got = py.score_texts(df.withColumn("learn", fold("doc_id", 7) != 2), block_bytes=20_000).collect()
     out_of = lambda i: (zlib.crc32(str(i).encode()) % 7 if i is not None else 0) == 2
     tokens = lambda t: words(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + [""]
     c = Counter(w for i, t in rows if not out_of(i) for w in tokens(t))

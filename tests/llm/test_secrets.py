@@ -53,3 +53,14 @@ def test_a_value_in_a_third_of_the_rows_and_no_rows(spark):
     assert got.count() == 3_000 and got.filter(F.size("found") == 1).count() == 1_000
     assert secrets.find_secrets(edge.empty(spark), F.col("source"), F.col("source"), ["doc_id"]).count() == 0
     assert secrets.masked(edge.documents(spark), F.col("source"), F.col("source")).count() == edge.documents(spark).count()
+
+
+def test_masking_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "password = abcdefgh12 end", "s"), (2, None, "s"), (2, "plain", None)], "doc_id long, text string, source string")
+    named = docs
+    for name in ("found", "found_key", "row_key", "row"):
+        named = named.withColumn(name, edge.F.lit(f"own {name}"))
+    out = secrets.masked(named, edge.F.col("source"), edge.F.col("source"))
+    assert out.columns == named.columns and out.filter("found = 'own found' and row_key = 'own row_key' and row = 'own row'").count() == 3
+    assert edge.pairs(out, "doc_id", "text") == edge.pairs(secrets.masked(docs, edge.F.col("source"), edge.F.col("source")), "doc_id", "text")
+    assert "abcdefgh12" not in str(out.collect())

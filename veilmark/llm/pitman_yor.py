@@ -568,14 +568,14 @@ def _scorer(sent, shards: int):
     return score
 
 
-def score_texts(docs: DataFrame, most_symbols: int | None = None, block_bytes: int = 24_000_000, **fit_options) -> DataFrame:
+def score_texts(docs: DataFrame, block_bytes: int = 24_000_000, **fit_options) -> DataFrame:
     """Score all whole texts of ``doc_id, text, learn``; null texts read as empty.
 
     ``learn`` marks the texts to learn from. Texts travel once, compressed, to blocks of about
     ``block_bytes``; a block asks the word shards for its distinct tokens and the pair shards for its distinct pairs, so
     a frequent word or pair costs one entry a block. Words are known by 64-bit hashes. The block of a row depends
     on its id, text and, for equal rows, their number. What is broadcast is a few sums. Without training tokens
-    every token is unknown. ``most_symbols`` limited the vocabulary once; it has no effect.
+    every token is unknown.
     """
     docs = docs.select("doc_id", F.col("text"), F.coalesce("learn", F.lit(False)).alias("learn"))
     spark = docs.sparkSession

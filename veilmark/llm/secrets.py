@@ -143,13 +143,14 @@ def find_secrets(docs: DataFrame, repository: Column, owner: Column, keep: list[
 
 
 def masked(docs: DataFrame, repository: Column, owner: Column, mask: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every finding in ``text`` replaced by ``mask``; overlapping findings are one. Other columns stay."""
+    """``docs`` with every finding in ``text`` replaced by ``mask``; overlapping findings are one. Other columns
+    stay, whatever their names."""
     _, verdicts = scan_and_judge(docs, repository, owner, ["doc_id"])
-    verdicts = verdicts.select(F.col("row_key").alias("found_key"), "found")
     cut = F.expr(
         "aggregate(found, struct('' as t, 0 as at), (a, s) -> if(s.`end` <= a.at, a, struct("
-        "if(s.start >= a.at, concat(a.t, substr(text, a.at + 1, s.start - a.at), '" + mask + "'), a.t) as t, s.`end` as at)), "
-        "a -> concat(a.t, substr(text, a.at + 1)))"
+        "if(s.start >= a.at, concat(a.t, substr(row.text, a.at + 1, s.start - a.at), '" + mask + "'), a.t) as t, s.`end` as at)), "
+        "a -> concat(a.t, substr(row.text, a.at + 1)))"
     )
-    joined = docs.join(verdicts, row_key() == F.col("found_key"), "left")
-    return joined.withColumn("text", F.when(F.col("found").isNull(), F.col("text")).otherwise(cut)).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), row_key().alias("row_key"))
+    text = F.when(F.col("found").isNull(), F.col("row.text")).otherwise(cut)
+    return rows.join(verdicts, "row_key", "left").select(*(text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
