@@ -35,11 +35,13 @@ def normalised(lexicon: DataFrame) -> DataFrame:
 
 def _counter(spark: SparkSession, rows: list[tuple[int, str]]):
     """Arrow UDF: tokens of a row -> occurrences of each level's phrases, overlapping ones too."""
-    shared = spark.sparkContext.broadcast(automaton.build([(k, p.split(" ")) for k, p in rows], len(LEVELS)))
+    built = automaton.build([(k, p.split(" ")) for k, p in rows], len(LEVELS))
+    # Plain arrays travel; the class goes with the function, so workers need not have the package.
+    kind, shared = automaton.Automaton, spark.sparkContext.broadcast((built.tokens, built.keys, built.fail, built.counts, built.longest))
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def count(words: pa.Array) -> pa.Array:
-        found = shared.value.count(words)
+        found = kind(*shared.value).count(words)
         ends = np.arange(0, found.size + 1, len(LEVELS), dtype=np.int32)
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(found.ravel()))
 
