@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tests.llm import edge
@@ -15,6 +16,7 @@ from veilmark.llm import kneser_ney as kn
 from veilmark.llm import pitman_yor as py
 from veilmark.llm import toxicity as tox
 from veilmark.llm.common import fold
+from veilmark.session import written
 
 
 def words(text):
@@ -36,36 +38,107 @@ def base_counts(text):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), lines, len(covered)
 
 
+def assessed(spark, df, **kw):
+    grams = written(kn.count_ngrams(df, **kw), "test-grams")
+    return kn.judged(kn.measured(df, grams, kn.fit(grams, **{k: v for k, v in kw.items() if k == "order"}), **kw))
+
+
 def test_base_counts_and_verdicts(spark):
     df = edge.documents(spark)
-    model = kn.fit(kn.count_ngrams(df))
-    got = kn.judged(kn.measured(df, model)).collect()
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    assert Counter((r["doc_id"], *(r[c] for c in names)) for r in got) == Counter((r["doc_id"], *base_counts(r["text"])) for r in df.collect())
+    got = assessed(spark, df, block_bytes=20_000).collect()
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_symbols_read"]
+    want = Counter((r["doc_id"], *base_counts(r["text"]), len(r["text"] or "") + 1) for r in df.collect())
+    assert Counter((r["doc_id"], *(r[c] for c in names)) for r in got) == want
     for r in got:
         assert r["base_failed"] == (r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"])
         assert not (r["base_failed"] and r["kept"]) and r["perplexity"] > 0
-
-
-def test_probabilities_add_up_to_one(spark):
-    df = edge.documents(spark, n=20)
-    model = kn.fit(kn.count_ngrams(df))
-    rng = np.random.default_rng(0)
-    contexts = np.concatenate((rng.integers(0, 32**3, 40), kn.ngram_keys([b"alpha beta gamma"])[0][5:15] >> 5))
-    p = 10 ** kn.log10_probability(model, (contexts[:, None] * 32 + np.arange(32)).ravel()).reshape(-1, 32)
-    assert np.allclose(p.sum(axis=1), 1, atol=1e-6)
-
-
-def test_ngram_counts_and_no_rows(spark):
-    df = edge.documents(spark, n=10)
-    want = Counter()
-    for r in df.collect():
-        symbols = [0] * 4 + list((r["text"] or "").encode().translate(kn._TABLE)) + [0]
-        for i in range(4, len(symbols)):
-            want[sum(symbols[i - k] << (5 * k) for k in range(4))] += 1
-    assert {r["key"]: r["n"] for r in kn.count_ngrams(df).collect()} == dict(want)
     none = edge.empty(spark)
-    assert kn.judged(kn.measured(none, kn.fit(kn.count_ngrams(none)))).count() == 0
+    assert assessed(spark, none).count() == 0
+
+
+def brute_kneser_ney(rows, order):
+    """``half, lang -> probability(context, symbol)`` of dictionaries, straight from the formula."""
+    edge_ = chr(0x10FFFF)
+    half = lambda t: xxhash.xxh3_64_intdigest(t or "") & 1
+    top = {0: Counter(), 1: Counter()}
+    for text, lang in rows:
+        padded = edge_ * (order - 1) + (text or "") + edge_
+        for i in range(order - 1, len(padded)):
+            top[half(text)][lang, padded[i - order + 1 : i + 1]] += 1
+    models, symbols = {}, {}
+    for h in (0, 1):
+        for lang, gram in top[h]:
+            symbols.setdefault(lang, set()).add(gram[-1])
+    for h in (0, 1):
+        level, levels = top[h], {}
+        for k in range(order, 0, -1):
+            levels[k] = level
+            level = Counter((lang, gram[1:]) for lang, gram in level)
+        cuts = {k: kn.discounts([sum(n == c for n in levels[k].values()) for c in (1, 2, 3, 4)]) for k in levels}
+        follow = {}
+        for k in levels:
+            for (lang, gram), n in levels[k].items():
+                follow.setdefault((lang, k, gram[:-1]), []).append(n)
+
+        def probability(lang, gram, h=h, levels=levels, cuts=cuts, follow=follow):
+            k = len(gram)
+            if not k:
+                return 1 / len(symbols[lang])
+            lower, after = models[h](lang, gram[1:]), follow.get((lang, k, gram[:-1]))
+            if not after:
+                return lower
+            n, take = levels[k][lang, gram], lambda c: cuts[k][min(c, 3) - 1] if c else 0.0
+            return (n - take(n)) / sum(after) + sum(map(take, after)) / sum(after) * lower
+
+        models[h] = probability
+
+    def log10_ppl(text, lang):
+        padded = edge_ * (order - 1) + (text or "") + edge_
+        p = models[1 - half(text)]
+        logs = [math.log10(p(lang, padded[i - order + 1 : i + 1])) for i in range(order - 1, len(padded))]
+        return -sum(logs) / len(logs)
+
+    return log10_ppl, models, symbols
+
+
+@pytest.mark.parametrize("order", [2, 5])
+def test_perplexity_and_verdict_by_brute_force(spark, order):
+    df = edge.documents(spark, n=25)
+    df = df.filter("text is null or length(text) < 3000").withColumn("lang", F.when(F.col("doc_id") % 7 == 1, "").otherwise(F.col("lang")))
+    rows = [(r["text"], r["lang"]) for r in df.collect()]
+    ppl, models, symbols = brute_kneser_ney(rows, order)
+    for h in (0, 1):
+        for lang, context in (("en", "lph"), ("en", "xx"), ("en", "qqq")):
+            assert sum(models[h](lang, (context + c)[-order:]) for c in symbols["en"]) == pytest.approx(1)
+    got = assessed(spark, df, order=order, block_bytes=2_000).collect()
+    key = lambda i, v, k: (str(i), round(math.log10(v), 9), k)
+    all_rows = df.collect()
+    value = {(r["doc_id"], r["text"], r["lang"]): ppl(r["text"], r["lang"]) for r in all_rows}
+
+    def median(values):  # of bins, the lower one where two are in the middle
+        values = sorted(values)
+        return values[(len(values) + 1) // 2 - 1]
+
+    passing = {}
+    failed = lambda t: base_counts(t)[0] < 50 or 100 * base_counts(t)[4] > 50 * base_counts(t)[0]
+    for r in all_rows:
+        if not failed(r["text"]):
+            passing.setdefault(r["lang"], []).append(math.floor(value[r["doc_id"], r["text"], r["lang"]] / 0.002 + 0.5))
+    want = []
+    for r in all_rows:
+        v, kept = value[r["doc_id"], r["text"], r["lang"]], False
+        if not failed(r["text"]):
+            middle = median(passing[r["lang"]])
+            sigma = max(median([abs(b - middle) for b in passing[r["lang"]]]) * 0.002 * 1.4826, 0.005)
+            kept = abs(v - middle * 0.002) <= sigma * 4 * math.sqrt(1 + 150 / base_counts(r["text"])[0])
+        want.append((str(r["doc_id"]), round(v, 9), kept))
+    assert sorted(key(r["doc_id"], r["perplexity"], r["kept"]) for r in got) == sorted(want)
+
+
+def test_blocks_and_reruns_change_nothing(spark):
+    df = edge.documents(spark)
+    one = edge.pairs(assessed(spark, df), "doc_id", "perplexity", "kept")
+    assert one == edge.pairs(assessed(spark, df, block_bytes=3_000), "doc_id", "perplexity", "kept")
 
 
 def test_odd_text_leaves_its_band(spark):
@@ -74,7 +147,7 @@ def test_odd_text_leaves_its_band(spark):
     clean = [c.replace("stone", rng.choice(["stone", "light", "paper"]), 5) for c in clean]
     odd = ["".join(rng.choice("qxzjkv#%&|09") + (" " if i % 6 == 0 else "") for i in range(900)) for _ in range(2)]
     docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(clean + odd)], "doc_id long, text string, lang string")
-    got = {r["doc_id"]: r for r in kn.judged(kn.measured(docs, kn.fit(kn.count_ngrams(docs)))).collect()}
+    got = {r["doc_id"]: r for r in assessed(spark, docs).collect()}
     assert not any(got[i]["kept"] for i in (80, 81))
     assert sum(got[i]["kept"] or got[i]["base_failed"] for i in range(80)) >= 79
 

@@ -81,8 +81,8 @@ QUERIES["op6_bpe"] = op6_bpe
 def op7_quality(spark: SparkSession, sf: str) -> DataFrame:
     """Base counts, perplexity and verdict of every document."""
     docs = table(spark, sf, "documents")
-    model = kneser_ney.fit(kneser_ney.count_ngrams(docs))
-    rows = kneser_ney.judged(written(kneser_ney.measured(docs, model), "quality"))
+    grams = written(kneser_ney.count_ngrams(docs), "kn-grams")
+    rows = kneser_ney.judged(written(kneser_ney.measured(docs, grams, kneser_ney.fit(grams)), "quality"))
     return rows.drop("lang")
 
 
