@@ -130,7 +130,7 @@ def test_perplexity_and_verdict_by_brute_force(spark, order):
         if not failed(r["text"]):
             middle = median(passing[r["lang"]])
             sigma = max(median([abs(b - middle) for b in passing[r["lang"]]]) * 0.002 * 1.4826, 0.005)
-            kept = abs(v - middle * 0.002) <= sigma * 4 * math.sqrt(1 + 150 / base_counts(r["text"])[0])
+            kept = abs(v - middle * 0.002) <= sigma * 2.5 * math.sqrt(1 + 100 / base_counts(r["text"])[0])
         want.append((str(r["doc_id"]), round(v, 9), kept))
     assert sorted(key(r["doc_id"], r["perplexity"], r["kept"]) for r in got) == sorted(want)
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from veilmark.llm.common import offsets, slices, texts
 from veilmark.session import written
 
-ORDER = 5
+ORDER = 3
 #: Stands before and after every text; U+10FFFF is no character. A text that holds it has edges inside.
 EDGE = "\U0010ffff"
 SYMBOL_CHARS = b"#*$%&|<>"
@@ -299,7 +299,7 @@ def bands(measures: DataFrame, bin_size: float = 0.002, least_spread: float = 0.
     return middle.join(spread, "lang").select("lang", (F.col("mid") * bin_size).alias("middle"), sigma.alias("sigma"))
 
 
-def judged(measures: DataFrame, width: float = 4.0, short: float = 150.0) -> DataFrame:
+def judged(measures: DataFrame, width: float = 2.5, short: float = 100.0) -> DataFrame:
     """Adds ``base_failed``, ``perplexity`` and ``kept``.
 
     A text fails the base rule with under 50 words or with over half of its words in repeated windows.
