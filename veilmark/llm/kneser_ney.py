@@ -36,6 +36,8 @@ EDGE = "\U0010ffff"
 SYMBOL_CHARS = b"#*$%&|<>"
 #: Bytes of text in a block. A block asks once for each n-gram in it.
 BLOCK_BYTES = 48_000_000
+#: Bytes of text worked on at once; arrays of some 60 bytes a symbol stand beside them.
+SLICE_BYTES = 2_000_000
 _BASE = 0x9E3779B97F4A7C15
 _PARTS = 256
 _WHITE = b" \t\n\r\x0b\x0c"
@@ -95,7 +97,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[tup
     """Number the slices of a partition by block. Both passes read the same partitions, so they agree; an n-gram
     without an answer would raise."""
     base, number, held = TaskContext.get().partitionId() << 32, 0, 0
-    for batch in slices(batches):
+    for batch in slices(batches, limit=SLICE_BYTES):
         size = int(pa.compute.sum(pa.compute.binary_length(batch.column("text"))).as_py() or 0)
         if held and held + size > block_bytes:
             number, held = number + 1, 0
