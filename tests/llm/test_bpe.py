@@ -46,3 +46,17 @@ def test_encode_then_decode(spark, library):
 
 def test_no_rows(spark):
     assert bpe.digests(edge.empty(spark), RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_decoding_reads_the_ids_in_their_order(spark):
+    """Two ids of one row change places, and the decoded bytes change with them."""
+    df = spark.createDataFrame([(1, "stone river garden"), (2, None), (3, "")], "doc_id long, text string")
+    encoded = bpe.encode(df, RANKS, public_tokenizers.PATTERN)
+    right = {r["doc_id"]: bytes(r["bytes"]) for r in bpe.decode(encoded, RANKS).collect()}
+    assert right == {1: b"stone river garden", 2: b"", 3: b""}
+    turned = encoded.selectExpr("doc_id", "reverse(ids) AS ids")
+    assert {r["doc_id"]: bytes(r["bytes"]) for r in bpe.decode(turned, RANKS).collect()}[1] != right[1]
+    table = bpe.rank_table(RANKS)
+    known = {"stone": [17, 40], " river": [300]}
+    put = bpe.put_back(["stone", " river", "stone"], known)
+    assert put == [17, 40, 300, 17, 40] and bpe.decode_ids(put, table) == table[17] + table[40] + table[300] + table[17] + table[40]

@@ -7,6 +7,7 @@ import hashlib
 import itertools
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,7 @@ _PACKED = "block int, shard int, payload binary"
 _PACKED_ARROW = pa.schema([("block", pa.int32()), ("shard", pa.int32()), ("payload", pa.binary())])
 
 
+@lru_cache(maxsize=2)
 def rank_table(path: str) -> list[bytes]:
     """Bytes of each token id, from a rank file; its size is that of the vocabulary."""
     with open(path, "rb") as lines:
@@ -189,7 +191,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, block_bytes: int = 24
     """
 
     def finish(texts, ids):
-        return [(i, list(itertools.chain.from_iterable(map(ids.__getitem__, words)))) for i, words in texts]
+        return [(i, put_back(words, ids)) for i, words in texts]
 
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
     return _encoded(docs, ranks_path, pattern, finish, schema, "doc_id long, ids array<int>", block_bytes)
@@ -212,22 +214,27 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(read, "doc_id long, bytes binary")
 
 
+def put_back(words: list[str], ids: dict[str, list[int]]) -> list[int]:
+    """The ids of a text: those of its pre-tokens, by position."""
+    return list(itertools.chain.from_iterable(map(ids.__getitem__, words)))
+
+
 def digests(docs: DataFrame, ranks_path: str, pattern: str, block_bytes: int = 24_000_000) -> DataFrame:
     """``encode`` followed by ``decode`` in the same block: the number of ids, and digests of
-    the ids and of the bytes they decode to."""
+    the ids and of the bytes they decode to.
+
+    Every text's ids are put back by position first; what is decoded is that list, id by id, through the
+    token-byte table. Null and empty texts have no ids; repeated rows stay."""
 
     def finish(texts, ids):
         table = rank_table(ranks_path)
-        # Both are concatenations over the words, so each distinct word is written out and decoded once.
         shown = {w: ",".join(map(str, x)) for w, x in ids.items()}
-        plain = {w: decode_ids(x, table) for w, x in ids.items()}
-        size = {w: len(x) for w, x in ids.items()}
         rows = []
         for i, words in texts:
             numbers = ",".join(map(shown.__getitem__, words))
-            text = b"".join(map(plain.__getitem__, words))
-            n = sum(map(size.__getitem__, words))
-            rows.append((i, n, hashlib.sha256(numbers.encode()).hexdigest(), hashlib.sha256(text).hexdigest()))
+            put = put_back(words, ids)
+            text = decode_ids(put, table)
+            rows.append((i, len(put), hashlib.sha256(numbers.encode()).hexdigest(), hashlib.sha256(text).hexdigest()))
         return rows
 
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
