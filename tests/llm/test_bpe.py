@@ -58,5 +58,5 @@ def test_decoding_reads_the_ids_in_their_order(spark):
     assert {r["doc_id"]: bytes(r["bytes"]) for r in bpe.decode(turned, RANKS).collect()}[1] != right[1]
     table = bpe.rank_table(RANKS)
     known = {"stone": [17, 40], " river": [300]}
-    put = bpe.put_back(["stone", " river", "stone"], known)
+    put = bpe.put_back(known[w] for w in ["stone", " river", "stone"])
     assert put == [17, 40, 300, 17, 40] and bpe.decode_ids(put, table) == table[17] + table[40] + table[300] + table[17] + table[40]

@@ -6,7 +6,7 @@ import base64
 import hashlib
 import itertools
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -191,7 +191,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, block_bytes: int = 24
     """
 
     def finish(texts, ids):
-        return [(i, put_back(words, ids)) for i, words in texts]
+        return [(i, put_back(map(ids.__getitem__, words))) for i, words in texts]
 
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
     return _encoded(docs, ranks_path, pattern, finish, schema, "doc_id long, ids array<int>", block_bytes)
@@ -214,9 +214,9 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(read, "doc_id long, bytes binary")
 
 
-def put_back(words: list[str], ids: dict[str, list[int]]) -> list[int]:
-    """The ids of a text: those of its pre-tokens, by position."""
-    return list(itertools.chain.from_iterable(map(ids.__getitem__, words)))
+def put_back(found: Iterable[list[int]]) -> list[int]:
+    """The ids of a text from those of its pre-tokens, in the order of their positions."""
+    return list(itertools.chain.from_iterable(found))
 
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str, block_bytes: int = 24_000_000) -> DataFrame:
@@ -228,11 +228,13 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str, block_bytes: int = 2
 
     def finish(texts, ids):
         table = rank_table(ranks_path)
-        shown = {w: ",".join(map(str, x)) for w, x in ids.items()}
+        # One look-up a pre-token for both: its ids, and the same ids written out.
+        both = {w: (x, ",".join(map(str, x))) for w, x in ids.items()}
         rows = []
         for i, words in texts:
-            numbers = ",".join(map(shown.__getitem__, words))
-            put = put_back(words, ids)
+            found = list(map(both.__getitem__, words))
+            numbers = ",".join([shown for _, shown in found])
+            put = put_back([x for x, _ in found])
             text = decode_ids(put, table)
             rows.append((i, len(put), hashlib.sha256(numbers.encode()).hexdigest(), hashlib.sha256(text).hexdigest()))
         return rows
