@@ -84,12 +84,24 @@ def test_written_run_and_export(spark, sf, tmp_path):
     assert summary["total"] == read("log").count() and summary["flagged"] == read("review").count()
     assert sum(r["n"] for r in read("levels").collect()) == summary["classified"]
     assert sum(r["n"] for r in read("errors").collect()) == summary["errors"]
-    sinks.write_export(log, str(tmp_path / "export"))
-    lines = []
-    for part in (tmp_path / "export").glob("part-*"):
-        raw = part.read_bytes().decode()
-        assert raw.endswith("\r\n")
-        head, *rest = raw[:-2].split("\r\n")
-        assert head.startswith("timestamp,filename,classification")
-        lines += rest
-    assert sorted(lines) == sorted(r["line"] for r in queries.csv_export(spark, sf).collect())
+    # Many rows to a part and many parts: joined in order, they are the checked lines, byte for byte.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = sinks.write_export(log, str(tmp_path / "export")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(parts) > 1 and [r["part"] for r in parts] == sorted(r["part"] for r in parts)
+    whole = b"".join((tmp_path / "export" / r["filename"]).read_bytes() for r in parts)
+    assert [r["bytes"] for r in parts] == [(tmp_path / "export" / r["filename"]).stat().st_size for r in parts]
+    rows = log.select("filename", "filepath", "timestamp").collect()
+    line_of = {r["filename"]: r["line"] for r in queries.csv_export(spark, sf).withColumn("filename", F.split("line", ",")[1]).collect()}
+    assert len(line_of) == len(rows)
+    ordered = sorted(sorted(rows, key=lambda r: r["filepath"]), key=lambda r: r["timestamp"], reverse=True)
+    want = [",".join(sinks.EXPORT_COLUMNS)] + [line_of[r["filename"]] for r in ordered]
+    assert whole.decode() == "".join(x + "\r\n" for x in want)
+
+
+def test_export_of_no_rows_is_the_header(spark, sf, tmp_path):
+    parts = sinks.write_export(queries.classify_log(spark, sf).limit(0), str(tmp_path / "none")).collect()
+    whole = b"".join((tmp_path / "none" / r["filename"]).read_bytes() for r in parts)
+    assert whole.decode() == ",".join(sinks.EXPORT_COLUMNS) + "\r\n"

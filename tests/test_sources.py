@@ -129,7 +129,7 @@ def test_run_log_and_sinks(spark, folder, tmp_path):
     back = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "out" / "log"))
     assert back.columns == LOG_COLUMNS and back.count() == 12
     sinks.write_export(log, str(tmp_path / "export"))
-    part = [f for f in os.listdir(tmp_path / "export") if f.startswith("part")][0]
+    part = sorted(f for f in os.listdir(tmp_path / "export") if f.startswith("part"))[0]
     first = (tmp_path / "export" / part).read_bytes().split(b"\r\n")[0]
     assert first == b"timestamp,filename,classification,confidence,review_flag,reasoning,policy_version,status,detail"
 

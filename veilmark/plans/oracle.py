@@ -364,6 +364,7 @@ SELECT item_id, name AS classification, round(confidence, 4) AS confidence, conf
         for f in fields
     )
     sql["csv_export"] = f"WITH {LOG} SELECT concat_ws(',', {quoted}) AS line FROM log"
+    sql["csv_file"] = sql["csv_export"] + " UNION ALL SELECT 'timestamp,filename,classification,confidence,review_flag,reasoning,policy_version,status,detail'"
     sql["run_timestamp"] = "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso, strftime(ts, '%Y-%m-%d %H:%M:%SZ') AS spaced FROM events"
 
     cells = "cells AS (SELECT a.j::INTEGER AS y, b.j::INTEGER AS pred, (SELECT count(*) FROM preds WHERE preds.y = a.j AND preds.pred = b.j) AS n FROM (SELECT unnest(range(6)) AS j) a CROSS JOIN (SELECT unnest(range(6)) AS j) b)"

@@ -318,6 +318,13 @@ def csv_export(spark, sf):
     return sinks.export_lines(_log(spark, sf))
 
 
+def csv_file(spark, sf):
+    """The lines of the written export: the header once, then every row of the log."""
+    folder = fresh_folder(spark, "export")
+    sinks.write_export(_log(spark, sf), folder)
+    return spark.read.option("lineSep", "\r\n").text(folder).withColumnRenamed("value", "line")
+
+
 def run_timestamp(spark, sf):
     rows = inputs.table(spark, sf, "events").select("event_id", "ts")
     return rows.select("event_id", rp.utc_stamp(F.col("ts")).alias("iso"), rp.utc_stamp_spaced(F.col("ts")).alias("spaced"))
@@ -671,7 +678,7 @@ QUERIES: dict[str, Query] = {
         softmax_temperature, argmax_level, calibrated_predict, feature_salience, top5_terms, reasoning,
         classify_sql, explain_sql, artefact_hash, model_manifest, nll_by_t, fit_temperature, temperature_newton, calibration_report,
         classify_log, classify_conversations, classify_benchmark, slim_log, review_queue, min_confidence,
-        review_only, run_summary, level_counts, errors_by_status, confidence_band, csv_export, run_timestamp,
+        review_only, run_summary, level_counts, errors_by_status, confidence_band, csv_export, csv_file, run_timestamp,
         confusion_matrix, class_report, confidence_histogram, accuracy, model_compare, class_distribution,
         sufficiency, golden_check,
         marking, pii_flags, pii_floor, lexicon_hits, lexicon_label, stamp_vs_content, policy_label, anonymise,

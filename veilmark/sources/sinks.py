@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,14 +61,28 @@ def write_log(log: DataFrame, folder: str, fmt: str = "parquet") -> None:
             writer.format(fmt).save(path)
 
 
-def write_export(log: DataFrame, folder: str) -> None:
-    """The nine-column CSV: the lines of ``export_lines`` with CRLF, below a header line in each part file."""
-    head = ",".join(EXPORT_COLUMNS)
-    lines = export_lines(log).withColumnRenamed("line", "value")
+def write_export(log: DataFrame, folder: str) -> DataFrame:
+    """The nine-column CSV as one ordered file in parts; returns the list of its parts.
+
+    Lines stand newest first, then by path, and end with CRLF; the header is the first line of the first part and of no
+    other. Rows are dealt to parts by range, so the parts joined in the order of their names are the file. An
+    empty log gives the header alone.
+    """
+    named = {"status": "extraction_status", "detail": "extraction_detail"}
+    fields = [F.replace("timestamp", F.lit("T"), F.lit(" ")) if c == "timestamp" else F.col(named.get(c, c)) for c in EXPORT_COLUMNS]
+    of = log.select("timestamp", "filepath", F.lit(1).alias("place"), csv_line(*fields).alias("value"))
+    head = log.sparkSession.range(1).select(
+        F.lit(None).cast("string").alias("timestamp"), F.lit(None).cast("string").alias("filepath"),
+        F.lit(0).alias("place"), F.lit(",".join(EXPORT_COLUMNS)).alias("value"),
+    )
+    lines = of.unionByName(head).orderBy("place", F.desc("timestamp"), "filepath", "value")
+    lines.select("value").write.option("lineSep", "\r\n").text(folder)
+    return export_parts(log.sparkSession, folder)
 
-    def with_header(batches):
-        yield pa.RecordBatch.from_arrays([pa.array([head])], names=["value"])
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["value"])
 
-    lines.mapInArrow(with_header, "value string").write.option("lineSep", "\r\n").text(folder)
+def export_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """``part, filename, bytes`` of a written export, in the order in which the parts make the file."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
+    name = F.element_at(F.split("path", "/"), -1)
+    number = F.regexp_extract(name, r"^part-(\d+)", 1).cast("int")
+    return found.select(number.alias("part"), name.alias("filename"), F.col("length").alias("bytes")).orderBy("part")
