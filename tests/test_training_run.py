@@ -77,6 +77,25 @@ def test_gradient_equals_numpy(vectors, vocab, parts, slots):
     assert np.allclose(slopes[1][0], (want[1][0] + l2 * layers[1][0]) / len(kept), atol=1e-12)
 
 
+def test_gradient_of_kept_blocks_takes_one_stage(spark, vectors, vocab, monkeypatch):
+    monkeypatch.setattr(network, "_BLOCK", 16)
+    layers = network.initial_layers([vocab.count(), 32, 16, 3], 7)
+    rows = vectors.withColumn("held", F.col("doc_id") % 7 == 0)
+    blocks = network.kept_blocks(rows, 3).union(network.kept_blocks(rows.filter("held"), 2))
+    assert sum(blocks.map(lambda payload: 1).collect()) >= 18
+    seen = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("a step", "one gradient")
+    total = network.batch_gradient(blocks, layers)
+    jobs = seen.getJobIdsForGroup("a step")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    want = network.summed_gradient(rows, layers, 2)
+    assert len(jobs) == 1
+    assert (total.rows, total.held, total.held_right) == (want.rows, 2 * want.held, 2 * want.held_right)
+    assert total.loss == pytest.approx(want.loss, abs=1e-9)
+    for mine, other in zip(total.layers, want.layers):
+        assert all(np.abs(a - b).max() < 1e-9 for a, b in zip(mine, other))
+
+
 def test_adam_by_hand():
     layers = [(np.array([[1.0]]), np.array([0.5]))]
     adam = network.Adam(rate=0.1)
