@@ -124,3 +124,11 @@ def test_counts_do_not_depend_on_partitions(spark):
     one, many = (edge.pairs(collocations.collocations(docs.repartition(n), least=3), *COLUMNS) for n in (1, 7))
     assert one == many and one
     assert docs.filter(F.col("text").isNull()).count()
+
+
+def test_a_stretch_of_a_full_batch_is_small():
+    """Memory of a worker follows the stretch, of which an executor has one a core."""
+    text = np.frombuffer(b"some words of a text. " * 100, np.uint8)
+    data, ends = np.tile(text, 10_000), np.arange(1, 10_001) * len(text)
+    cuts = list(collocations.stretches(data, ends))
+    assert cuts[-1][1] == len(data) and max(stop - start for start, stop in cuts) <= 8_000_000

@@ -55,7 +55,7 @@ def _mapped(data: np.ndarray, table: bytes) -> np.ndarray:
     return np.frombuffer(data.tobytes().translate(table), np.uint8)
 
 
-def stretches(data: np.ndarray, ends: np.ndarray, limit: int = 16_000_000) -> Iterator[tuple[int, int]]:
+def stretches(data: np.ndarray, ends: np.ndarray, limit: int = 8_000_000) -> Iterator[tuple[int, int]]:
     """Cut the bytes of a batch, whose texts stop at ``ends``, into parts of about ``limit`` bytes.
 
     A part stops with a text, or, within a longer text, with a piece; only a piece above the limit makes a larger part.
