@@ -5,6 +5,8 @@ import hashlib
 from collections import Counter
 
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import tiktoken
 
@@ -60,3 +62,21 @@ def test_decoding_reads_the_ids_in_their_order(spark):
     known = {"stone": [17, 40], " river": [300]}
     put = bpe.put_back(["stone", " river", "stone"], known)
     assert put == [17, 40, 300, 17, 40] and bpe.decode_ids(put, table) == table[17] + table[40] + table[300] + table[17] + table[40]
+
+
+def test_a_block_cuts_each_text_once(monkeypatch):
+    texts = ["one two  three", "", None, "two two\nthree Straße 12,5", "one two  three"]
+    rows = pa.RecordBatch.from_arrays([pa.array([3, 1, None, 2, 3]), pa.array(texts)], ["doc_id", "text"])
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    block = pa.Table.from_batches(list(bpe._splitter(public_tokenizers.PATTERN, 1)(iter([rows]))))
+    wanted = bpe._wanted(2)(block)
+    shards = [wanted.filter(pc.equal(wanted["shard"], s)) for s in (1, 0)]
+    encoded = pa.concat_tables(bpe._encoder(path)(shard) for shard in shards)
+    cuts, cut = [], bpe._cut
+    monkeypatch.setattr(bpe, "_cut", lambda text, lengths: cuts.append(text) or cut(text, lengths))
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+    out = bpe._joiner(2, lambda docs: [(i, ids.tolist()) for i, ids in docs], schema)(block, encoded)
+    assert sorted(cuts) == sorted(t or "" for t in texts)
+    table = bpe.rank_table(path)
+    decoded = {(i, bpe.decode_ids(ids, table).decode()) for i, ids in zip(out["doc_id"].to_pylist(), out["ids"].to_pylist())}
+    assert out.num_rows == 5 and decoded == {(i, t or "") for i, t in zip([3, 1, None, 2, 3], texts)}

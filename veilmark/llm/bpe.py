@@ -6,7 +6,8 @@ import base64
 import hashlib
 import itertools
 import struct
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -103,7 +104,7 @@ def _documents(payloads: list[bytes]) -> Iterator[tuple[int | None, list[str]]]:
             start += n
 
 
-def _by_shard(words: set[str], shards: int) -> dict[int, list[str]]:
+def _by_shard(words: Iterable[str], shards: int) -> dict[int, list[str]]:
     """The words in an order that depends on them alone."""
     dealt: dict[int, list[str]] = {}
     for word in words:
@@ -152,17 +153,22 @@ def _encoder(ranks_path: str):
 
 def _joiner(shards: int, finish, schema: pa.Schema):
     def join(docs, encoded):
-        payloads, words = docs.column("payload").to_pylist(), set()
-        for _, pieces in _documents(payloads):
-            words.update(pieces)
-        dealt = _by_shard(words, shards)
-        ids: dict[str, list[int]] = {}
-        for number, payload in zip(encoded.column("shard").to_pylist(), encoded.column("payload").to_pylist()):
+        # Texts are cut once; from then on a text is the numbers of its pre-tokens.
+        number: dict[str, int] = defaultdict(itertools.count().__next__)
+        texts = [
+            (i, np.fromiter(map(number.__getitem__, pieces), np.uint32, len(pieces)))
+            for i, pieces in _documents(docs.column("payload").to_pylist())
+        ]
+        dealt = _by_shard(number, shards)
+        starts, sizes, ids, end = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64), [np.zeros(0, np.uint32)], 0
+        for part, payload in zip(encoded.column("shard").to_pylist(), encoded.column("payload").to_pylist()):
             counts, flat = (np.frombuffer(p, np.uint32) for p in _spread_out(payload))
-            flat, ends = flat.tolist(), np.cumsum(counts, dtype=np.int64).tolist()
-            for word, a, b in zip(dealt[number], itertools.chain((0,), ends), ends):
-                ids[word] = flat[a:b]
-        rows = finish(_documents(payloads), ids)
+            at = np.fromiter(map(number.__getitem__, dealt[part]), np.int64, len(counts))
+            starts[at], sizes[at] = end + np.cumsum(counts, dtype=np.int64) - counts, counts
+            ids.append(flat)
+            end += len(flat)
+        flat = np.concatenate(ids)
+        rows = finish((i, _ids_at(places, starts, sizes, flat)) for i, places in texts)
         return pa.table([list(c) for c in zip(*rows)] if rows else [[] for _ in schema], schema=schema)
 
     return join
@@ -190,8 +196,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, block_bytes: int = 24
     tasks rebuild the same blocks.
     """
 
-    def finish(texts, ids):
-        return [(i, put_back(words, ids)) for i, words in texts]
+    def finish(texts):
+        return [(i, ids.tolist()) for i, ids in texts]
 
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
     return _encoded(docs, ranks_path, pattern, finish, schema, "doc_id long, ids array<int>", block_bytes)
@@ -219,6 +225,20 @@ def put_back(words: list[str], ids: dict[str, list[int]]) -> list[int]:
     return list(itertools.chain.from_iterable(map(ids.__getitem__, words)))
 
 
+def _ids_at(places: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """:func:`put_back` by the numbers of the pre-tokens. Pre-token ``k`` has the ``sizes[k]`` of ``ids`` from ``starts[k]``."""
+    n = sizes[places]
+    ends = np.cumsum(n)
+    return ids[np.arange(n.sum()) + np.repeat(starts[places] - ends + n, n)]
+
+
+def _one_by_one(values: pa.LargeBinaryArray, ids: np.ndarray) -> memoryview:
+    """The value of each id, one after another."""
+    found = values.take(pa.array(ids))
+    ends = np.frombuffer(found.buffers()[1], np.int64)
+    return memoryview(found.buffers()[2] or b"")[: ends[len(ids)]] if len(ids) else memoryview(b"")
+
+
 def digests(docs: DataFrame, ranks_path: str, pattern: str, block_bytes: int = 24_000_000) -> DataFrame:
     """``encode`` followed by ``decode`` in the same block: the number of ids, and digests of
     the ids and of the bytes they decode to.
@@ -226,15 +246,13 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str, block_bytes: int = 2
     Every text's ids are put back by position first; what is decoded is that list, id by id, through the
     token-byte table. Null and empty texts have no ids; repeated rows stay."""
 
-    def finish(texts, ids):
+    def finish(texts):
         table = rank_table(ranks_path)
-        shown = {w: ",".join(map(str, x)) for w, x in ids.items()}
+        tokens, digits = pa.array(table, pa.large_binary()), pa.array([b"%d," % k for k in range(len(table))], pa.large_binary())
         rows = []
-        for i, words in texts:
-            numbers = ",".join(map(shown.__getitem__, words))
-            put = put_back(words, ids)
-            text = decode_ids(put, table)
-            rows.append((i, len(put), hashlib.sha256(numbers.encode()).hexdigest(), hashlib.sha256(text).hexdigest()))
+        for i, ids in texts:
+            numbers, text = _one_by_one(digits, ids)[:-1], _one_by_one(tokens, ids)
+            rows.append((i, len(ids), hashlib.sha256(numbers).hexdigest(), hashlib.sha256(text).hexdigest()))
         return rows
 
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
