@@ -289,3 +289,14 @@ def test_toxicity_without_labels_or_rows(spark):
     scores = {r["score"] for r in tox.score(df, model, ["doc_id"]).collect()}
     assert len(scores) == 1
     assert tox.score(edge.empty(spark), model, ["doc_id"]).count() == 0
+
+
+def test_a_block_is_the_same_in_any_number_of_ranges(monkeypatch):
+    parts = [" ".join(f"w{(i * i + k) % 31}" for k in range(i % 17)).encode() for i in range(60)]
+    monkeypatch.setattr(py, "_RANGES", 1)
+    whole = py._block(list(parts))
+    monkeypatch.setattr(py, "_RANGES", 7)
+    cut = py._block(list(parts))
+    for name in ("hashes", "token", "ends", "context", "word", "pair"):
+        assert getattr(whole, name).tolist() == getattr(cut, name).tolist(), name
+    assert (whole.hashes[whole.word][whole.pair] == whole.hashes[whole.token]).all()

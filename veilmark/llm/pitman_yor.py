@@ -12,7 +12,6 @@ a frequent context needs no task of its own.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilmark.llm.common import parts_for, slices, texts
-from veilmark.session import written
+from veilmark.session import forget, let_go, written
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: The token that ends every text; no word holds a blank.
@@ -37,6 +36,12 @@ _DDL = "kind int, shard int, origin int, a binary, b binary, c binary, d binary,
 WORDS, PAIRS, CELLS, MESSAGE, REPLY, STATE, WORD_PLACES, PAIR_PLACES = range(8)
 
 
+#: A block's pairs are sorted in so many parts.
+_RANGES = 8
+#: So many of them are dealt to shards at once.
+_SLAB = 500_000
+
+
 def tokens(text: bytes) -> list[bytes]:
     return text.translate(_LOWER).split() + [END]
 
@@ -86,19 +91,25 @@ def _block(parts: list[bytes]) -> Block:
     hashes = np.fromiter(map(word_hash, known), np.uint64, len(known))
     del known
     hashes, place = np.unique(hashes, return_inverse=True)
+    del parts
     ends = np.cumsum([len(i) for i in ids])
     token = place.astype(np.int32)[np.concatenate(ids)]
-    del ids
+    del ids, place
     key = np.empty(len(token), dtype=np.int64)
     key[0], key[1:] = np.searchsorted(hashes, np.uint64(word_hash(END))), token[:-1]  # every text ends with END
     key *= len(hashes)
     key += token
-    order = np.argsort(key)
-    key = key[order]
-    new = np.concatenate(([True], key[1:] != key[:-1]))
-    back = np.empty(len(order), dtype=np.int32)
-    back[order] = np.cumsum(new, dtype=np.int32) - 1
-    pairs = key[new]
+    # Pairs are sorted a range of contexts at a time: what sorting needs besides the pairs is a fraction of them.
+    back, pairs, before = np.empty(len(key), dtype=np.int32), [np.zeros(0, np.int64)], 0
+    lines = np.linspace(0, len(hashes), _RANGES + 1).astype(np.int64) * len(hashes)
+    for low, high in zip(lines, lines[1:]):
+        at = np.flatnonzero((key >= low) & (key < high))
+        own, number = np.unique(key[at], return_inverse=True)
+        back[at] = number + before
+        before += len(own)
+        pairs.append(own)
+    del key
+    pairs = np.concatenate(pairs)
     return Block(hashes, token, ends, (pairs // len(hashes)).astype(np.int32), (pairs % len(hashes)).astype(np.int32), back)
 
 
@@ -149,20 +160,24 @@ def _ask(shards: int):
     """A block's distinct tokens and distinct pairs with their counts in the texts to learn from, by shard."""
 
     def ask(block):
-        _, learn, parts = _rows(block.column("payload").to_pylist())
-        mine, number = _block(parts), block.column("block")[0].as_py()
-        used = np.repeat(np.array(learn, dtype=bool), np.diff(mine.ends, prepend=0))
+        number, rows = block.column("block")[0].as_py(), list(_rows(block.column("payload").to_pylist())[1:])
+        mine = _block(rows.pop())  # which lets go of the texts as soon as it has their tokens
+        used = np.repeat(np.array(rows.pop(), dtype=bool), np.diff(mine.ends, prepend=0))
         n = np.bincount(mine.token[used], minlength=len(mine.hashes)).astype(np.uint32)
         m = np.bincount(mine.pair[used], minlength=len(mine.context)).astype(np.uint32)
-        context, word = mine.hashes[mine.context], mine.hashes[mine.word]
-        of_word, of_pair = _word_shard(mine.hashes, shards), _pair_shard(context, word, shards)
+        hashes, context, word = mine.hashes, mine.context, mine.word
+        del mine, used
+        of_word, of_pair = _word_shard(hashes, shards), np.empty(len(context), dtype=np.uint32)
+        for i in range(0, len(context), _SLAB):
+            part = slice(i, i + _SLAB)
+            of_pair[part] = _pair_shard(hashes[context[part]], hashes[word[part]], shards)
         out = []
         for s in range(shards):
             w, p = of_word == s, of_pair == s
             if w.any():
-                out.append(_row(WORDS, s, number, mine.hashes[w], n[w]))
+                out.append(_row(WORDS, s, number, hashes[w], n[w]))
             if p.any():
-                out.append(_row(PAIRS, s, number, context[p], word[p], m[p]))
+                out.append(_row(PAIRS, s, number, hashes[context[p]], hashes[word[p]], m[p]))
         return _table(out)
 
     return ask
@@ -455,16 +470,6 @@ class Model:
         return np.log10(np.where(n > 0, n - self.root.discount, unknown) / whole)
 
 
-def _forget(frame: DataFrame) -> None:
-    """Delete a written table that nothing reads any more, and let go of the shuffles before it."""
-    context = frame.sparkSession.sparkContext
-    for folder in {f.rsplit("/", 1)[0] for f in frame.inputFiles()}:
-        path = context._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    context._jvm.System.gc()
-
-
 def fit(counted: DataFrame, shards: int, burn_in: int = 3, samples: int = 3, seed: int = 5) -> tuple[DataFrame, DataFrame, DataFrame, list[Model]]:
     """Seat all training tokens by Gibbs sweeps: vocabulary, the cells' tables added up over the later sweeps, the
     sums of contexts and root dishes after each of these, and the root's totals.
@@ -494,9 +499,9 @@ def fit(counted: DataFrame, shards: int, burn_in: int = 3, samples: int = 3, see
             mine, answers = cells.filter(F.col("kind") == CELLS), sat.filter(F.col("kind") == REPLY)
             seated = written(mine.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(step, _DDL), "cells")
             if turn:
-                _forget(cells)
+                forget(cells)
             if turn <= burn_in:
-                _forget(sat)
+                forget(sat)
             cells = seated
     kept = states[0]
     for more in states[1:]:
@@ -539,8 +544,9 @@ def _answer_pairs(samples: int, low: Restaurant):
 def _scorer(sent, shards: int):
     def score(docs, answers):
         models, whole, types = sent.value
-        ids, learn, parts = _rows(docs.column("payload").to_pylist())
-        block = _block(parts)
+        rows = list(_rows(docs.column("payload").to_pylist()))
+        block = _block(rows.pop())
+        ids, learn = rows
         of_word = _word_shard(block.hashes, shards)
         of_pair = _pair_shard(block.hashes[block.context], block.hashes[block.word], shards)
         n, p = np.zeros(len(block.hashes), dtype=np.int64), np.zeros(len(block.context))
@@ -585,6 +591,7 @@ def score_texts(docs: DataFrame, block_bytes: int = 24_000_000, **fit_options) -
     asked = pieces.groupBy("block").applyInArrow(_ask(shards), _DDL)
     counted = written(asked.groupBy("shard").applyInArrow(_count(shards), _DDL), "counted")
     del asked
+    let_go(spark)
     vocabulary, cells, states, models = fit(counted, shards, **fit_options)
     sums = vocabulary.agg(F.sum("customers").alias("n"), F.sum("types").alias("v")).first()
     sent = spark.sparkContext.broadcast((models, sums["n"] or 0, sums["v"] or 0))
