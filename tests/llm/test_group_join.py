@@ -6,6 +6,7 @@ from itertools import combinations
 
 import numpy as np
 from tests.llm import edge
+from veilmark import session
 from veilmark.llm import group_join
 
 
@@ -86,3 +87,16 @@ def test_a_column_of_any_name_is_kept(spark):
     docs = edge.documents(spark).withColumn("kept_key", edge.F.lit("mine")).withColumn("_kept_key", edge.F.lit(5))
     out = group_join.one_of_each(docs)
     assert out.columns == docs.columns and out.filter("kept_key = 'mine' and _kept_key = 5").count() == out.count() > 0
+
+
+def test_what_is_no_longer_read_is_deleted(spark, tmp_path, monkeypatch):
+    """Of all written tables the rows and their classes stay for the join's result, and the kept keys for the filter's."""
+    docs = edge.documents(spark)
+    left = lambda folder: {p.name.rsplit("-", 1)[0] for p in folder.iterdir() if any(p.glob("*.parquet"))}
+    for name, call, stays in (("join", group_join.jaccard_components, {"census", "class_components"}), ("keep", group_join.one_of_each, {"kept"})):
+        folder = tmp_path / name
+        folder.mkdir()
+        monkeypatch.setattr(session, "work_folder", lambda spark: f"file://{folder}")
+        out = call(docs)
+        assert left(folder) == stays
+        assert out.count() > 0

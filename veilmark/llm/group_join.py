@@ -11,8 +11,8 @@
    part's token union; only where that bound allows a link is the part opened and compared exactly.
 5. Components are merged over the links found there.
 
-Shingles and sets are known by 64-bit hashes. Nothing but 2^18 frequent tokens, a bit table and counts
-reaches the driver; a frequent token only changes the order in which prefixes are taken.
+Shingles and sets are known by 64-bit hashes. What a step has written goes as soon as
+nothing reads it any more. Nothing but 2^18 frequent tokens, a bit table and counts reaches the driver; a frequent token only changes the order in which prefixes are taken.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilmark.llm.common import parts_for, slices, texts
-from veilmark.session import checkpointed, written
+from veilmark.session import checkpointed, forget, let_go, written
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -324,7 +324,7 @@ def _cluster(percent: int):
 
 
 def _grouped(active: DataFrame, sets: DataFrame, key: str, percent: int) -> DataFrame:
-    """One round: ``cls, root`` for classes linked within their group. ``active`` has cls, rank and the key."""
+    """One round: ``cls, root`` for classes linked within their group, as a written table. ``active`` has cls, rank and the key."""
     keys = active.groupBy(F.col(key).alias("key")).agg(
         F.count("*").alias("n"), F.max_by("cls", F.struct("rank", "cls")).alias("pivot")
     ).filter("n > 1").withColumn("parts", F.ceil(F.col("n") / _MEMBERS))
@@ -334,7 +334,10 @@ def _grouped(active: DataFrame, sets: DataFrame, key: str, percent: int) -> Data
     pivots = keys.select(F.col("pivot").alias("cls"), "key", "pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     places = written(own.unionByName(pivots).distinct(), "group_places")
     full = _marked(sets.select("cls", "rank", "tokens"), places).join(places, "cls")
-    return full.groupBy("key", "part").applyInArrow(_cluster(percent), "cls long, root long")
+    links = written(full.groupBy("key", "part").applyInArrow(_cluster(percent), "cls long, root long").distinct(), "links")
+    del full
+    forget(keys, places)
+    return links
 
 
 # --- 4. token-group matrix --------------------------------------------------------------
@@ -435,7 +438,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _residual(runs: DataFrame, comps: DataFrame, sets: DataFrame, bits, percent: int) -> DataFrame | None:
-    """Links between components (``a, b`` are classes), or None if no part had to be opened."""
+    """Links between components (``a, b`` are classes) as a written table, or None if no part had to be opened."""
     sizes = comps.groupBy("comp").agg(F.count("*").alias("amount"))
     known = written(
         comps.join(sizes, "comp").withColumn("part", F.pmod(F.xxhash64("cls"), F.ceil(F.col("amount") / _MEMBERS))), "component_parts"
@@ -444,9 +447,10 @@ def _residual(runs: DataFrame, comps: DataFrame, sets: DataFrame, bits, percent:
     pairs = runs.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(_candidates(percent), "cls long, comp long, part long")
     pairs = written(pairs.distinct(), "open_parts")
     if pairs.limit(1).count() == 0:
+        forget(known, pairs)
         return None
-    load = pairs.groupBy("comp", "part").agg(F.ceil(F.count("*") / 256).alias("turns"))
-    asking = pairs.join(written(load, "open_load"), ["comp", "part"]).select(
+    load = written(pairs.groupBy("comp", "part").agg(F.ceil(F.count("*") / 256).alias("turns")), "open_load")
+    asking = pairs.join(load, ["comp", "part"]).select(
         "cls", "comp", "part", F.pmod(F.xxhash64("cls", F.lit(3)), F.col("turns")).alias("turn"), F.lit(True).alias("asks")
     )
     members = known.join(load, ["comp", "part"]).select(
@@ -455,7 +459,10 @@ def _residual(runs: DataFrame, comps: DataFrame, sets: DataFrame, bits, percent:
     places = written(asking.unionByName(members), "open_places")
     full = _marked(sets.select("cls", "tokens"), places).join(places, "cls")
     links = full.groupBy("comp", "part", "turn").applyInArrow(_open(percent), "cls long, root long")
-    return links.select(F.col("cls").alias("a"), F.col("root").alias("b"))
+    links = written(links.select(F.col("cls").alias("a"), F.col("root").alias("b")), "opened_links")
+    del full
+    forget(known, pairs, load, places)
+    return links
 
 
 # --- the join -------------------------------------------------------------------------------
@@ -486,19 +493,24 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
     shards = parts_for(total, 4_000_000, spark.sparkContext.defaultParallelism)
     prefixes = docs.select("text").mapInArrow(_prefixes(words, percent, shards, sent), _PREFIX_DDL)
     runs = written(prefixes.groupBy("shard").applyInArrow(_shared(percent), _RUNS_DDL), "runs")
+    del prefixes
+    let_go(spark)
     alive = written(_live(runs, percent, classes), "live_classes")
     bits = spark.sparkContext.broadcast(_bit_table(alive))
+    forget(alive)
     sets = written(docs.select("text").mapInArrow(_live_sets(words, bits, sent), _SETS_DDL), "live_sets")
 
     marks = [f"m{i}" for i in range(len(_SEEDS))]
     live = checkpointed(sets.groupBy("cls").agg(F.max("rank").alias("rank"), *(F.max(m).alias(m) for m in marks)))
     active, comps = live, live.select("cls", F.col("cls").alias("comp"))
     for mark in marks:
-        links = written(_grouped(active, sets, mark, percent).distinct(), "links")
+        links = _grouped(active, sets, mark, percent)
         active = checkpointed(active.join(links.select("cls"), "cls", "left_anti"))
         moved = links.select(F.col("cls").alias("comp"), "root")
         comps = checkpointed(comps.join(moved, "comp", "left").select("cls", F.coalesce("root", "comp").alias("comp")))
+        forget(links)
     between = _residual(runs, comps, sets, bits, percent)
+    forget(runs, sets)
     if between is not None:
         at = lambda side: comps.select(F.col("cls").alias(side), F.col("comp").alias(f"{side}_comp"))
         ends = between.join(at("a"), "a").join(at("b"), "b").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b"))
@@ -508,6 +520,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
     named = first.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     lowest = named.groupBy("comp").agg(F.min("first").alias("component_id"))
     of_class = written(named.join(lowest, "comp").select("cls", "comp", "component_id"), "class_components")
+    if between is not None:
+        forget(between)
     names = ["doc_id", "row_key", "n_shingles", "comp"]
     full = rows.filter("cls is not null").join(of_class, "cls").select(*names, F.coalesce("component_id", "doc_id").alias("component_id"))
     bare = rows.filter("cls is null").withColumn("comp", F.lit(None).cast("long"))
@@ -524,4 +538,6 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame
     order = F.struct(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), F.col("row_key"))
     kept = found.filter("comp is not null").groupBy("comp").agg(F.min_by("row_key", order).alias(own)).select(own)
     kept = kept.union(found.filter("comp is null").select("row_key")).distinct()
-    return docs.withColumn(own, row_key()).join(written(kept, "kept"), own, "left_semi").dropDuplicates([own]).select(*docs.columns)
+    kept = written(kept, "kept")
+    forget(found)
+    return docs.withColumn(own, row_key()).join(kept, own, "left_semi").dropDuplicates([own]).select(*docs.columns)
