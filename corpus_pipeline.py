@@ -2,7 +2,7 @@
 
 Toxic texts go; one text of each group of near duplicates stays; secrets are masked; sources are
 mixed to their target weights; what is left is encoded. Each stage works on all rows that the one before it kept, and
-all but the last return the columns of ``documents``.
+all but the last return the columns of ``documents``. A stage begins with letting go of the shuffles of the one before.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from veilmark.llm import bpe, group_join, mixing, secrets, toxicity
 from veilmark.llm.common import fold, table
-from veilmark.session import written
+from veilmark.session import let_go, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -27,23 +27,27 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts linked by a word five-gram similarity of 0.75 the one with the smallest id stays."""
+    let_go(spark)
     return group_join.one_of_each(docs.select(*COLUMNS))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in a text become [SECRET]; every text stays."""
+    let_go(spark)
     out = secrets.masked(docs.select(*COLUMNS), F.concat_ws("/", "source", "lang"), F.col("source"))
     return out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows as often as the mix takes them; weights 1, 2, 3 in turn, at most three times a source."""
+    let_go(spark)
     out = mixing.taken_texts(docs.select(*COLUMNS))
     return out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Digests of each row's token ids and of the bytes they decode to."""
+    let_go(spark)
     return bpe.digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, block_bytes=12_000_000)
 
 

@@ -64,3 +64,14 @@ def test_masking_keeps_columns_of_any_name(spark):
     assert out.columns == named.columns and out.filter("found = 'own found' and row_key = 'own row_key' and row = 'own row'").count() == 3
     assert edge.pairs(out, "doc_id", "text") == edge.pairs(secrets.masked(docs, edge.F.col("source"), edge.F.col("source")), "doc_id", "text")
     assert "abcdefgh12" not in str(out.collect())
+
+
+def test_only_texts_with_findings_move(spark):
+    docs = spark.createDataFrame([(i, "token: hidden0value" if i == 7 else f"calm {i}", "s") for i in range(400)] + [(7, "token: hidden0value", "s"), (None, None, None)], "doc_id long, text string, source string")
+    out = secrets.masked(docs, F.col("source"), F.col("source"))
+    want = [(d, "[SECRET]" if d == 7 else t) for d, t, _ in map(tuple, docs.collect())]
+    assert edge.pairs(out, "doc_id", "text") == sorted(want, key=repr)
+    plan = out._jdf.queryExecution().optimizedPlan()
+    assert plan.getClass().getSimpleName() == "Union"
+    moved, calm = (plan.children().apply(i).toString() for i in (0, 1))
+    assert "Join" in moved and "Join" not in calm
