@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tests.llm import edge
+from veilmark import session
 from veilmark.llm import kneser_ney as kn
 from veilmark.llm import pitman_yor as py
 from veilmark.llm import toxicity as tox
@@ -300,3 +301,14 @@ def test_a_block_is_the_same_in_any_number_of_ranges(monkeypatch):
     for name in ("hashes", "token", "ends", "context", "word", "pair"):
         assert getattr(whole, name).tolist() == getattr(cut, name).tolist(), name
     assert (whole.hashes[whole.word][whole.pair] == whole.hashes[whole.token]).all()
+
+
+def test_scores_leave_only_the_answers_behind(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "work_folder", lambda spark: f"file://{tmp_path}")
+    monkeypatch.setattr(py, "_SLAB", 7)
+    docs = spark.createDataFrame([(i, f"a b c w{i % 5} d", i % 3 > 0) for i in range(40)], "doc_id long, text string, learn boolean")
+    out = py.score_texts(docs)
+    assert {f.name.rsplit("-", 1)[0] for f in tmp_path.iterdir() if any(f.glob("*.parquet"))} == {"answers"}
+    assert out.count() == 40 and out.filter("score is null or score >= 0").isEmpty()
+    table = py._table([py._row(py.WORDS, 0, k, np.arange(3)) for k in range(20)])
+    assert max(b.num_rows for b in table.to_batches()) == py._CHUNK < 20 == table.num_rows

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilmark.llm.common import parts_for, slices, texts
-from veilmark.session import forget, let_go, written
+from veilmark.session import forget, let_go, small_batches, written
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: The token that ends every text; no word holds a blank.
@@ -36,6 +36,8 @@ _DDL = "kind int, shard int, origin int, a binary, b binary, c binary, d binary,
 WORDS, PAIRS, CELLS, MESSAGE, REPLY, STATE, WORD_PLACES, PAIR_PLACES = range(8)
 
 
+#: So many packed rows go from a task to Spark at once.
+_CHUNK = 8
 #: A block's pairs are sorted in so many parts.
 _RANGES = 8
 #: So many of them are dealt to shards at once.
@@ -63,11 +65,19 @@ def _row(kind: int, shard: int, origin: int, *arrays: np.ndarray, sums: tuple =
 
 
 def _table(rows: list[tuple]) -> pa.Table:
-    return pa.table([list(c) for c in zip(*rows)] if rows else [[] for _ in _ROW], schema=_ROW)
+    """The rows in chunks of a few, each of which goes back as a batch of its own."""
+    if not rows:
+        return _ROW.empty_table()
+    return pa.concat_tables(pa.table([list(c) for c in zip(*rows[i : i + _CHUNK])], schema=_ROW) for i in range(0, len(rows), _CHUNK))
+
+
+def _plain(column: pa.ChunkedArray) -> list:
+    """The values of a column; packed arrays stay where they lie."""
+    return [x.as_buffer() for x in column] if pa.types.is_binary(column.type) else column.to_pylist()
 
 
 def _listed(table: pa.Table, *names: str) -> list[tuple]:
-    return list(zip(*(table.column(c).to_pylist() for c in names)))
+    return list(zip(*(_plain(table.column(c)) for c in names)))
 
 
 # --- counts ---------------------------------------------------------------------------
@@ -124,6 +134,18 @@ def _pair_shard(context: np.ndarray, word: np.ndarray, shards: int) -> np.ndarra
     return (mix >> np.uint64(32)) % np.uint64(shards)
 
 
+def _slabs(n: int) -> list[slice]:
+    return [slice(i, i + _SLAB) for i in range(0, n, _SLAB)]
+
+
+def _pair_shards(hashes: np.ndarray, context: np.ndarray, word: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each pair of a block, a slab at a time."""
+    out = np.empty(len(context), dtype=np.uint32)
+    for part in _slabs(len(context)):
+        out[part] = _pair_shard(hashes[context[part]], hashes[word[part]], shards)
+    return out
+
+
 def _block_of(blocks: int):
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Deal rows out to blocks by id and text; equal rows by their number as well."""
@@ -160,17 +182,14 @@ def _ask(shards: int):
     """A block's distinct tokens and distinct pairs with their counts in the texts to learn from, by shard."""
 
     def ask(block):
-        number, rows = block.column("block")[0].as_py(), list(_rows(block.column("payload").to_pylist())[1:])
+        number, rows = block.column("block")[0].as_py(), list(_rows(_plain(block.column("payload")))[1:])
         mine = _block(rows.pop())  # which lets go of the texts as soon as it has their tokens
         used = np.repeat(np.array(rows.pop(), dtype=bool), np.diff(mine.ends, prepend=0))
         n = np.bincount(mine.token[used], minlength=len(mine.hashes)).astype(np.uint32)
         m = np.bincount(mine.pair[used], minlength=len(mine.context)).astype(np.uint32)
         hashes, context, word = mine.hashes, mine.context, mine.word
         del mine, used
-        of_word, of_pair = _word_shard(hashes, shards), np.empty(len(context), dtype=np.uint32)
-        for i in range(0, len(context), _SLAB):
-            part = slice(i, i + _SLAB)
-            of_pair[part] = _pair_shard(hashes[context[part]], hashes[word[part]], shards)
+        of_word, of_pair = _word_shard(hashes, shards), _pair_shards(hashes, context, word, shards)
         out = []
         for s in range(shards):
             w, p = of_word == s, of_pair == s
@@ -544,11 +563,11 @@ def _answer_pairs(samples: int, low: Restaurant):
 def _scorer(sent, shards: int):
     def score(docs, answers):
         models, whole, types = sent.value
-        rows = list(_rows(docs.column("payload").to_pylist()))
+        rows = list(_rows(_plain(docs.column("payload"))))
         block = _block(rows.pop())
         ids, learn = rows
         of_word = _word_shard(block.hashes, shards)
-        of_pair = _pair_shard(block.hashes[block.context], block.hashes[block.word], shards)
+        of_pair = _pair_shards(block.hashes, block.context, block.word, shards)
         n, p = np.zeros(len(block.hashes), dtype=np.int64), np.zeros(len(block.context))
         tables, customers = np.zeros((2, len(models), len(n)))
         for kind, s, a, b, c in _listed(answers, "kind", "shard", "a", "b", "c"):
@@ -559,13 +578,17 @@ def _scorer(sent, shards: int):
                 n[mine] = _unpack(a, np.int64)
                 tables[:, mine], customers[:, mine] = (_unpack(x, np.uint32).reshape(len(models), -1) for x in (b, c))
         low = models[0].contexts
-        for model, t, c in zip(models, tables, customers):
-            p += ((low.strength + low.discount * t)[block.context] * (10 ** model.rare_log10(c))[block.word]) / len(models)
-        logs = np.log10(p / (low.strength + n[block.context]))[block.pair]
-        base = np.log10((n + 1) / (whole + types + 1))[block.token]
+        new, rare = low.strength + low.discount * tables, [10 ** model.rare_log10(c) for model, c in zip(models, customers)]
+        del of_pair, tables, customers
+        for part in _slabs(len(p)):
+            context, word = block.context[part], block.word[part]
+            for t, c in zip(new, rare):
+                p[part] += (t[context] * c[word]) / len(models)
+            p[part] = np.log10(p[part] / (low.strength + n[context]))
         starts = np.concatenate(([0], block.ends[:-1])).astype(np.int64)
         size = np.diff(block.ends, prepend=0)
-        sums = [np.add.reduceat(x, starts) for x in ((n > 0)[block.token].astype(np.int64), base, logs)]
+        known, base = (n > 0).astype(np.int64), np.log10((n + 1) / (whole + types + 1))
+        sums = [np.add.reduceat(x[at], starts) for x, at in ((known, block.token), (base, block.token), (p, block.pair))]
         columns = [ids, [not use for use in learn], size, sums[0], [whole] * len(ids), sums[1], sums[2]]
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
         kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
@@ -585,6 +608,7 @@ def score_texts(docs: DataFrame, block_bytes: int = 24_000_000, **fit_options) -
     """
     docs = docs.select("doc_id", F.col("text"), F.coalesce("learn", F.lit(False)).alias("learn"))
     spark = docs.sparkSession
+    small_batches(spark)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = shards = parts_for(size, block_bytes, spark.sparkContext.defaultParallelism)
     pieces = docs.mapInArrow(_block_of(blocks), "block int, payload binary")
@@ -599,5 +623,6 @@ def score_texts(docs: DataFrame, block_bytes: int = 24_000_000, **fit_options) -
     known = vocabulary.unionByName(states)
     answers = words.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_answer_words, _DDL)
     answers = answers.unionByName(pairs.groupBy("shard").cogroup(cells.groupBy("shard")).applyInArrow(_answer_pairs(len(models), models[0].contexts), _DDL))
-    answers = answers.withColumnRenamed("origin", "block")
+    answers = written(answers.withColumnRenamed("origin", "block"), "answers")
+    forget(counted, known, cells)
     return pieces.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scorer(sent, shards), _SCORES)
