@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -312,3 +313,15 @@ def test_scores_leave_only_the_answers_behind(spark, tmp_path, monkeypatch):
     assert out.count() == 40 and out.filter("score is null or score >= 0").isEmpty()
     table = py._table([py._row(py.WORDS, 0, k, np.arange(3)) for k in range(20)])
     assert max(b.num_rows for b in table.to_batches()) == py._CHUNK < 20 == table.num_rows
+
+
+def test_packed_rows_travel_and_lie_in_small_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "work_folder", lambda spark: f"file://{tmp_path}")
+    rng = np.random.default_rng(3)
+    table = py._table([py._row(py.WORDS, k, 0, rng.integers(0, 2**63, 90_000)) for k in range(12)])
+    assert max(b.num_rows for b in table.to_batches()) == 1 and table.num_rows == 12
+    rows = spark.range(24, numPartitions=1).select("id", F.expr("repeat(char(65 + id), 1000000)").cast("binary").alias("body"))
+    assert session.written(rows, "packed", packed=True).distinct().count() == 24
+    (file,) = tmp_path.glob("packed-*/*.parquet")
+    groups = pq.ParquetFile(file).metadata
+    assert groups.num_row_groups > 4 and max(groups.row_group(k).num_rows for k in range(groups.num_row_groups)) < 6

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,50 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             start = stop
 
 
+def give_back() -> None:
+    """Return what Arrow and the C library hold but do not use; a worker that waits for its next task would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def mapped(work: Callable) -> Callable:
+    """``work`` for ``mapInArrow``, after which the worker gives back its free memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def grouped(work: Callable) -> Callable:
+    """``work`` for ``applyInArrow``, with the same after each group."""
+
+    def run(group):
+        try:
+            return work(group)
+        finally:
+            give_back()
+
+    return run
+
+
+def cogrouped(work: Callable) -> Callable:
+    """``work`` for ``applyInArrow`` of two frames, with the same after each pair of groups."""
+
+    def run(left, right):
+        try:
+            return work(left, right)
+        finally:
+            give_back()
+
+    return run
+
+
 def offsets(parts: list[bytes]) -> np.ndarray:
     """Start of each part in their concatenation, and the total length."""
     return np.concatenate(([0], np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)))))

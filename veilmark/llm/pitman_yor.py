@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import parts_for, slices, texts
+from veilmark.llm.common import cogrouped, grouped, mapped, parts_for, slices, texts
 from veilmark.session import forget, let_go, small_batches, written
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -36,8 +36,9 @@ _DDL = "kind int, shard int, origin int, a binary, b binary, c binary, d binary,
 WORDS, PAIRS, CELLS, MESSAGE, REPLY, STATE, WORD_PLACES, PAIR_PLACES = range(8)
 
 
-#: So many packed rows go from a task to Spark at once.
+#: So many packed rows go from a task to Spark at once, or fewer of about so many bytes.
 _CHUNK = 8
+_CHUNK_BYTES = 1_000_000
 #: A block's pairs are sorted in so many parts.
 _RANGES = 8
 #: So many of them are dealt to shards at once.
@@ -66,9 +67,15 @@ def _row(kind: int, shard: int, origin: int, *arrays: np.ndarray, sums: tuple =
 
 def _table(rows: list[tuple]) -> pa.Table:
     """The rows in chunks of a few, each of which goes back as a batch of its own."""
-    if not rows:
-        return _ROW.empty_table()
-    return pa.concat_tables(pa.table([list(c) for c in zip(*rows[i : i + _CHUNK])], schema=_ROW) for i in range(0, len(rows), _CHUNK))
+    chunks, room = [], 0
+    for row in rows:
+        size = sum(len(x) for x in row if isinstance(x, bytes))
+        if not chunks or size > room or len(chunks[-1]) == _CHUNK:
+            chunks.append([])
+            room = _CHUNK_BYTES
+        chunks[-1].append(row)
+        room -= size
+    return pa.concat_tables(pa.table([list(c) for c in zip(*part)], schema=_ROW) for part in chunks) if chunks else _ROW.empty_table()
 
 
 def _plain(column: pa.ChunkedArray) -> list:
@@ -500,12 +507,12 @@ def fit(counted: DataFrame, shards: int, burn_in: int = 3, samples: int = 3, see
     rng = np.random.default_rng(seed)
     words, message = counted.filter(F.col("kind") == WORDS), F.col("kind") == MESSAGE
     fixed = counted.filter(message & (F.col("origin") == -1))
-    vocabulary = written(words.groupBy("shard").cogroup(fixed.groupBy("shard")).applyInArrow(_vocabulary, _DDL), "vocabulary")
+    vocabulary = written(words.groupBy("shard").cogroup(fixed.groupBy("shard")).applyInArrow(cogrouped(_vocabulary), _DDL), "vocabulary", packed=True)
     cells = counted.filter((F.col("kind") == CELLS) | message & (F.col("origin") >= 0))
     states, models = [], []
     for turn in range(burn_in + samples + 1):
         sent = cells.filter(F.col("kind") == MESSAGE)
-        sat = written(vocabulary.groupBy("shard").cogroup(sent.groupBy("shard")).applyInArrow(_sweep_words(turn, seed, low, root), _DDL), "words_seated")
+        sat = written(vocabulary.groupBy("shard").cogroup(sent.groupBy("shard")).applyInArrow(cogrouped(_sweep_words(turn, seed, low, root)), _DDL), "words_seated", packed=True)
         state = sat.filter(F.col("kind") == STATE)
         sums = state.agg(F.sum("customers").alias("c"), F.sum("types").alias("v"), F.sum("mass").alias("g")).first()
         customers, types = sums["c"] or 0, sums["v"] or 0
@@ -516,7 +523,7 @@ def fit(counted: DataFrame, shards: int, burn_in: int = 3, samples: int = 3, see
             mass = (sums["g"] or 0.0) + rng.standard_gamma(root.strength + root.discount * types)
             step = _sweep_cells(turn, seed, shards, low, mass, turn >= burn_in)
             mine, answers = cells.filter(F.col("kind") == CELLS), sat.filter(F.col("kind") == REPLY)
-            seated = written(mine.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(step, _DDL), "cells")
+            seated = written(mine.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(cogrouped(step), _DDL), "cells", packed=True)
             if turn:
                 forget(cells)
             if turn <= burn_in:
@@ -608,12 +615,12 @@ def score_texts(docs: DataFrame, block_bytes: int = 24_000_000, **fit_options) -
     """
     docs = docs.select("doc_id", F.col("text"), F.coalesce("learn", F.lit(False)).alias("learn"))
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 2 * _CHUNK_BYTES)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = shards = parts_for(size, block_bytes, spark.sparkContext.defaultParallelism)
-    pieces = docs.mapInArrow(_block_of(blocks), "block int, payload binary")
-    asked = pieces.groupBy("block").applyInArrow(_ask(shards), _DDL)
-    counted = written(asked.groupBy("shard").applyInArrow(_count(shards), _DDL), "counted")
+    pieces = docs.mapInArrow(mapped(_block_of(blocks)), "block int, payload binary")
+    asked = pieces.groupBy("block").applyInArrow(grouped(_ask(shards)), _DDL)
+    counted = written(asked.groupBy("shard").applyInArrow(grouped(_count(shards)), _DDL), "counted", packed=True)
     del asked
     let_go(spark)
     vocabulary, cells, states, models = fit(counted, shards, **fit_options)
@@ -621,8 +628,8 @@ def score_texts(docs: DataFrame, block_bytes: int = 24_000_000, **fit_options) -
     sent = spark.sparkContext.broadcast((models, sums["n"] or 0, sums["v"] or 0))
     words, pairs = counted.filter(F.col("kind") == WORD_PLACES), counted.filter(F.col("kind") == PAIR_PLACES)
     known = vocabulary.unionByName(states)
-    answers = words.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_answer_words, _DDL)
-    answers = answers.unionByName(pairs.groupBy("shard").cogroup(cells.groupBy("shard")).applyInArrow(_answer_pairs(len(models), models[0].contexts), _DDL))
-    answers = written(answers.withColumnRenamed("origin", "block"), "answers")
+    answers = words.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(cogrouped(_answer_words), _DDL)
+    answers = answers.unionByName(pairs.groupBy("shard").cogroup(cells.groupBy("shard")).applyInArrow(cogrouped(_answer_pairs(len(models), models[0].contexts)), _DDL))
+    answers = written(answers.withColumnRenamed("origin", "block"), "answers", packed=True)
     forget(counted, known, cells)
-    return pieces.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scorer(sent, shards), _SCORES)
+    return pieces.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(cogrouped(_scorer(sent, shards)), _SCORES)
