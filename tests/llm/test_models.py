@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tests.llm import edge
 from veilmark import session
+from veilmark.llm import common
 from veilmark.llm import kneser_ney as kn
 from veilmark.llm import pitman_yor as py
 from veilmark.llm import toxicity as tox
@@ -325,3 +326,20 @@ def test_packed_rows_travel_and_lie_in_small_parts(spark, tmp_path, monkeypatch)
     (file,) = tmp_path.glob("packed-*/*.parquet")
     groups = pq.ParquetFile(file).metadata
     assert groups.num_row_groups > 4 and max(groups.row_group(k).num_rows for k in range(groups.num_row_groups)) < 6
+
+
+def test_scoring_keeps_batches_small_and_gives_memory_back(spark, monkeypatch):
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, str(64 << 20))
+    try:
+        docs = spark.createDataFrame([(1, "some words"), (2, None)], "doc_id long, text string")
+        model = tox.train([b"good words here", b"bad words here"], np.array([0, 1]), rounds=1)
+        assert tox.score(docs, model, ["doc_id"]).count() == 2
+        assert int(spark.conf.get(limit)) == 8 << 20
+    finally:
+        spark.conf.set(limit, before)
+    calls = []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append(1))
+    assert list(common.mapped(lambda batches: (b for b in batches))(iter([1, 2]))) == [1, 2] and calls == [1]
+    assert common.grouped(lambda g: g + 1)(1) == 2 and common.cogrouped(lambda a, b: a + b)(1, 2) == 3 and calls == [1] * 3

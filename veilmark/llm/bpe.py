@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import parts_for, slices
+from veilmark.llm.common import cogrouped, grouped, mapped, parts_for, slices
 
 _PACKED = "block int, shard int, payload binary"
 _PACKED_ARROW = pa.schema([("block", pa.int32()), ("shard", pa.int32()), ("payload", pa.binary())])
@@ -178,10 +178,10 @@ def _encoded(docs: DataFrame, ranks_path: str, pattern: str, finish, schema: pa.
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = parts_for(total, block_bytes, docs.sparkSession.sparkContext.defaultParallelism)
     shards = blocks
-    pieces = docs.select("doc_id", "text").mapInArrow(_splitter(pattern, blocks), _PACKED)
-    words = pieces.groupBy("block").applyInArrow(_wanted(shards), _PACKED)
-    ids = words.groupBy("shard").applyInArrow(_encoder(ranks_path), _PACKED)
-    return pieces.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_joiner(shards, finish, schema), ddl)
+    pieces = docs.select("doc_id", "text").mapInArrow(mapped(_splitter(pattern, blocks)), _PACKED)
+    words = pieces.groupBy("block").applyInArrow(grouped(_wanted(shards)), _PACKED)
+    ids = words.groupBy("shard").applyInArrow(grouped(_encoder(ranks_path)), _PACKED)
+    return pieces.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(cogrouped(_joiner(shards, finish, schema)), ddl)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, block_bytes: int = 24_000_000) -> DataFrame:

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import parts_for, slices, texts
+from veilmark.llm.common import cogrouped, grouped, mapped, parts_for, slices, texts
 from veilmark.session import checkpointed, forget, let_go, written
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -334,7 +334,7 @@ def _grouped(active: DataFrame, sets: DataFrame, key: str, percent: int) -> Data
     pivots = keys.select(F.col("pivot").alias("cls"), "key", "pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     places = written(own.unionByName(pivots).distinct(), "group_places")
     full = _marked(sets.select("cls", "rank", "tokens"), places).join(places, "cls")
-    links = written(full.groupBy("key", "part").applyInArrow(_cluster(percent), "cls long, root long").distinct(), "links")
+    links = written(full.groupBy("key", "part").applyInArrow(grouped(_cluster(percent)), "cls long, root long").distinct(), "links")
     del full
     forget(keys, places)
     return links
@@ -444,7 +444,7 @@ def _residual(runs: DataFrame, comps: DataFrame, sets: DataFrame, bits, percent:
         comps.join(sizes, "comp").withColumn("part", F.pmod(F.xxhash64("cls"), F.ceil(F.col("amount") / _MEMBERS))), "component_parts"
     )
     told = runs.select("shard", "cls").mapInArrow(_asked(bits), "shard int, cls long").join(known, "cls")
-    pairs = runs.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(_candidates(percent), "cls long, comp long, part long")
+    pairs = runs.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(cogrouped(_candidates(percent)), "cls long, comp long, part long")
     pairs = written(pairs.distinct(), "open_parts")
     if pairs.limit(1).count() == 0:
         forget(known, pairs)
@@ -458,7 +458,7 @@ def _residual(runs: DataFrame, comps: DataFrame, sets: DataFrame, bits, percent:
     )
     places = written(asking.unionByName(members), "open_places")
     full = _marked(sets.select("cls", "tokens"), places).join(places, "cls")
-    links = full.groupBy("comp", "part", "turn").applyInArrow(_open(percent), "cls long, root long")
+    links = full.groupBy("comp", "part", "turn").applyInArrow(grouped(_open(percent)), "cls long, root long")
     links = written(links.select(F.col("cls").alias("a"), F.col("root").alias("b")), "opened_links")
     del full
     forget(known, pairs, load, places)
@@ -483,7 +483,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", row_key().alias("row_key"))
-    census = written(docs.mapInArrow(_census(words), _CENSUS_DDL), "census")
+    census = written(docs.mapInArrow(mapped(_census(words)), _CENSUS_DDL), "census")
     rows = census.select("doc_id", "row_key", "n_shingles", "cls")
     top = census.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "t").limit(_FREQUENT).toArrow()
     often, weight = np.asarray(top.column("t"), np.int64).view(np.uint64), np.asarray(top.column("n"), np.int64)
@@ -491,14 +491,14 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
     sent = spark.sparkContext.broadcast((often[order], weight[order]))
     total, classes = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.count("cls")).first()
     shards = parts_for(total, 4_000_000, spark.sparkContext.defaultParallelism)
-    prefixes = docs.select("text").mapInArrow(_prefixes(words, percent, shards, sent), _PREFIX_DDL)
-    runs = written(prefixes.groupBy("shard").applyInArrow(_shared(percent), _RUNS_DDL), "runs")
+    prefixes = docs.select("text").mapInArrow(mapped(_prefixes(words, percent, shards, sent)), _PREFIX_DDL)
+    runs = written(prefixes.groupBy("shard").applyInArrow(grouped(_shared(percent)), _RUNS_DDL), "runs", packed=True)
     del prefixes
     let_go(spark)
     alive = written(_live(runs, percent, classes), "live_classes")
     bits = spark.sparkContext.broadcast(_bit_table(alive))
     forget(alive)
-    sets = written(docs.select("text").mapInArrow(_live_sets(words, bits, sent), _SETS_DDL), "live_sets")
+    sets = written(docs.select("text").mapInArrow(mapped(_live_sets(words, bits, sent)), _SETS_DDL), "live_sets")
 
     marks = [f"m{i}" for i in range(len(_SEEDS))]
     live = checkpointed(sets.groupBy("cls").agg(F.max("rank").alias("rank"), *(F.max(m).alias(m) for m in marks)))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilmark.llm.common import bit_table, in_bits
+from veilmark.llm.common import bit_table, in_bits, mapped
 from veilmark.session import forget, written
 
 # Fixed patterns of the scan, as its contract states them.
@@ -80,7 +80,7 @@ def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
 
     source = docs.select(*keep, *(["text"] if "text" not in keep else []))
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-    return source.mapInArrow(find, f"{head}, {_SCHEMA}")
+    return source.mapInArrow(mapped(find), f"{head}, {_SCHEMA}")
 
 
 def ownership(scanned: DataFrame, repository: Column, owner: Column) -> DataFrame:

@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import offsets, slices, texts
-from veilmark.session import checkpointed
+from veilmark.llm.common import mapped, offsets, slices, texts
+from veilmark.session import checkpointed, small_batches
 
 #: Lengths of the character n-grams; a word's ends count as characters.
 GRAMS = (4, 5, 6)
@@ -233,6 +233,7 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """``score`` (0 to 1) of every whole text, next to the columns ``keep``: the probability of its
     worst passage. Null and empty texts get the score of the least suspicious logit the model gives to no words."""
     spark = docs.sparkSession
+    small_batches(spark)
     numbers, bias = model.gram_scores()
     sent = spark.sparkContext.broadcast((numbers, bias, model.slope, model.shift))
 
@@ -248,4 +249,4 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
     wanted = docs.select(*keep, *([] if "text" in keep else ["text"]))
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-    return wanted.mapInArrow(run, f"{head}, score double")
+    return wanted.mapInArrow(mapped(run), f"{head}, score double")
